@@ -34,9 +34,6 @@ class StageColumns:
     ipo: str
     out_prefix: str
 
-    def code(self, letter: str) -> Column:
-        return F.col(f"{self.code_prefix}{letter}")
-
 
 FEATURE_COLUMNS = StageColumns(
     "keys_company_age_days", "confidence_validation_funding_raised_value_total_number",
@@ -48,44 +45,33 @@ OUTCOME_COLUMNS = StageColumns(
     "outcome_ipo_bool", "outcome_stage")
 
 
-def funding_stage(cols: StageColumns) -> Column:
-    """The part of the ladder that needs no age: NULL where only the age can tell."""
-    late = F.lit(0)
-    for letter in ROUND_CODES[3:]:
-        late = late + F.coalesce(cols.code(letter), F.lit(0))
+def funding_stage(cols: StageColumns) -> str:
+    """SQL of the part of the ladder that needs no age: NULL where only the age can tell."""
+    p = cols.code_prefix
+    late = " + ".join(f"coalesce({p}{c}, 0)" for c in ROUND_CODES[3:])
     return (
-        F.when(late >= 1, "Series D+")
-        .when(cols.code("c") >= 1, "Series C")
-        .when(cols.code("b") >= 1, "Series B")
-        .when(cols.code("a") >= 1, "Series A")
-        .when(F.col(cols.raised) >= 0, "Seed")
+        f"CASE WHEN {late} >= 1 THEN 'Series D+' WHEN {p}c >= 1 THEN 'Series C' WHEN {p}b >= 1 THEN 'Series B' "
+        f"WHEN {p}a >= 1 THEN 'Series A' WHEN {cols.raised} >= 0 THEN 'Seed' END"
     )
 
 
-def with_exit(pre: Column, cols: StageColumns) -> Column:
+def with_exit(pre: str, cols: StageColumns) -> str:
     """A dated exit replaces the funding stage; closure outranks acquisition, which outranks IPO."""
     return (
-        F.when(F.col(cols.closed) >= 1, "Closed")
-        .when(F.col(cols.acquired) >= 1, "Acquired")
-        .when(F.col(cols.ipo) >= 1, "IPO")
-        .otherwise(pre)
+        f"CASE WHEN {cols.closed} >= 1 THEN 'Closed' WHEN {cols.acquired} >= 1 THEN 'Acquired' "
+        f"WHEN {cols.ipo} >= 1 THEN 'IPO' ELSE {pre} END"
     )
 
 
-def stage_number(stage: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for name, number in STAGE_NUMBERS.items():
-        out = F.when(stage == name, number).otherwise(out)
-    return out
-
+def stage_number(stage: str) -> str:
+    """Number of a stage by one look-up in a constant map; NULL for ``Other``."""
+    pairs = ", ".join(f"'{name}', {number}" for name, number in STAGE_NUMBERS.items())
+    return f"element_at(map({pairs}), {stage})"
 
-def stage_group(stage: Column) -> Column:
-    return F.when(stage.isin(*INCLUDED_STAGES), "Included").otherwise("Excluded")
 
-
-def _day_quantile(days: Column, which: Column, q: float) -> Column:
-    """Exact quantile of whole days. The buffer holds distinct day counts, so it is bounded."""
-    return F.percentile(F.when(which, days), q)
+def stage_group(stage: str) -> str:
+    names = ", ".join(f"'{s}'" for s in INCLUDED_STAGES)
+    return f"CASE WHEN {stage} IN ({names}) THEN 'Included' ELSE 'Excluded' END"
 
 
 def fit_cutoffs(
@@ -98,35 +84,37 @@ def fit_cutoffs(
     """Age cut-offs in days: young enough for Pre-Seed per side, and too old for screening.
 
     One aggregation gives all of them: whether a row is Seed or Series D+ does not depend on age.
+    ``percentile`` is exact here and its buffer bounded, as it counts distinct whole days.
     """
-    aggs = []
-    for cols in sides:
-        pre = funding_stage(cols)
-        aggs.append(_day_quantile(F.col(cols.age_days), pre == "Seed", seed_age_q).alias(f"seed_age_{cols.out_prefix}"))
-    first = sides[0]
-    final = with_exit(funding_stage(first), first)
-    aggs.append(_day_quantile(F.col(first.age_days), final == "Series D+", old_age_q).alias("old_age"))
+    def quantile(cols: StageColumns, stage: str, name: str, q: float, out: str):
+        return F.expr(f"percentile(CASE WHEN {stage} = '{name}' THEN {cols.age_days} END, {q})").alias(out)
+
+    aggs = [quantile(s, funding_stage(s), "Seed", seed_age_q, f"seed_age_{s.out_prefix}") for s in sides]
+    aggs.append(quantile(sides[0], with_exit(funding_stage(sides[0]), sides[0]), "Series D+", old_age_q, "old_age"))
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
 def attach_cutoffs(df: DataFrame, cutoffs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cut-offs beside every row: a scalar subquery, or an equi-join on the few slice keys ``by``."""
     if by:
-        return df.join(cutoffs.withColumn("__cut", F.struct(*[c for c in cutoffs.columns if c not in by]))
-                       .select(*by, "__cut"), list(by), "left")
+        packed = ", ".join(c for c in cutoffs.columns if c not in by)
+        return df.join(cutoffs.selectExpr(*by, f"struct({packed}) AS __cut"), list(by), "left")
     return df.withColumn("__cut", cutoffs.select(F.struct("*").alias("s")).scalar())
 
 
-def stage_columns(cols: StageColumns) -> list[Column]:
-    """Stage, number and group, before and after exits. Needs ``__cut`` from ``attach_cutoffs``."""
-    young = F.col(cols.age_days) <= F.col("__cut").getField(f"seed_age_{cols.out_prefix}")
-    pre = F.coalesce(funding_stage(cols), F.when(young, "Pre-Seed").otherwise("Other"))
-    final = with_exit(pre, cols)
+def name_stages(df: DataFrame, cols: StageColumns) -> DataFrame:
+    """Stage, number and group, before and after exits. Needs ``__cut`` from ``attach_cutoffs``.
+
+    Done in steps, so that each stage is worked out once and not once per column made from it.
+    """
     p = cols.out_prefix
-    return [
-        stage_group(final).alias(f"{p}_group"), final.alias(p), stage_number(final).alias(f"{p}_number"),
-        stage_group(pre).alias(f"{p}_pre_group"), pre.alias(f"{p}_pre"), stage_number(pre).alias(f"{p}_pre_number"),
-    ]
+    young = f"CASE WHEN {cols.age_days} <= __cut.seed_age_{p} THEN 'Pre-Seed' ELSE 'Other' END"
+    return (
+        df.selectExpr("*", f"coalesce({funding_stage(cols)}, {young}) AS {p}_pre")
+        .selectExpr("*", f"{with_exit(p + '_pre', cols)} AS {p}")
+        .selectExpr("*", *[f"{fn(x)} AS {x}_{kind}" for x in (p, f"{p}_pre")
+                           for kind, fn in (("number", stage_number), ("group", stage_group))])
+    )
 
 
 def add_stages(
@@ -139,20 +127,20 @@ def add_stages(
 ) -> DataFrame:
     """Stage columns for each side. Pass fitted ``cutoffs`` to stage a test set by a training set."""
     fitted = fit_cutoffs(df, sides, by, **quantiles) if cutoffs is None else cutoffs
-    cut = attach_cutoffs(df, fitted, by)
-    out = cut.select("*", *[c for s in sides for c in stage_columns(s)])
+    out = attach_cutoffs(df, fitted, by)
+    for cols in sides:
+        out = name_stages(out, cols)
     return out if keep_cutoffs else out.drop("__cut")
 
 
 def apply_constraints(df: DataFrame, cols: StageColumns = FEATURE_COLUMNS) -> DataFrame:
     """Keep entities in an included stage that are no older than the old-age cut-off in ``__cut``."""
     return df.where(
-        (F.col(cols.age_days) <= F.col("__cut.old_age")) & (F.col(f"{cols.out_prefix}_group") == "Included")
-    ).drop("__cut")
+        f"{cols.age_days} <= __cut.old_age AND {cols.out_prefix}_group = 'Included'").drop("__cut")
 
 
 def _rose(to: str, since: str) -> Column:
-    return F.coalesce((F.col(to) - F.col(since)) > 0, F.lit(False)).cast("int")
+    return F.expr(f"CAST(coalesce({to} - {since} > 0, false) AS INT)")
 
 
 def label(kind: str = "Extra_Stage") -> Column:
@@ -164,37 +152,32 @@ def label(kind: str = "Extra_Stage") -> Column:
     flags = {"Exit": "outcome_exit_bool", "Acquisition": "outcome_acquired_bool", "IPO": "outcome_ipo_bool"}
     if kind not in flags:
         raise ValueError(f"unknown label type {kind!r}; known are {LABEL_TYPES}")
-    return F.coalesce(F.col(flags[kind]), F.lit(0)).cast("int")
+    return F.expr(f"CAST(coalesce({flags[kind]}, 0) AS INT)")
 
 
 def more_rounds() -> Column:
-    gained = F.col("outcome_funding_rounds_number") - F.col("confidence_validation_funding_rounds_number")
-    return F.coalesce(gained > 0, F.lit(False)).cast("int")
+    return _rose("outcome_funding_rounds_number", "confidence_validation_funding_rounds_number")
 
 
 def outcome_class() -> Column:
     """What happened by the label date; closure first, then IPO, acquisition, a later stage."""
-    return (
-        F.when(F.col("outcome_closed_bool") >= 1, "Closed")
-        .when(F.col("outcome_ipo_bool") >= 1, "IPO")
-        .when(F.col("outcome_acquired_bool") >= 1, "Acquired")
-        .when(label("Extra_Stage") >= 1, "Raised")
-        .otherwise("No Change")
-    )
+    return F.expr(
+        "CASE WHEN outcome_closed_bool >= 1 THEN 'Closed' WHEN outcome_ipo_bool >= 1 THEN 'IPO' "
+        "WHEN outcome_acquired_bool >= 1 THEN 'Acquired' "
+        "WHEN outcome_stage_number - keys_company_stage_number > 0 THEN 'Raised' ELSE 'No Change' END")
 
 
 def consistent(df: DataFrame) -> DataFrame:
     """Drop rows that lost rounds over time, and exits that never had a round."""
-    f, o = F.col("confidence_validation_funding_rounds_number"), F.col("outcome_funding_rounds_number")
-    return df.where((o >= f) & ~((F.col("outcome_exit_bool") == 1) & (o == 0)))
+    return df.where(
+        "outcome_funding_rounds_number >= confidence_validation_funding_rounds_number "
+        "AND NOT (outcome_exit_bool = 1 AND outcome_funding_rounds_number = 0)")
 
 
-def ladder(rules: Sequence[tuple[Column, str]], default: str) -> Column:
-    """First matching rule gives the name; a NULL condition does not match."""
-    out = None
-    for condition, name in rules:
-        out = F.when(condition, name) if out is None else out.when(condition, name)
-    return F.lit(default) if out is None else out.otherwise(default)
+def ladder(rules: Sequence[tuple[str, str]], default: str) -> Column:
+    """First matching rule (SQL condition, name) wins; a NULL condition does not match."""
+    whens = " ".join(f"WHEN {condition} THEN '{name}'" for condition, name in rules)
+    return F.expr(f"CASE {whens} ELSE '{default}' END")
 
 
 def age_in_years(days: str) -> Column:

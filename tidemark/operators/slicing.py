@@ -28,6 +28,11 @@ def literal_like(df: DataFrame, column: str, value: date) -> Column:
     return F.lit(value.isoformat()).cast(df.schema[column].dataType)
 
 
+def known_before(df: DataFrame, column: str, when: date) -> str:
+    """``literal_like`` comparison as SQL text."""
+    return f"{column} < CAST('{when.isoformat()}' AS {df.schema[column].dataType.simpleString()})"
+
+
 def slice_asof(df: DataFrame, when: date, by: str | None = None) -> DataFrame:
     """Rows known strictly before ``when``; rows without a date are dropped, undated relations kept."""
     column = slice_column(df, by)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.naming import ROUND_CODES
 from tidemark.operators import labels as L
 from tidemark.operators.flatten import Measure, Relation, flatten_entities, pair_rows
-from tidemark.operators.slicing import age_days
+from tidemark.operators.slicing import DAYS_PER_YEAR
 from tidemark.sources.bindings import FEATURE_DATE, LABEL_DATE, YEARLY_SLICES, Tables, define_view
 
 SEGMENTS = ("automobile", "building", "furniture", "household", "machinery")
@@ -29,20 +29,18 @@ YEAR_PAIRS = tuple((f, l) for i, f in enumerate(YEARLY_SLICES) for l in YEARLY_S
 
 
 def round_relation(t: Tables) -> Relation:
-    code = F.col("code")
     return Relation(
         t.rounds(), "org_id", "created_at",
-        {"rounds": Measure("count"), "raised": Measure("sum", F.col("raised_usd")),
-         **{f"code_{c}": Measure("flag", code == c) for c in ROUND_CODES}},
+        {"rounds": Measure("count"), "raised": Measure("sum", "raised_usd"),
+         **{f"code_{c}": Measure("flag", f"code = '{c}'") for c in ROUND_CODES}},
         zero_when_absent=("rounds",))
 
 
-def patent_relation(t: Tables) -> Relation:
-    return Relation(t.patents(), "org_id", "patent_date", {"patents": Measure("count")}, ("patents",))
-
-
-def staff_relation(t: Tables) -> Relation:
-    return Relation(t.jobs(), "org_id", "started_on", {"staff": Measure("count")}, ("staff",))
+def deal_relation(t: Tables) -> Relation:
+    """Patents and staff come from the same child rows, so one scan and one join serve both."""
+    deals = t.deals()
+    return Relation(deals, "org_id", "l_shipdate", {
+        "patents": Measure("count", "l_returnflag = 'R'"), "staff": Measure("count")}, ("patents", "staff"))
 
 
 def wide_frame(t: Tables, dates: dict[str, date], detail: bool) -> DataFrame:
@@ -50,18 +48,15 @@ def wide_frame(t: Tables, dates: dict[str, date], detail: bool) -> DataFrame:
     spine = t.orgs().where(F.col("created_at") < F.lit(max(dates.values())))
     relations = [round_relation(t)]
     if detail:
-        relations += [patent_relation(t), staff_relation(t)]
+        relations.append(deal_relation(t))
     wide = flatten_entities(spine, "org_id", relations, dates)
-    status = {}
+    derived = []
     for tag, when in dates.items():
-        known = F.col("status_on") < F.lit(when)
-        status[f"{tag}age"] = age_days(F.col("founded_on"), F.lit(when))
-        for s in ("closed", "acquired", "ipo"):
-            status[f"{tag}{s}"] = ((F.col("status") == s) & known).cast("int")
-    out = wide.withColumns(status)
+        derived.append(f"datediff(DATE'{when}', founded_on) AS {tag}age")
+        derived += [f"CAST(status = '{s}' AND status_on < DATE'{when}' AS INT) AS {tag}{s}" for s in ("closed", "acquired", "ipo")]
     if detail:
-        out = out.withColumns({f"{SEGMENT}{s}": (F.lower("segment") == s).cast("int") for s in SEGMENTS})
-    return out
+        derived += [f"CAST(lower(segment) = '{s}' AS INT) AS {SEGMENT}{s}" for s in SEGMENTS]
+    return wide.selectExpr("*", *derived)
 
 
 def merged_frame(t: Tables, pairs: Sequence[tuple[date, date]] = ONE_PAIR, detail: bool = False) -> DataFrame:
@@ -83,18 +78,21 @@ def merged_frame(t: Tables, pairs: Sequence[tuple[date, date]] = ONE_PAIR, detai
         **{f"code_{c}": f"outcome_funding_round_codes_list_{c}" for c in ROUND_CODES}}
     keep = ["org_id", "name", "segment", "created_at"] + ([f"{SEGMENT}{s}" for s in SEGMENTS] if detail else [])
     rows = pair_rows(wide, keep, [(tags[f], tags[l]) for f, l in pairs], dates, feature, outcome, "created_at")
-    return rows.select(
-        F.col("org_id").alias("keys_company_id"), F.col("name").alias("keys_company_name_id"),
+    return rows.selectExpr(
+        "org_id AS keys_company_id", "name AS keys_company_name_id",
         *[c for c in rows.columns if c not in ("org_id", "name", "created_at")],
-        L.age_in_years("keys_company_age_days").alias(AGE), L.age_in_years("outcome_age_days").alias("outcome_age_number"),
-        F.greatest("outcome_acquired_bool", "outcome_ipo_bool").alias("outcome_exit_bool"),
+        f"keys_company_age_days / {DAYS_PER_YEAR}D AS {AGE}", f"outcome_age_days / {DAYS_PER_YEAR}D AS outcome_age_number",
+        "greatest(outcome_acquired_bool, outcome_ipo_bool) AS outcome_exit_bool",
     )
 
 
 def staged_frame(t: Tables, pairs=ONE_PAIR, detail: bool = False, **options) -> DataFrame:
     """Merged rows with stages; cut-offs are taken per (feature date, label date)."""
     by = () if len(pairs) == 1 else ("feature_date", "label_date")
-    return L.add_stages(merged_frame(t, pairs, detail), by=by, **options)
+    sides = options.pop("sides", (L.FEATURE_COLUMNS, L.OUTCOME_COLUMNS))
+    # The cut-offs need the rounds only: fitted on a narrow frame, they do not read the other relations.
+    cutoffs = L.fit_cutoffs(merged_frame(t, pairs), sides, by)
+    return L.add_stages(merged_frame(t, pairs, detail), sides, by, cutoffs, **options)
 
 
 def forecast_frame(t: Tables, pairs=ONE_PAIR, detail: bool = False) -> DataFrame:

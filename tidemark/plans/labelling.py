@@ -21,7 +21,7 @@ LABEL_DATASET = ["keys_company_id", "keys_company_name_id", "feature_date", "lab
 
 
 def tidy(df, columns):
-    return df.select(*[F.round(c, ROUNDED[c]).alias(c) if c in ROUNDED else F.col(c) for c in columns])
+    return df.selectExpr(*[f"round({c}, {ROUNDED[c]}) AS {c}" if c in ROUNDED else c for c in columns])
 
 
 def tidy_sql(columns):
@@ -49,16 +49,11 @@ def entity_stage(t):
                 WHEN f_raised >= 0 THEN 'Seed' WHEN f_rounds = 0 THEN 'None' ELSE 'Other' END AS stage
     FROM one_joined"""))
 def entity_stage_alt(t):
-    code = lambda c: F.coalesce(F.col(f"{B.CODE}{c}"), F.lit(0))
+    late = " + ".join(f"coalesce({B.CODE}{c}, 0)" for c in "cde")
     rules = [
-        (F.col("keys_company_status_closed_bool") >= 1, "Closed"),
-        (F.col("keys_company_status_acquired_bool") >= 1, "Acquired"),
-        (F.col("keys_company_status_ipo_bool") >= 1, "IPO"),
-        (code("c") + code("d") + code("e") >= 1, "Series C+"),
-        (code("b") >= 1, "Series B"),
-        (code("a") >= 1, "Series A"),
-        (F.col(B.RAISED) >= 0, "Seed"),
-        (F.col(B.ROUNDS) == 0, "None"),
+        ("keys_company_status_closed_bool >= 1", "Closed"), ("keys_company_status_acquired_bool >= 1", "Acquired"),
+        ("keys_company_status_ipo_bool >= 1", "IPO"), (f"{late} >= 1", "Series C+"), (f"{B.CODE}b >= 1", "Series B"),
+        (f"{B.CODE}a >= 1", "Series A"), (f"{B.RAISED} >= 0", "Seed"), (f"{B.ROUNDS} = 0", "None"),
     ]
     return B.merged_frame(t).select("keys_company_id", L.ladder(rules, "Other").alias("stage"))
 

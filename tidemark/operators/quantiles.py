@@ -110,17 +110,16 @@ def running_totals(
         *[F.sum(c).alias(m) for m, c in measures.items()])
     cuts = at_value.agg(F.percentile_approx(
         order, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).scalar()
-    below = F.size(F.filter(F.array_distinct(cuts), lambda c: c < F.col(order)))
-    parts = at_value.withColumn("__b", -below if descending else below)
+    sign = "-" if descending else ""
+    parts = at_value.withColumn("__cuts", cuts).withColumn(
+        "__b", F.expr(f"{sign}size(filter(array_distinct(__cuts), c -> c < {order}))")).drop("__cuts")
     totals = parts.groupBy(*groups, "__b").agg(*[F.sum(m).alias(m) for m in measures])
     before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     # At most ``ranges`` rows per group reach this window.
     offsets = totals.select(
         *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__b").alias("__ob"),
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"__o_{m}") for m in measures])
-    on = parts["__b"] == F.col("__ob")
-    for i, g in enumerate(groups):
-        on = on & parts[g].eqNullSafe(F.col(f"__g{i}"))
+    on = F.expr(" AND ".join(["__b = __ob", *[f"{g} <=> __g{i}" for i, g in enumerate(groups)]]))
     direction = F.col(order).desc() if descending else F.col(order).asc()
     run = Window.partitionBy(*groups, "__b").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     joined = parts.join(offsets, on)

@@ -1,6 +1,6 @@
 """Registered queries, each beside the SQL that checks it."""
 
-from tidemark.plans import labelling, relating, slicing  # noqa: F401
+from tidemark.plans import encoding, labelling, relating, slicing, summarizing  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

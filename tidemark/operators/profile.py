@@ -117,18 +117,22 @@ def pairwise_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.selectExpr("a", "b", "nanvl(r, NULL) AS r")
 
 
-def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns replaced by their average ranks. Values are ranked by ranges and joined back."""
-    out = df
-    for c in columns:
-        ranks = average_ranks(df.select(c), c, out=f"__rank_{c}").withColumnRenamed(c, f"__v_{c}")
-        out = out.join(ranks, F.expr(f"{c} = __v_{c}"), "left").drop(f"__v_{c}")
-    return out.selectExpr(*[x for x in df.columns if x not in columns], *[f"__rank_{c} AS {c}" for c in columns])
+def rank_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The columns replaced by their average ranks; ``keys`` identify a row.
+
+    All columns are ranked together in long form, by value ranges of each column, so the number of
+    shuffles does not grow with the number of columns.
+    """
+    long = melt(df, keys, columns, "__column", "__value")
+    ranks = average_ranks(long, "__value", ["__column"], "__rank")
+    ranked = long.join(ranks, ["__column", "__value"])
+    return ranked.groupBy(*keys).agg(
+        *[F.expr(f"max(CASE WHEN __column = '{c}' THEN __rank END)").alias(c) for c in columns])
 
 
-def pairwise_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def pairwise_spearman(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns without gaps."""
-    return pairwise_pearson(rank_columns(df.select(*columns), columns), columns)
+    return pairwise_pearson(rank_columns(df, keys, columns), columns)
 
 
 def share_above(correlations: DataFrame, columns: int, thresholds: Sequence[float]) -> DataFrame:
@@ -140,14 +144,14 @@ def share_above(correlations: DataFrame, columns: int, thresholds: Sequence[floa
         F.expr(f"({columns} + sum(CASE WHEN r >= threshold THEN weight ELSE 0 END)) * 100.0D / ({columns} + sum(weight))").alias("percent"))
 
 
-def factor_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def factor_correlation(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rank correlation between factor totals, after columns opposed within a factor were flipped.
 
     Signs come from the rank correlations of all rows; a column is flipped when it still opposes an
     earlier one of its factor, in name order. Only the columns-by-columns table reaches the driver.
     """
     ordered = sorted(columns)
-    r = {(x["a"], x["b"]): x["r"] or 0.0 for x in pairwise_spearman(df, ordered).collect()}
+    r = {(x["a"], x["b"]): x["r"] or 0.0 for x in pairwise_spearman(df, keys, ordered).collect()}
     sign = dict.fromkeys(ordered, 1)
     groups: dict[str, list[str]] = {}
     for c in ordered:
@@ -156,8 +160,8 @@ def factor_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for a, b in combinations(members, 2):
             if sign[a] * sign[b] * r[(a, b)] < 0:
                 sign[b] = -sign[b]
-    totals = df.selectExpr(*[" + ".join(f"{sign[c]} * {c}" for c in members) + f" AS {g}" for g, members in groups.items()])
-    return pairwise_spearman(totals, sorted(groups))
+    totals = df.selectExpr(*keys, *[" + ".join(f"{sign[c]} * {c}" for c in members) + f" AS {g}" for g, members in groups.items()])
+    return pairwise_spearman(totals, keys, sorted(groups))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:

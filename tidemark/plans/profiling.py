@@ -12,6 +12,7 @@ from tidemark.operators.summarize import group_quantiles
 from tidemark.plans import base as B
 from tidemark.plans.registry import query
 from tidemark.plans.summarizing import fits
+from tidemark.session import materialize
 from tidemark.sources.bindings import with_views
 
 _LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -140,27 +141,30 @@ def corr_thresholds(t):
     return P.share_above(P.pairwise_pearson(x, list(_CORR)), len(_CORR), _THRESHOLDS).withColumn("percent", F.round("percent", 6))
 
 
-_RANKED = ("l_quantity", "l_extendedprice", "l_discount")
+_RANKED = {"price": "o_totalprice", "customer": "o_custkey", "digit": "o_orderkey * 7919 % 10"}
 
 
 @query("corr_spearman", f"""
-    WITH r AS (SELECT {", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in _RANKED)} FROM lineitem)
-    {" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM r" for a, b in _pairs(_RANKED))}""")
+    WITH x AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _RANKED.items())} FROM orders),
+    r AS (SELECT {", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in _RANKED)} FROM x)
+    {" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM r" for a, b in _pairs(list(_RANKED)))}""")
 def corr_spearman(t):
-    return P.pairwise_spearman(t.lineitem, list(_RANKED)).withColumn("r", F.round("r", 6))
+    x = t.orders.selectExpr("o_orderkey", *[f"{e} AS {c}" for c, e in _RANKED.items()])
+    return P.pairwise_spearman(x, ["o_orderkey"], list(_RANKED)).withColumn("r", F.round("r", 6))
 
 
 def dense_features(t):
     """Feature rows with gaps filled by zero, for operators on complete columns."""
     names = [B.AGE, B.ROUNDS, B.RAISED, B.PATENTS, B.STAFF] + [f"{B.CODE}{c}" for c in "abcde"]
     df = B.forecast_frame(t, detail=True)
-    return df.selectExpr("keys_company_id", *[f"coalesce(CAST({n} AS DOUBLE), 0D) AS {n}" for n in names]), names
+    dense = df.selectExpr("keys_company_id", *[f"coalesce(CAST({n} AS DOUBLE), 0D) AS {n}" for n in names])
+    return materialize(dense, "features"), names  # read several times below
 
 
 @query("factor_correlation")
 def factor_correlation(t):
     df, names = dense_features(t)
-    return P.factor_correlation(df, names)
+    return P.factor_correlation(df, ["keys_company_id"], names)
 
 
 @query("histogram", """

@@ -45,3 +45,10 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
 def default_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
+
+
+def materialize(df, purpose: str):
+    """Write a frame to the shared scratch folder and read it back: cuts the lineage, survives lost executors."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -37,11 +37,11 @@ _MARKED, _PLAIN = _accent_map()
 
 
 def ascii_fold(text: Column) -> Column:
-    """Latin text without accents, inside generated code."""
+    """Latin text without accents, inside generated code. Plain ASCII is passed on as it is."""
     out = F.translate(text, _MARKED, _PLAIN)
     for letter, name in LETTER_NAMES.items():
         out = F.replace(out, F.lit(letter), F.lit(name))
-    return out
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(out)
 
 
 @F.pandas_udf(T.StringType())

@@ -16,6 +16,7 @@ from tidemark.learning.classifiers import fit
 from tidemark.operators.encode import fraction_rows
 from tidemark.operators.metrics import fold_column, ranked_areas, scores
 from tidemark.operators.summarize import rank_candidates
+from tidemark.session import materialize
 
 # The search space. Pairs (low, high) are whole-number ranges, lists are choices.
 PREP_SPACE = {"imputer": ["mean", "median", "mode"], "transform": [None, "log1p", "sqrt"],
@@ -48,7 +49,11 @@ def candidate_id(algorithm: str, params: Mapping, prep: Mapping) -> str:
 
 
 def evaluate(predicted: DataFrame) -> dict:
-    """Scores of a predicted frame, from hard predictions and from probabilities."""
+    """Scores of a predicted frame, from hard predictions and from probabilities.
+
+    The predictions are written once, so that the model is not applied again for every pass.
+    """
+    predicted = materialize(predicted.select("label", "prediction", "score"), "predicted")
     hard = scores(predicted, [], ("f1", "mcc", "kappa", "prc_label", "roc_label"), "label", "prediction").head().asDict()
     soft = ranked_areas(predicted, "score", "label").head()
     return {"f1": hard["f1"], "mcc": hard["mcc"], "kappa": hard["kappa"], "prc": hard["prc_label"], "roc": hard["roc_label"],
@@ -81,7 +86,7 @@ def cross_validate(df: DataFrame, features, algorithm: str, params: Mapping, pre
                           features, algorithm, params, prep, f, context, key, extractor) for f in range(folds)]
 
 
-def search(df: DataFrame, features, candidates: Sequence[tuple[str, Mapping, Mapping]], folds: int = 3, parallelism: int = 2, context=None,
+def search(df: DataFrame, features, candidates: Sequence[tuple[str, Mapping, Mapping]], folds: int = 3, parallelism: int = 4, context=None,
            key="keys_company_id") -> DataFrame:
     """Cross-validated scores of every candidate. ``df`` should be materialised: it is read by every fit."""
     def one(c):
@@ -92,7 +97,7 @@ def search(df: DataFrame, features, candidates: Sequence[tuple[str, Mapping, Map
     return to_log(df.sparkSession, rows)
 
 
-def random_search(df: DataFrame, features, algorithms: Sequence[str], iterations: int, folds: int = 3, seed: int = 0, parallelism: int = 2,
+def random_search(df: DataFrame, features, algorithms: Sequence[str], iterations: int, folds: int = 3, seed: int = 0, parallelism: int = 4,
                   prep_space: Mapping | None = None, spaces: Mapping | None = None, context=None) -> DataFrame:
     rng = random.Random(seed)
     prep_space, spaces = prep_space or PREP_SPACE, spaces or CLASSIFIER_SPACE
@@ -100,7 +105,7 @@ def random_search(df: DataFrame, features, algorithms: Sequence[str], iterations
     return search(df, features, picked, folds, parallelism, context)
 
 
-def grid_search(df: DataFrame, features, algorithm: str, space: Mapping[str, Sequence], prep: Mapping, folds: int = 3, parallelism: int = 2) -> DataFrame:
+def grid_search(df: DataFrame, features, algorithm: str, space: Mapping[str, Sequence], prep: Mapping, folds: int = 3, parallelism: int = 4) -> DataFrame:
     return search(df, features, [(algorithm, p, prep) for p in grid(space)], folds, parallelism)
 
 
@@ -111,7 +116,7 @@ def finalists(log: DataFrame, criterion: str, top_n: int) -> list[dict]:
 
 
 def select_finalist(create_log: DataFrame, datasets: Sequence[DataFrame], features, criterion: str = "prc", top_n: int = 3, folds: int = 3,
-                    parallelism: int = 2) -> tuple[dict, DataFrame]:
+                    parallelism: int = 4) -> tuple[dict, DataFrame]:
     """Re-score the finalists on further datasets; the best by median wins. Returns it with the new log."""
     chosen = [(c["algorithm"], c["params"], c["prep"]) for c in finalists(create_log, criterion, top_n)]
     logs = None
@@ -123,27 +128,25 @@ def select_finalist(create_log: DataFrame, datasets: Sequence[DataFrame], featur
 
 def experiment_matrix(
     train: DataFrame, test: DataFrame, features, winner: Mapping, label_of: Callable[[str], object], label_types: Sequence[str],
-    stages: Sequence[str | None], fractions: Sequence[float], key: str = "keys_company_id", context=None,
+    stages: Sequence[str | None], fractions: Sequence[float], key: str = "keys_company_id", context=None, parallelism: int = 4,
 ) -> DataFrame:
     """Fit the winner for every label type, stage and training fraction; score it on training and test rows.
 
     The extractor is left out, so that weights belong to features. Cells without both classes are skipped.
     """
-    rows = []
-    for kind in label_types:
-        for stage in stages:
-            def cut(df):
-                part = df if stage is None else df.where(F.col("keys_company_stage") == stage)
-                return part.withColumn("label", label_of(kind))
-
-            whole, held = cut(train), cut(test)
-            for fraction in fractions:
-                part = fraction_rows(whole, f"pmod(xxhash64({key}), 1000)", [fraction]).drop("fraction")
-                if part.select("label").distinct().count() < 2 or held.isEmpty():
-                    continue
-                model = fit(part, features, winner["algorithm"], winner["params"], winner["prep"], key, extractor=False)
-                for name, frame in (("train", part), ("test", held)):
-                    rows.append({"candidate": candidate_id(**winner), "algorithm": winner["algorithm"], "params": json.dumps(winner["params"], sort_keys=True),
-                                 "context": {"label_type": kind, "stage": stage or "All", "fraction": str(fraction), "dataset": name, **(context or {})}}
-                                | evaluate(model.predict(frame)))
+    def cell(args) -> list[dict]:
+        kind, stage, fraction = args
+        part, held = (
+            (df if stage is None else df.where(F.col("keys_company_stage") == stage)).withColumn("label", label_of(kind)) for df in (train, test))
+        part = fraction_rows(part, f"pmod(xxhash64({key}), 1000)", [fraction]).drop("fraction")
+        if part.select("label").distinct().count() < 2 or held.isEmpty():
+            return []
+        model = fit(part, features, winner["algorithm"], winner["params"], winner["prep"], key, extractor=False)
+        shared = {"candidate": candidate_id(**winner), "algorithm": winner["algorithm"], "params": json.dumps(winner["params"], sort_keys=True)}
+        return [
+            shared | {"context": {"label_type": kind, "stage": stage or "All", "fraction": str(fraction), "dataset": name, **(context or {})}}
+            | evaluate(model.predict(frame)) for name, frame in (("train", part), ("test", held))]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = [r for batch in pool.map(cell, itertools.product(label_types, stages, fractions)) for r in batch]
     return to_log(train.sparkSession, rows)

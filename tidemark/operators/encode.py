@@ -22,15 +22,27 @@ def tokens_sql(column: str) -> str:
     return f"split(lower({column}), '{SEPARATOR}')"
 
 
+def with_parsed(df: DataFrame, lists: Sequence[str] = (), pairs: Sequence[str] = ()) -> DataFrame:
+    """Adds each list or pair string in parsed form, so that it is taken apart once per row.
+
+    Lists become ``__tokens_{column}``; pairs ``"k v;k v"`` become ``__pairs_{column}``, an array of
+    (k, v text, number), parts without a value left out.
+    """
+    def pair(column: str) -> str:
+        part = ("named_struct('k', lower(split_part(p, ' ', 1)), 'v', nullif(split_part(p, ' ', 2), ''), "
+                "'number', try_cast(split_part(p, ' ', 2) AS DOUBLE))")
+        return f"filter(transform(split({column}, '{SEPARATOR}'), p -> {part}), p -> p.v IS NOT NULL) AS __pairs_{column}"
+
+    return df.selectExpr("*", *[f"{tokens_sql(c)} AS __tokens_{c}" for c in lists], *[pair(c) for c in pairs])
+
+
 def column_token(token: str) -> str:
     return plain_name(token.lower())
 
 
-def list_dummies_sql(column: str, vocabulary: Sequence[str], present: bool = True) -> list[str]:
-    """0/1 per token; rows without a list get NULL. ``present=False`` columns exist as NULL."""
-    return [
-        f"CAST(array_contains({tokens_sql(column)}, {quoted(v)}) AS INT) AS `{column}_{column_token(v)}`" for v in vocabulary
-    ]
+def list_dummies_sql(column: str, vocabulary: Sequence[str]) -> list[str]:
+    """0/1 per token; rows without a list get NULL. Needs the parsed list."""
+    return [f"CAST(array_contains(__tokens_{column}, {quoted(v)}) AS INT) AS `{column}_{column_token(v)}`" for v in vocabulary]
 
 
 def vocabulary(df: DataFrame, column: str, top_n: int | None = None, include: str | None = None,
@@ -54,24 +66,21 @@ def fit_vocabulary(df: DataFrame, column: str, top_n: int = TOP_N) -> list[str]:
 
 
 def top_dummies_sql(column: str, top: Sequence[str]) -> list[str]:
-    """Dummies of the top tokens; a row with none of them is NULL in all."""
+    """Dummies of the top tokens; a row with none of them is NULL in all. Needs the parsed list."""
     listed = "array(" + ", ".join(quoted(v) for v in top) + ")"
-    any_top = f"arrays_overlap({tokens_sql(column)}, {listed})"
     return [
-        f"CASE WHEN {any_top} THEN CAST(array_contains({tokens_sql(column)}, {quoted(v)}) AS INT) END AS `{column}_{column_token(v)}`"
-        for v in top
+        f"CASE WHEN arrays_overlap(__tokens_{column}, {listed}) THEN "
+        f"CAST(array_contains(__tokens_{column}, {quoted(v)}) AS INT) END AS `{column}_{column_token(v)}`" for v in top
     ]
 
 
 def fixed_dummies_sql(df: DataFrame, column: str, words: Sequence[str]) -> list[str]:
     """Dummies of a fixed vocabulary in fixed order; a word no row has is NULL throughout."""
-    seen = df.where(f"{column} IS NOT NULL").selectExpr(
-        "explode(array_distinct(filter(" + tokens_sql(column) + ", x -> x IN (" + ", ".join(quoted(w) for w in words) + ")))) AS w"
-    ).agg(F.collect_set("w").alias("seen")).collect()[0]["seen"]  # at most len(words) entries
-    return [
-        f"CAST(array_contains({tokens_sql(column)}, {quoted(w)}) AS INT) AS `{column}_{w}`" if w in seen
-        else f"CAST(NULL AS INT) AS `{column}_{w}`" for w in words
-    ]
+    known = ", ".join(quoted(w) for w in words)
+    seen = df.where(f"{column} IS NOT NULL").selectExpr(f"explode({tokens_sql(column)}) AS w").where(f"w IN ({known})").agg(
+        F.collect_set("w").alias("seen")).collect()[0]["seen"]  # at most len(words) entries
+    return list_dummies_sql(column, [w for w in words if w in seen]) if len(seen) == len(words) else [
+        list_dummies_sql(column, [w])[0] if w in seen else f"CAST(NULL AS INT) AS `{column}_{w}`" for w in words]
 
 
 def onehot_sql(column: str, values: Sequence[str], prefix: str | None = None) -> list[str]:
@@ -80,24 +89,13 @@ def onehot_sql(column: str, values: Sequence[str], prefix: str | None = None) ->
     return [f"CAST(coalesce(lower({column}) = {quoted(v.lower())}, false) AS INT) AS `{p}_{column_token(v)}`" for v in values]
 
 
-def pairs_sql(column: str) -> str:
-    """``"k v;k v"`` as an array of (k, v) structs; parts without a value are left out."""
-    return (
-        f"filter(transform(split({column}, '{SEPARATOR}'), p -> named_struct('k', lower(split_part(p, ' ', 1)), "
-        "'v', nullif(split_part(p, ' ', 2), ''))), p -> p.v IS NOT NULL)"
-    )
-
-
 def pair_sums_sql(column: str, keys: Sequence[str]) -> list[str]:
-    """Sum of the numbers listed for each key; NULL where the key is absent. Stays in the row."""
+    """Sum of the numbers listed for each key; NULL where the key is absent. Needs the parsed pairs."""
     suffix = column.rsplit("_", 1)[-1]
-    out = []
-    for k in keys:
-        values = f"transform(filter({pairs_sql(column)}, p -> p.k = {quoted(k)}), p -> try_cast(p.v AS DOUBLE))"
-        out.append(
-            f"CASE WHEN size(filter({values}, v -> v IS NOT NULL)) > 0 THEN "
-            f"aggregate(filter({values}, v -> v IS NOT NULL), 0D, (a, v) -> a + v) END AS `{column}_{k}_{suffix}`")
-    return out
+    return [
+        f"aggregate(__pairs_{column}, CAST(NULL AS DOUBLE), (a, p) -> CASE WHEN p.k = {quoted(k)} AND p.number IS NOT NULL "
+        f"THEN coalesce(a, 0D) + p.number ELSE a END) AS `{column}_{k}_{suffix}`" for k in keys
+    ]
 
 
 def pair_dates_sql(column: str, keys: Sequence[str], occurrences: int, last: bool = False) -> list[str]:
@@ -105,9 +103,9 @@ def pair_dates_sql(column: str, keys: Sequence[str], occurrences: int, last: boo
     suffix = column.rsplit("_", 1)[-1]
     out = []
     for k in keys:
-        values = f"transform(filter({pairs_sql(column)}, p -> p.k = {quoted(k)}), p -> try_cast(p.v AS BIGINT))"
+        values = f"transform(filter(__pairs_{column}, p -> p.k = {quoted(k)}), p -> try_cast(p.v AS BIGINT))"
         if last:
-            out.append(f"get({values}, size({values}) - 1) AS `{column}_{k}_{suffix}`")
+            out.append(f"try_element_at({values}, -1) AS `{column}_{k}_{suffix}`")
         else:
             out += [f"get(sort_array({values}), {i}) AS `{column}_{k}_{i}_{suffix}`" for i in range(occurrences)]
     return out
@@ -125,7 +123,7 @@ def pairwise_durations(df: DataFrame, dates: Sequence[str]) -> list[str]:
 
 def clean_features(df: DataFrame, pair_keys: dict[str, Sequence[str]] | None = None, top_n: int = TOP_N,
                    occurrences: int = 2) -> DataFrame:
-    """Clean every column by its suffix, in one projection. Columns without a known suffix are dropped.
+    """Clean every column by its suffix, in one pass over the rows. Columns without a known suffix are dropped.
 
     Vocabularies of list columns are fitted first (bounded by ``top_n`` or the fixed word lists);
     ``pair_keys`` gives the keys of pair columns.
@@ -149,7 +147,10 @@ def clean_features(df: DataFrame, pair_keys: dict[str, Sequence[str]] | None = N
                 raise ValueError(f"pair column {column!r} needs its keys in pair_keys")
             out += (pair_sums_sql(column, pair_keys[column]) if kind == "pair_sum"
                     else pair_dates_sql(column, pair_keys[column], occurrences))
-    return df.selectExpr(*out)
+    kinds = {c: cleaning_of(c) for c in df.columns}
+    parsed = with_parsed(df, [c for c, k in kinds.items() if k in ("types", "codes", "top_list")],
+                         [c for c, k in kinds.items() if k in ("pair_sum", "pair_dates")])
+    return parsed.selectExpr(*out)
 
 
 def feature_matrix(df: DataFrame) -> DataFrame:

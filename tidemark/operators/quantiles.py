@@ -108,7 +108,7 @@ def running_totals(
     groups = list(groups)
     at_value = df.where(F.col(order).isNotNull()).groupBy(*groups, order).agg(
         *[F.sum(c).alias(m) for m, c in measures.items()])
-    points = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("__cuts")
+    points = F.array_distinct(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).alias("__cuts")
     if groups:
         # One short array per group; where they are few they are broadcast by their measured size.
         cuts = at_value.groupBy(*groups).agg(points).withColumnsRenamed({g: f"__g{i}" for i, g in enumerate(groups)})
@@ -116,8 +116,9 @@ def running_totals(
     else:
         with_cuts = at_value.withColumn("__cuts", at_value.agg(points).scalar())
     sign = "-" if descending else ""
-    parts = with_cuts.select(
-        *groups, order, *measures, F.expr(f"{sign}size(filter(array_distinct(__cuts), c -> c < {order}))").alias("__b"))
+    # Never NULL: else the join below would have the optimiser test this on the rows before they are summed.
+    part = f"{sign}coalesce(size(filter(__cuts, c -> c < {order})), 0)"
+    parts = with_cuts.select(*groups, order, *measures, F.expr(part).alias("__b"))
     totals = parts.groupBy(*groups, "__b").agg(*[F.sum(m).alias(m) for m in measures])
     before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     # At most ``ranges`` rows per group reach this window.

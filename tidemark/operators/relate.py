@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import first_token, normalized_levenshtein
+from tidemark.session import materialize
+from tidemark.functions.text import first_token, normalized_levenshtein, standardize_name
 
 
 def merge_slices(features: DataFrame, labels: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -77,7 +78,9 @@ def names_similar(name: Column, other: Column) -> Column:
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
-    """Pairs of distinct names that share their first word and are similar by ``names_similar``.
+    """Pairs of distinct standardised names that share their first word and pass ``names_similar``.
+
+    Names are standardised once per distinct spelling, not once per row.
 
     Two names ``w …`` of one block can only pass when at least one of them is ``w`` itself or barely
     longer (``w`` makes up over four fifths of it): all points but that of the full names depend on
@@ -89,8 +92,10 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: s
         n = F.col(name)
         block = first_token(n)
         core = F.length(block) > 0.8 * F.length(n)
-        return df.select(name).where(n.isNotNull()).distinct().select(
-            n.alias(name), block.alias("__block"), core.alias(f"__core_{tag}"))
+        spellings = df.select(name).where(n.isNotNull()).distinct()
+        # Written out, or the filters on the block would move below ``distinct`` and run per row.
+        names = materialize(spellings.select(standardize_name(n).alias(name)).distinct(), "names")
+        return names.select(n.alias(name), block.alias("__block"), core.alias(f"__core_{tag}"))
 
     a, b = prepared(left, left_name, "a"), prepared(right, right_name, "b")
     similar = names_similar(F.col(left_name), F.col(right_name))

@@ -64,7 +64,7 @@ def coerce_numeric(t):
     FROM (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN replace(p_name, ' ', ';') END AS words FROM part)""")
 def list_dummies(t):
     df = t.part.selectExpr("p_partkey", "CASE WHEN p_size % 7 <> 0 THEN replace(p_name, ' ', ';') END AS words")
-    return df.selectExpr("p_partkey", *E.list_dummies_sql("words", ("red", "blue", "widget", "ring")))
+    return E.with_parsed(df, ["words"]).selectExpr("p_partkey", *E.list_dummies_sql("words", ("red", "blue", "widget", "ring")))
 
 
 @query("topn_dummies", """
@@ -79,7 +79,7 @@ def list_dummies(t):
 def topn_dummies(t):
     df = t.part.selectExpr("p_partkey", "replace(p_name, ' ', ';') AS words")
     top = E.fit_vocabulary(df, "words")
-    dummies = df.selectExpr("p_partkey", *E.top_dummies_sql("words", top))
+    dummies = E.with_parsed(df, ["words"]).selectExpr("p_partkey", *E.top_dummies_sql("words", top))
     # Long form, as the names of the columns depend on the data.
     entries = ", ".join(f"named_struct('rank', {i}L, 'token', {E.quoted(w)}, 'present', `words_{E.column_token(w)}`)"
                         for i, w in enumerate(top, 1))
@@ -92,7 +92,7 @@ def topn_dummies(t):
     FROM raw""")
 def vocab_dummies(t):
     raw = raw_rows(t)
-    return raw.selectExpr("keys_id", *E.fixed_dummies_sql(raw, "round_codes_list", ROUND_CODES))
+    return E.with_parsed(raw, ["round_codes_list"]).selectExpr("keys_id", *E.fixed_dummies_sql(raw, "round_codes_list", ROUND_CODES))
 
 
 @query("onehot", """
@@ -107,7 +107,7 @@ def onehot(t):
 @query("pair_sum", f"""
     WITH raw AS ({_RAW_SQL}) SELECT keys_id, {", ".join(_pair_sum_sql(k) for k in ("f", "k", "o", "p"))} FROM raw""")
 def pair_sum(t):
-    return raw_rows(t).selectExpr("keys_id", *E.pair_sums_sql("deal_pair", ("f", "k", "o", "p")))
+    return E.with_parsed(raw_rows(t), pairs=["deal_pair"]).selectExpr("keys_id", *E.pair_sums_sql("deal_pair", ("f", "k", "o", "p")))
 
 
 _DATE_PAIR = """lower(l_returnflag) || ' ' || CAST(1000 - l_linenumber * 7 AS VARCHAR) || ';' || lower(l_linestatus) || ' ' || CAST(l_partkey AS VARCHAR)
@@ -123,7 +123,7 @@ def pair_dates(t):
     raw = t.lineitem.selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         "concat(lower(l_returnflag), ' ', 1000 - l_linenumber * 7, ';', lower(l_linestatus), ' ', l_partkey, ';a ', l_suppkey) AS date_pair")
-    return raw.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *E.pair_dates_sql("date_pair", ("a",), 2),
+    return E.with_parsed(raw, pairs=["date_pair"]).selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *E.pair_dates_sql("date_pair", ("a",), 2),
                           *E.pair_dates_sql("date_pair", ("o",), 1, last=True))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as X
 from tidemark.operators import relate as R
 from tidemark.operators.flatten import Measure, Relation, aggregate_at, flatten_entities
 from tidemark.operators.slicing import slice_asof
@@ -118,13 +117,13 @@ def semi_join(t):
     WHERE (d1 < 0.2)::INT + (d2 < 0.2)::INT + (d3 < 0.2)::INT + 2 * (d2 = 0)::INT + 2 * (d3 = 0)::INT > 1""")
 def fuzzy_match(t):
     k = F.col("s_suppkey") % 3
-    left = t.supplier.select(X.standardize_name(F.concat(
-        "s_name", F.when(k == 0, " X Inc.").when(k == 1, " Holding Group, LLC").otherwise(" Ltd"))).alias("db_name"))
+    left = t.supplier.select(F.concat(
+        "s_name", F.when(k == 0, " X Inc.").when(k == 1, " Holding Group, LLC").otherwise(" Ltd")).alias("db_name"))
     p = F.col("l_partkey") % 4
-    right = t.lineitem.select(X.standardize_name(F.concat(
+    right = t.lineitem.select(F.concat(
         F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"),
         F.when(p == 0, " Corp").when(p == 1, " Y GmbH").when(p == 2, " Holding Groups")
-        .otherwise(F.concat(F.lit(" "), F.col("l_returnflag"), F.lit(" Division"))))).alias("other_name"))
+        .otherwise(F.concat(F.lit(" "), F.col("l_returnflag"), F.lit(" Division")))).alias("other_name"))
     return R.fuzzy_match(left, right, "db_name", "other_name")
 
 

@@ -110,9 +110,9 @@ def grid_search(df: DataFrame, features, algorithm: str, space: Mapping[str, Seq
 
 
 def finalists(log: DataFrame, criterion: str, top_n: int) -> list[dict]:
-    """The best candidates by median score; ties share a rank. ``top_n`` bounds what is collected."""
-    ranked = rank_candidates(log, "candidate", criterion, top_n)
-    return [json.loads(r["candidate"]) for r in ranked.orderBy("rank", "candidate").collect()]
+    """The ``top_n`` best candidates by median score; of equally ranked ones the first by name."""
+    ranked = rank_candidates(log, "candidate", criterion)
+    return [json.loads(r["candidate"]) for r in ranked.orderBy("rank", "candidate").limit(top_n).collect()]
 
 
 def select_finalist(create_log: DataFrame, datasets: Sequence[DataFrame], features, criterion: str = "prc", top_n: int = 3, folds: int = 3,

@@ -93,3 +93,11 @@ def test_fuzzy_match_equals_all_pairs(spark):
     got = {tuple(r) for r in R.fuzzy_match(left, right, "a", "b").collect()}
     pairs = left.crossJoin(right).where(X.first_token(F.col("a")) == X.first_token(F.col("b"))).where(R.names_similar(F.col("a"), F.col("b")))
     assert got == {tuple(r) for r in pairs.collect()} and got
+
+
+def test_side_output_and_samples(spark):
+    df = spark.range(100).selectExpr("id AS keys_id", "1 AS outcome_bool", "2.0D AS x_number")
+    assert E.keys_and_outcomes(df).columns == ["keys_id", "outcome_bool"]
+    assert E.fixed_sample(df, 10, seed=1).count() == 10 and E.fixed_sample(df, 1000).count() == 100
+    nested = E.fraction_rows(df, "keys_id * 10", [0.1, 0.5]).groupBy("fraction").count().collect()
+    assert {r["fraction"]: r["count"] for r in nested} == {0.1: 10, 0.5: 50}

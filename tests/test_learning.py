@@ -8,6 +8,7 @@ from tidemark.learning import neighbours as K
 from tidemark.learning import preprocess as R
 from tidemark.learning import search as H
 from tidemark.operators import metrics as M
+from tidemark.session import scratch_dir
 
 FEATURES = ["a_b_one_number", "a_b_two_number"]
 
@@ -52,6 +53,10 @@ def test_fisher_and_stability(rows):
 def test_search_and_finalists(rows):
     log = H.grid_search(rows, FEATURES, "LR", {"C": [0.01, 1.0], "penalty": ["l2"]}, {"scaler": "standard"}, folds=2)
     assert log.count() == 4
+    path = scratch_dir(log.sparkSession, "log")
+    H.append_log(log, path)
+    H.append_log(log, path)
+    assert log.sparkSession.read.parquet(path).count() == 8
     best, again = H.select_finalist(log, [rows], FEATURES, "f1", top_n=1, folds=2)
     assert best["algorithm"] == "LR" and again.count() >= 2
 

@@ -78,3 +78,17 @@ def test_normality_against_known_value(spark):
     row = P.add_normality(spark.sql("SELECT 100L AS n, 0D AS g1, 0D AS g2")).head()
     assert row["k2"] < 0.5 and row["p_value"] > 0.75
     assert P.add_normality(spark.sql("SELECT 5L AS n, 0D AS g1, 0D AS g2")).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_range", [50_000, 20])
+def test_kendall_equals_all_pairs(spark, monkeypatch, rows_per_range):
+    from tidemark.operators import concordance as K
+
+    monkeypatch.setattr(K, "ROWS_PER_RANGE", rows_per_range)
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random(600) < 0.35, 3.0, rng.integers(0, 50, 600))  # one value holds a third of the rows
+    y = np.round(x + rng.normal(0, 20, 600))
+    want = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
+    dx, dy = (x[:, None] != x).sum(), (y[:, None] != y).sum()
+    got = K.kendall_tau(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), "x", "y").head()
+    assert got["n"] == 600 and got["tau"] == pytest.approx(want.sum() / np.sqrt(float(dx) * float(dy)), abs=1e-12)

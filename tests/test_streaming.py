@@ -26,10 +26,13 @@ def test_upsert_equals_batch(spark, tmp_path):
     land(spark, landing, "b", "SELECT * FROM VALUES ('k', 3, 'new') AS t(k, at, v)")
     land(spark, landing, "c", "SELECT * FROM VALUES ('k', 2, 'late') AS t(k, at, v)")
     schema = spark.createDataFrame([], "k string, at int, v string").schema
-    job = I.upsert_latest(I.file_stream(spark, f"{landing}/*", schema, files_per_batch=1), str(tmp_path / "t"), str(tmp_path / "cp"), ["k"], ["at"])
-    job.awaitTermination()
+    stream, target = I.file_stream(spark, f"{landing}/*", schema, files_per_batch=1), str(tmp_path / "t")
+    I.upsert_latest(stream, target, str(tmp_path / "cp"), ["k"], ["at"]).awaitTermination()
     batch = latest_per_key(spark.read.parquet(f"{landing}/*"), ["k"], ["at"])
-    assert sorted(map(tuple, I.read_latest(spark, str(tmp_path / "t"), job).collect())) == sorted(map(tuple, batch.collect()))
+    want = sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, I.read_latest(spark, target, ["k"], ["at"]).collect())) == want
+    I.compact(spark, target, str(tmp_path / "c"), ["k"], ["at"])
+    assert sorted(map(tuple, I.read_ingested(spark, str(tmp_path / "c")).collect())) == want
 
 
 def test_late_rows_are_dropped(spark, tmp_path):

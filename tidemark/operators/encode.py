@@ -162,6 +162,11 @@ def feature_matrix(df: DataFrame) -> DataFrame:
         *[f"CASE WHEN __n.{n} = 0 THEN 0D ELSE CAST({n} AS DOUBLE) END AS {n}" for n in names])
 
 
+def keys_and_outcomes(df: DataFrame) -> DataFrame:
+    """The columns kept beside the feature matrix: names starting with ``key`` or ``outcome``."""
+    return df.select(*[c for c in df.columns if c.startswith(("key", "outcome"))])
+
+
 def missing_count_sql(columns: Sequence[str], out: str = "missing") -> str:
     return " + ".join(f"CAST({c} IS NULL AS INT)" for c in columns) + f" AS {out}"
 

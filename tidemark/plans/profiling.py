@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.naming import factor_of
 from tidemark.operators import labels as L
 from tidemark.operators import profile as P
+from tidemark.operators.concordance import kendall_tau
 from tidemark.operators.quantiles import exact_modes, exact_quantiles, melt
 from tidemark.operators.summarize import group_quantiles
 from tidemark.plans import base as B
@@ -161,6 +162,16 @@ def dense_features(t):
     return materialize(dense, "features"), names  # read several times below
 
 
+@query("kendall", """
+    WITH x AS (SELECT c_nationkey AS x, CASE WHEN c_custkey % 5 = 0 THEN 100.0 ELSE c_acctbal END AS y, c_custkey AS id FROM customer)
+    SELECT (SELECT count(*) FROM x) AS n,
+           round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / (sqrt(sum(CAST(a.x <> b.x AS INTEGER))) * sqrt(sum(CAST(a.y <> b.y AS INTEGER)))), 9) AS tau
+    FROM x a JOIN x b ON a.id < b.id""")
+def kendall(t):
+    x = t.customer.selectExpr("c_nationkey AS x", "CASE WHEN c_custkey % 5 = 0 THEN 100.0D ELSE c_acctbal END AS y")
+    return kendall_tau(x, "x", "y").withColumn("tau", F.round("tau", 9))
+
+
 @query("factor_correlation")
 def factor_correlation(t):
     df, names = dense_features(t)

@@ -27,9 +27,8 @@ def stream_ingest(t):
 def stream_latest(t):
     target, checkpoint = scratch_dir(t.spark, "latest"), scratch_dir(t.spark, "progress")
     rows = event_stream(t).select("user_id", "event_id", "ts", "event_type", "value")
-    job = I.upsert_latest(rows, target, checkpoint, ["user_id"], ["ts", "event_id"])
-    job.awaitTermination()
-    return I.read_latest(t.spark, target, job)
+    I.upsert_latest(rows, target, checkpoint, ["user_id"], ["ts", "event_id"]).awaitTermination()
+    return I.read_latest(t.spark, target, ["user_id"], ["ts", "event_id"])
 
 
 @query("events_per_window", """

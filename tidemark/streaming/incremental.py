@@ -37,22 +37,24 @@ def read_ingested(spark: SparkSession, target: str) -> DataFrame:
 
 
 def upsert_latest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], newest: Sequence[str]) -> StreamingQuery:
-    """Keep the newest row per key. Version ``n`` of the table is built from version ``n - 1`` and batch ``n``.
+    """Keep the newest row per key. Each batch is reduced to its newest rows and appended as a delta.
 
-    Rewriting a version gives the same rows again, so a repeated batch does no harm.
+    Nothing stored is rewritten per batch; ``read_latest`` merges the deltas, ``compact`` folds them
+    into one from time to time. A repeated batch overwrites its own delta.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = latest_per_key(batch, keys, newest)
-        if batch_id > 0:
-            fresh = latest_per_key(batch.sparkSession.read.parquet(f"{target}/version={batch_id - 1}").unionByName(fresh), keys, newest)
-        fresh.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        latest_per_key(batch, keys, newest).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_latest(spark: SparkSession, target: str, query: StreamingQuery) -> DataFrame:
-    """The version written by the last batch of a finished query."""
-    return spark.read.parquet(f"{target}/version={query.lastProgress['batchId']}")
+def read_latest(spark: SparkSession, target: str, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:
+    return latest_per_key(read_ingested(spark, target), keys, newest)
+
+
+def compact(spark: SparkSession, target: str, compacted: str, keys: Sequence[str], newest: Sequence[str]) -> None:
+    """All deltas of ``target`` as a single one under ``compacted``."""
+    read_latest(spark, target, keys, newest).write.mode("overwrite").parquet(f"{compacted}/batch=-1")
 
 
 def window_counts(df: DataFrame, at: str, keys: Sequence[str], width: str, value: str | None = None, late: str | None = None) -> DataFrame:

@@ -37,7 +37,8 @@ def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     Rows are first added up per distinct (x, y). Both axes are cut into value ranges, frequent values
     getting a range of their own. Pairs whose ranges differ on both axes follow from the table of range
     counts; the others are counted inside one range of one axis at a time, and a range of a single value
-    has none, so no task gets more than an even share.
+    has none, so no task gets more than an even share (about ``ROWS_PER_RANGE`` distinct points, until
+    ``MAX_RANGES`` ranges are reached; the table of counts must stay small enough for the driver).
     """
     points = df.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").groupBy(
         F.expr(f"CAST({x} AS DOUBLE)").alias("x"), F.expr(f"CAST({y} AS DOUBLE)").alias("y")).agg(F.count("*").alias("c"))

@@ -50,7 +50,7 @@ def class_report(df: DataFrame, groups: Sequence[str], y_true: str = "y_true", y
                  "struct('0' AS class, tn AS tp, fn AS fp, fp AS fn, tn + fp AS support)))")
     # An undefined value counts as 0, as in the usual printed reports.
     per_class = classes.selectExpr(*groups, "class", "support", *[
-        f"coalesce({METRICS[m]}, 0D) AS {m}".replace("tn", "0L") for m in ("precision", "recall", "f1")])
+        f"coalesce({METRICS[m]}, 0D) AS {m}" for m in ("precision", "recall", "f1")])
     total = per_class.groupBy(*groups).agg(
         F.lit("total").alias("class"), *[F.expr(f"try_divide(sum({m} * support), sum(support))").alias(m) for m in ("precision", "recall", "f1")],
         F.sum("support").alias("support"))

@@ -90,6 +90,11 @@ def age_years(founded: Column, when: Column) -> Column:
     return F.datediff(when, founded) / F.lit(DAYS_PER_YEAR)
 
 
+def unix_seconds_sql(column: str) -> str:
+    """Unix seconds of a timestamp without zone, whatever the zone of the session."""
+    return f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})"
+
+
 def counts_at_slices(
     df: DataFrame, entity: str, created: str, slices: Sequence[date], measures: Mapping[str, Column] | None = None
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.naming import ROUND_CODES, feature_names
 from tidemark.operators import encode as E
+from tidemark.operators.slicing import unix_seconds_sql
 from tidemark.plans import base as B
 from tidemark.plans.registry import query
 from tidemark.sources.bindings import with_views
@@ -159,7 +160,7 @@ def funding_ratios(t):
     f = t.rounds().groupBy("org_id").agg(
         F.count("*").alias("raises"), F.sum("raised_usd").alias("raised"),
         F.min("created_at").alias("first_on"), F.max("created_at").alias("last_on"))
-    e = f.selectExpr("*", "unix_timestamp(CAST(first_on AS TIMESTAMP)) AS first_unix", "unix_timestamp(CAST(last_on AS TIMESTAMP)) AS last_unix")
+    e = f.selectExpr("*", f"{unix_seconds_sql('first_on')} AS first_unix", f"{unix_seconds_sql('last_on')} AS last_unix")
     return e.selectExpr(
         "org_id", "first_unix", "round(try_divide(last_unix - first_unix, raises), 6) AS raise_interval",
         "round(try_divide(raised, raises), 6) AS raised_per_raise",

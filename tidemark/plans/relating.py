@@ -156,11 +156,12 @@ def set_intersection(t):
 def investor_reputation(t):
     """Everything, the investors' record included, is restricted to rounds before the slice date."""
     rounds = slice_asof(t.rounds(), FEATURE_DATE).select("round_id", "org_id")
-    backed = t.investments().join(rounds, "round_id").select("investor_id", "org_id").distinct()
-    exited = t.orgs().select("org_id", (
-        F.col("status").isin("ipo", "acquired") & (F.col("status_on") < F.lit(FEATURE_DATE))).alias("exited"))
-    record = backed.join(exited, "org_id").groupBy("investor_id").agg(
-        F.count(F.when(F.col("exited"), 1)).alias("exits"), F.count("*").alias("companies"))
+    # Line items repeat an investor of a round; one distinct over (investor, organisation) removes both kinds of repeats.
+    links = t.lineitem.selectExpr("l_orderkey AS round_id", "l_suppkey AS investor_id")
+    exits = t.orgs().selectExpr("org_id", f"status IN ('ipo', 'acquired') AND status_on < {D} AS exited")
+    # The exit flag is joined before the pairs are used twice, so that both uses share their shuffles.
+    backed = links.join(rounds, "round_id").select("investor_id", "org_id").distinct().join(exits, "org_id")
+    record = backed.groupBy("investor_id").agg(F.count_if("exited").alias("exits"), F.count("*").alias("companies"))
     return backed.join(record, "investor_id").groupBy("org_id").agg(
         F.max("exits").alias("investor_exits_max"), F.round(F.avg("companies"), 6).alias("investor_companies_mean"),
         F.count("*").alias("investors"))

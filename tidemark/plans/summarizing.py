@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import labels as L
 from tidemark.operators import summarize as Z
 from tidemark.operators.quantiles import exact_modes, exact_quantiles, running_totals
-from tidemark.operators.slicing import window_years
+from tidemark.operators.slicing import unix_seconds_sql, window_years
 from tidemark.plans import base as B
 from tidemark.plans.registry import query
 from tidemark.sources.bindings import define_view, with_views
@@ -276,4 +276,4 @@ def first_last_event(t):
            min(CAST(epoch(o_orderdate) AS BIGINT)) AS first_unix, count(*) AS n FROM orders GROUP BY 1, 2""")
 def date_parts(t):
     return t.orders.groupBy(F.year("o_orderdate").alias("year"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("quarter")).agg(
-        F.min(F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("first_unix"), F.count("*").alias("n"))
+        F.expr(f"min({unix_seconds_sql('o_orderdate')})").alias("first_unix"), F.count("*").alias("n"))

@@ -71,14 +71,6 @@ class Tables:
             .when(pct < 98, "d").otherwise("e").alias("code"),
         )
 
-    def investments(self) -> DataFrame:
-        """One row per round and investor."""
-        return (
-            self.table("lineitem")
-            .groupBy(F.col("l_orderkey").alias("round_id"), F.col("l_suppkey").alias("investor_id"))
-            .agg(F.max(F.col("l_linenumber") == 1).alias("is_lead"))
-        )
-
     def investors(self) -> DataFrame:
         return self.table("supplier").select(
             F.col("s_suppkey").alias("investor_id"), F.col("s_name").alias("investor_name"),

@@ -26,7 +26,8 @@ def loaded_schema(schema: T.StructType) -> T.StructType:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, keep_corrupt: bool = False, **options: str) -> DataFrame:
     """A CSV relation. Give the schema where it is known: inference reads the data twice.
 
-    Ragged or mistyped rows keep what could be read; ``keep_corrupt`` adds their raw text.
+    Ragged or mistyped rows keep what could be read; ``keep_corrupt`` adds their raw text. Texts may hold
+    line breaks; pass ``multiLine="false"`` where they do not, so that large files are split over tasks.
     """
     reader = spark.read.options(**{**CSV_OPTIONS, **options})
     if schema is None:

@@ -7,6 +7,7 @@ the operators below first find narrow brackets with a mergeable sketch and then
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,13 +92,18 @@ def exact_modes(df: DataFrame, groups: Sequence[str], value: str, out: str = "mo
     return counted.groupBy(*groups).agg(best.alias(out), F.max("__c").alias("mode_count"))
 
 
+def _range_count(df: DataFrame) -> int:
+    """Value ranges for ordered work: they follow the shuffle width the cluster was given."""
+    return max(128, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def running_totals(
     df: DataFrame,
     order: str,
     measures: dict[str, Column],
     groups: Sequence[str] = (),
     descending: bool = False,
-    ranges: int = 128,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Sums of ``measures`` per distinct (groups, order) value, with running totals before and with it.
 
@@ -108,20 +114,26 @@ def running_totals(
     groups = list(groups)
     at_value = df.where(F.col(order).isNotNull()).groupBy(*groups, order).agg(
         *[F.sum(c).alias(m) for m, c in measures.items()])
-    points = F.array_distinct(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).alias("__cuts")
+    ranges = ranges or _range_count(df)
+    step = math.isqrt(ranges)
+    points = F.array_distinct(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges + 10_000)).alias("fine")
     if groups:
         # One short array per group; where they are few they are broadcast by their measured size.
         cuts = at_value.groupBy(*groups).agg(points).withColumnsRenamed({g: f"__g{i}" for i, g in enumerate(groups)})
-        with_cuts = at_value.join(cuts, F.expr(" AND ".join(f"{g} <=> __g{i}" for i, g in enumerate(groups))))
+        with_cuts = at_value.join(
+            cuts.withColumnRenamed("fine", "__fine"), F.expr(" AND ".join(f"{g} <=> __g{i}" for i, g in enumerate(groups))))
     else:
-        with_cuts = at_value.withColumn("__cuts", at_value.agg(points).scalar())
+        with_cuts = at_value.withColumn("__fine", at_value.agg(points).scalar())
+    # Every step-th cut gives the block to look in, so a row is compared with about 2 * step cuts.
+    blocks = with_cuts.selectExpr(*groups, order, *measures, "__fine", f"coalesce(size(filter(transform(sequence(0, size(__fine) DIV {step}), "
+                                  f"i -> get(__fine, i * {step} + {step - 1})), c -> c < {order})), 0) AS __block")
     sign = "-" if descending else ""
     # Never NULL: else the join below would have the optimiser test this on the rows before they are summed.
-    part = f"{sign}coalesce(size(filter(__cuts, c -> c < {order})), 0)"
-    parts = with_cuts.select(*groups, order, *measures, F.expr(part).alias("__b"))
+    part = f"{sign}coalesce(__block * {step} + size(filter(slice(__fine, __block * {step} + 1, {step}), c -> c < {order})), 0)"
+    parts = blocks.select(*groups, order, *measures, F.expr(part).alias("__b"))
     totals = parts.groupBy(*groups, "__b").agg(*[F.sum(m).alias(m) for m in measures])
     before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``ranges`` rows per group reach this window.
+    # One row per part of a group reaches this window.
     offsets = totals.select(
         *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__b").alias("__ob"),
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"__o_{m}") for m in measures])

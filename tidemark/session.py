@@ -30,17 +30,25 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the shared checkpoint folder.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset (unit
-    tests on one machine) a temporary folder is chosen, and remembered in the session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made only for a
+    session whose driver and executors are one process; any other session gets an error instead of a folder
+    that its executors cannot share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh path under the shared folder."""
+    return f"{shared_root(spark)}/tidemark/{purpose}-{uuid.uuid4().hex}"
 
 
 def default_cpus() -> int:

@@ -31,6 +31,7 @@ from tidemark.llm.tables import components, partitions_of, sized, written
 from tidemark.llm.words import Hasher, Words, chunks, mix, pack, text_buffers, unpack
 
 FEW = 32             # sets sharing a signature up to this number are compared in pairs
+CELLS = 256          # cells of the histograms by which pairs are screened
 BLOCK = 256          # sets in a block of the comparison beyond it
 BUCKET = 1_500_000   # signatures that one grouping task holds
 
@@ -118,6 +119,11 @@ def linked(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
     return common * q >= p * (len(a) + len(b) - common)
 
 
+def histogram(hashes: np.ndarray) -> np.ndarray:
+    """Shingles by cell of their hash. Two sets differ by at least as many shingles as their histograms do."""
+    return np.minimum(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, jaccard: str = "0.75") -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (smallest key reachable by links), n_copies."""
     ratio = Fraction(jaccard)
@@ -152,7 +158,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         for batch in batches:
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy()
-            sigs, owners, seen = [], [], set()
+            sigs, owners, signed, spares, seen = [], [], [], [], set()
             for begin, _, hashes, first in sets_of(hasher, batch.column(1), k):
                 # Copies within a batch are signed once.
                 marks = sums_at(mix(hashes + np.uint64(11)), first)
@@ -163,9 +169,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                         keep[i] = True
                 size = np.where(keep, np.diff(first), 0)
                 hashes = hashes[np.repeat(keep, np.diff(first))]
-                sig, owner, _, _ = signatures(hashes, np.concatenate([[0], np.cumsum(size)]), ratio)
+                sig, owner, own, above = signatures(hashes, np.concatenate([[0], np.cumsum(size)]), ratio)
                 sigs.append(sig)
                 owners.append(ids[begin + owner])
+                signed.append(ids[begin + np.flatnonzero(keep)])
+                spares.append(np.where(above < 0, own, np.minimum(own, above))[keep])
             if not sigs:
                 continue
             sig, owner = np.concatenate(sigs), np.concatenate(owners)
@@ -174,69 +182,87 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             sig, owner, bucket = sig[order], owner[order], bucket[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = [*at[1:], len(sig)]
+            # Besides the signatures of each bucket, one row has the spare numbers of the batch's sets.
+            signed = np.concatenate(signed)
+            home = int(mix(signed[:1].astype(np.uint64))[0] % np.uint64(buckets)) if len(signed) else 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[at]), pa.array([pack(sig[i:j]) for i, j in zip(at, ends)], pa.binary()),
-                 pa.array([pack(owner[i:j]) for i, j in zip(at, ends)], pa.binary())], ["bucket", "sig", "owner"])
+                [pa.array([*bucket[at], home], pa.int64()), pa.array([*(pack(sig[i:j]) for i, j in zip(at, ends)), None], pa.binary()),
+                 pa.array([*(pack(owner[i:j]) for i, j in zip(at, ends)), pack(signed)], pa.binary()),
+                 pa.array([*[None] * len(at), pack(np.concatenate(spares))], pa.binary())], ["bucket", "sig", "owner", "spare"])
 
     def meet(table: pa.Table) -> pa.Table:
+        told = table.filter(table["sig"].is_null())
+        table = table.filter(table["sig"].is_valid())
         sig, owner = unpack(table["sig"], np.uint64), unpack(table["owner"], np.int64)
         order = np.argsort(sig)
         sig, owner = sig[order], owner[order]
         at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
         count = np.diff(np.append(at, len(sig)))
         few = (count > 1) & (count <= FEW)
-        a, b = [], []
+        pairs, times = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
         for c in np.unique(count[few]):
             rows = np.sort(owner[at[few & (count == c)][:, None] + np.arange(c)], axis=1)
             i, j = np.triu_indices(c, 1)
-            pairs = np.unique(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], 1), axis=0)
-            a.append(pairs[:, 0])
-            b.append(pairs[:, 1])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        if len(a):
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            a, b = pairs[:, 0], pairs[:, 1]
+            one, n = np.unique(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], 1), axis=0, return_counts=True)
+            pairs.append(one)
+            times.append(n)
+        pairs, times = np.concatenate(pairs), np.concatenate(times)
         many = np.repeat(count > FEW, count)
-        none = pa.nulls(int(many.sum()), pa.int64())
+        who, spare = unpack(told["owner"], np.int64), unpack(told["spare"], np.int64)
+        # (a, b, n): n signatures shared by two sets; (a, sig, n): one of n sets with it; (a, n): spare signatures.
         return pa.table({
-            "a": pa.chunked_array([pa.array(a), pa.array(owner[many])]), "b": pa.chunked_array([pa.array(b), none]),
-            "sig": pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(sig[many].view(np.int64))]),
-            "freq": pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(np.repeat(count, count)[many])])})
+            "a": np.concatenate([pairs[:, 0], owner[many], who]),
+            "b": pa.chunked_array([pa.array(pairs[:, 1]), pa.nulls(int(many.sum()) + len(who), pa.int64())]),
+            "sig": pa.chunked_array([pa.nulls(len(pairs), pa.int64()), pa.array(sig[many].view(np.int64)), pa.nulls(len(who), pa.int64())]),
+            "n": np.concatenate([times, np.repeat(count, count)[many], spare])})
 
     met = written(
-        plain.mapInArrow(sign, "bucket long, sig binary, owner binary").groupBy("bucket")
-        .applyInArrow(meet, "a long, b long, sig long, freq long"), "met")
+        plain.mapInArrow(sign, "bucket long, sig binary, owner binary, spare binary").groupBy("bucket")
+        .applyInArrow(meet, "a long, b long, sig long, n long"), "met")
 
     def by_node(df: DataFrame, column: str) -> DataFrame:
         return df.join(of.withColumnRenamed("of", "__of"), F.col(column) == F.col("__of"), "left").withColumn(
             column, F.coalesce("node", column)).drop("node", "__of")
 
-    pairs = by_node(by_node(met.where("b IS NOT NULL").select("a", "b").distinct(), "a"), "b")
-    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    shared = written(by_node(met.where("b IS NULL").select("sig", F.col("a").alias("id"), "freq"), "id").distinct(), "shared")
-
-    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(shared.select("id")).distinct(), "wanted")
+    spare = by_node(met.where("b IS NULL AND sig IS NULL").select(F.col("a").alias("id"), F.col("n").alias("spare")), "id").groupBy("id").agg(F.min("spare").alias("spare"))
+    shared = by_node(met.where("sig IS NOT NULL").select("sig", F.col("a").alias("id"), F.col("n").alias("freq")), "id").distinct()
+    # The spare most frequent signatures of a set decide nothing. (Of two bands the smaller spare number holds.)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("freq"), "sig"))
+    shared = written(shared.join(spare, "id").select("*", place.alias("place")), "shared")
+    retained = shared.where("place > spare").select("sig", "id")
+    # Linked sets share more signatures than either can spare; much shared ones are counted as if all were common.
+    room = spare.join(shared.groupBy("id").agg(F.count("*").alias("hot")), "id", "left").select(
+        "id", F.struct(F.coalesce("hot", F.lit(0)).alias("hot"), "spare").alias("r"))
+    pairs = by_node(by_node(met.where("b IS NOT NULL").select("a", "b", "n"), "a"), "b").where("a <> b").groupBy(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"))
+    pairs = pairs.join(room.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").join(
+        room.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
+    pairs = written(pairs.where("n + least(ra.hot, rb.hot) > greatest(ra.spare, rb.spare)").select("a", "b"), "pairs")
+
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(retained.select("id"))
+    wanted = written(ids.distinct(), "wanted")
 
     def gather(batches):
         hasher = Hasher()
         for batch in batches:
-            rows = []
-            for begin, last, hashes, first in sets_of(hasher, batch.column(1), k):
-                _, _, own, above = signatures(hashes, first, ratio)
-                rows += [(pack(hashes[first[i]: first[i + 1]]), int(own[i]), int(above[i])) for i in range(last - begin)]
-            if rows:
+            items, cells, size = [], [], []
+            for _, _, hashes, first in sets_of(hasher, batch.column(1), k):
+                items += [pack(hashes[i:j]) for i, j in zip(first[:-1], first[1:])]
+                cells += [pack(histogram(hashes[i:j])) for i, j in zip(first[:-1], first[1:])]
+                size.append(np.diff(first))
+            if items:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64())))],
-                    ["id", "items", "own", "above"])
-
-    kept = plain.join(sized(wanted, 16), "id", "left_semi").mapInArrow(gather, "id long, items binary, own long, above long")
-    sets = written(kept.dropDuplicates(["id"]), "items")
-    # The spare most frequent signatures of a set decide nothing. As the two bands of a set are not told apart
-    # here, the smaller spare number holds for both.
-    spare = sets.select(F.col("id").alias("sid"), F.when(F.col("above") >= 0, F.least("own", "above")).otherwise(F.col("own")).alias("spare"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("freq"), "sig"))
-    shared = written(shared.join(spare, F.col("id") == F.col("sid")).select("*", place.alias("place")).where("place > spare").select("sig", "id"), "retained")
+                    [batch.column(0), pa.array(items, pa.binary()), pa.array(cells, pa.binary()), pa.array(np.concatenate(size), pa.int64())],
+                    ["id", "items", "cells", "size"])
+
+    sets = written(plain.join(sized(wanted, 16), "id", "left_semi").mapInArrow(
+        gather, "id long, items binary, cells binary, size long").dropDuplicates(["id"]), "items")
+
+    def screen(batches):
+        for batch in batches:
+            x, y = (unpack(batch.column(i), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (2, 3))
+            hit = np.abs(x - y).sum(axis=1) * (q + p) <= batch.column(4).to_numpy() * (q - p)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit))
 
     def compare(batches):
         for batch in batches:
@@ -245,9 +271,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     def verified(candidates: DataFrame) -> DataFrame:
-        left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        return candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+        def sides(df: DataFrame, *columns: str) -> DataFrame:
+            left = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+            right = sets.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+            return df.join(left, "a").join(right, "b")
+
+        near = sides(candidates, "cells", "size").select("a", "b", "cells_a", "cells_b", F.expr("size_a + size_b").alias("size"))
+        near = written(near.mapInArrow(screen, "a long, b long"), "near")
+        return sides(near, "items").select("a", "b", "items_a", "items_b").mapInArrow(compare, "a long, b long")
 
     def labelled(df: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
         return df.join(labels.withColumnsRenamed({"id": "__k", "component": "__c"}), F.col(column) == F.col("__k"), "left").withColumn(
@@ -256,8 +287,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # First round: of every set only the pair with the smallest partner that shares a signature, and with the
     # first set of each much shared one.
     star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", "b"))
-    centre = shared.groupBy("sig").agg(F.min("id").alias("a"))
-    hub = shared.join(centre, "sig").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    centre = retained.groupBy("sig").agg(F.min("id").alias("a"))
+    hub = retained.join(centre, "sig").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     edges = written(verified(star.union(hub).distinct()), "edges")
     labels = written(components(edges), "components")
     # Second round: pairs that are still apart.

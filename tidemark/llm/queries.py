@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.fingerprints import imatch
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import judge
@@ -63,3 +64,8 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 @register
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch(table(spark, sf_dir, "documents"))

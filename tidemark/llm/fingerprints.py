@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.quality import SPACES, held
 from tidemark.llm.tables import partitions_of, sized, written
 
-LEAST, MOST = 0.0005, 0.25
+LEAST, MOST = 0.001, 0.25
 RATES = tuple(4 ** (1 + s // 6) for s in range(24))  # six subsets each of a 4th, 16th, 64th and 256th of the lexicon
 NONE = "--------"
 
@@ -35,14 +35,13 @@ def terms(text: str) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str) -> DataFrame:
-    """term, mask: the terms in the band, with a bit for each subset that holds them."""
+    """term, h0, h2 …: the terms in the band; h<s> holds 32 bits of hash for subset s and 32 for s + 1, 0 where it is not in them."""
     total = docs.count()
     found = docs.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    bits = [F.when(F.pmod(F.xxhash64("term", F.lit(s + 100)), F.lit(rate)) == 0, F.lit(1 << s)).otherwise(F.lit(0)) for s, rate in enumerate(RATES)]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
-    return found.where((F.col("df") >= max(2, LEAST * total)) & (F.col("df") <= max(2, MOST * total))).select("term", mask.cast("bigint").alias("mask"))
+    hashes = [F.when(F.pmod(F.xxhash64("term", F.lit(s + 100)), F.lit(rate)) == 0, F.xxhash64("term", F.lit(s)).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0))
+              for s, rate in enumerate(RATES)]
+    pairs = [(F.shiftleft(hashes[s], 32).bitwiseOR(hashes[s + 1])).cast("bigint").alias(f"h{s}") for s in range(0, len(RATES), 2)]
+    return found.where((F.col("df") >= max(2, LEAST * total)) & (F.col("df") <= max(2, MOST * total))).select("term", *pairs)
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -69,11 +68,13 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sided(text: str, side: int) -> Column:
-    return F.transform(terms(text), lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+    # One row for each side comes first, so that no document gets lost.
+    return F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(side).alias("side"))),
+                    F.transform(terms(text), lambda t: F.struct(t.alias("t"), F.lit(side).alias("side"))))
 
 
 def spelled(hashes: str) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.substring(F.lpad(F.hex(h), 16, "0"), 9, 8), F.lit(NONE))), "")
+    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lpad(F.hex(h), 8, "0"), F.lit(NONE))), "")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -84,21 +85,22 @@ def likeness(a: str, b: str) -> Column:
 
 def imatch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    known = sized(written(lexicon(docs, text), "lexicon"), 24)
+    known = sized(written(lexicon(docs, text), "lexicon"), 8 * (len(RATES) // 2 + 2))
     pairs = with_next(docs, key, text)
     # Documents keep their range from here on, so grouping and looking ahead again need no exchange.
     pairs = held(pairs, edited=F.expr("concat(substring(text, 1, length(text) - CAST(floor(length(text) / 2) AS INT)), "
                                       "substring(coalesce(next_text, ''), 1, CAST(floor(length(text) / 2) AS INT)))"))
+    pairs = held(pairs, n_chars=F.length("text").cast("long"), edited_sha256=F.sha2(F.col("edited").cast("binary"), 256))
     marked = pairs.select(
-        "part", "place", "ghost", "key", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.explode_outer(F.concat(sided("text", 0), sided("edited", 1))).alias("x"))
+        "part", "place", "ghost", "key", "n_chars", "edited_sha256", F.explode(F.concat(sided("text", 0), sided("edited", 1))).alias("x"))
     hits = marked.join(known, F.col("x.t") == F.col("term"), "left")
     keys = ("part", "place", "ghost", "key", "n_chars", "edited_sha256")
-    sums = hits.groupBy(*keys).agg(*[
-        F.bit_xor(F.when((F.col("x.side") == side) & (F.col("mask").bitwiseAND(F.lit(1 << s)) != 0), F.col("x.t"))).alias(f"h{side}_{s}")
-        for side in (0, 1) for s in range(len(RATES))])
-    prints = sums.select(*keys, *[F.array(*[F.col(f"h{side}_{s}") for s in range(len(RATES))]).alias(n) for side, n in enumerate(("own", "edit"))])
-    following = F.lead("own").over(Window.partitionBy("part").orderBy("place"))
-    return prints.withColumn("next", following).where("ghost = 0").select(
+    names = [f"h{s}" for s in range(0, len(RATES), 2)]
+    sums = hits.groupBy(*keys, F.col("x.side").alias("side")).agg(*[F.bit_xor(n).alias(n) for n in names])
+    halves = [h for n in names for h in (F.shiftrightunsigned(F.coalesce(n, F.lit(0)), 32), F.coalesce(n, F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)))]
+    # A document's own row is followed by its edited text's and the next document's own.
+    order = Window.partitionBy("part").orderBy("place", "side")
+    prints = sums.select(*keys, "side", F.array(*[F.nullif(h.cast("bigint"), F.lit(0).cast("bigint")) for h in halves]).alias("own"))
+    return prints.withColumns({"edit": F.lead("own").over(order), "next": F.lead("own", 2).over(order)}).where("ghost = 0 AND side = 0").select(
         F.col("key").alias(key), "n_chars", "edited_sha256", spelled("own").alias("fingerprint"), spelled("edit").alias("edited_fingerprint"),
         likeness("own", "edit").alias("near_edited"), likeness("own", "next").alias("near_next"))

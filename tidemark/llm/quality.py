@@ -20,6 +20,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 CLASSES = (r"\p{Lu}", r"\p{Ll}", r"\p{N}", r"\s", r"[.,;:!?'\"()-]", r"[#*$%&|<>@^~=+_/\\{}\[\]]")
 COMMON = 0.004
 WINDOW = 5
+SIEVE = 1024
 
 
 def held(df: DataFrame, **columns: Column) -> DataFrame:
@@ -34,7 +35,7 @@ def words_of(text: str) -> Column:
 def class_counts(text: str) -> Column:
     """Code points of each class, and of none, as an array."""
     whole = F.length(text)
-    counts = [(whole - F.length(F.regexp_replace(text, c, ""))).cast("double") for c in CLASSES]
+    counts = [(whole - F.length(F.regexp_replace(text, f"{c}+", ""))).cast("double") for c in CLASSES]
     return F.array(*counts, whole - sum(counts[1:], counts[0]))
 
 
@@ -69,21 +70,24 @@ def language_references(docs: DataFrame, text: str, lang: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "w", (F.col("n") / F.col("total")).alias("s")))).alias("x")).withColumnRenamed("lang", "l")
     return chars.join(common, F.col("lang").eqNullSafe(F.col("l")), "left").select(
         "lang", "class_shares", F.coalesce(F.col("x.w"), F.array().cast("array<bigint>")).alias("common"),
-        F.coalesce(F.expr("concat(x.s, array(1D - aggregate(x.s, 0D, (a, v) -> a + v)))"), F.array(F.lit(1.0))).alias("common_shares"))
+        F.coalesce(F.expr("concat(x.s, array(1D - aggregate(x.s, 0D, (a, v) -> a + v)))"), F.array(F.lit(1.0))).alias("common_shares"),
+        # Most words are told from common ones by one look.
+        F.coalesce(F.expr(f"transform(sequence(0, {SIEVE - 1}), i -> exists(x.w, w -> pmod(w, {SIEVE}) = i))"),
+                   F.expr(f"array_repeat(false, {SIEVE})")).alias("sieve"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_chars: int = 200, min_words: int = 50,
           max_class: float = 0.3, max_common: float = 0.45, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: the counts, base_failed, class_distance, common_distance, kept, and the columns named in ``keep``."""
-    refs = sized(written(language_references(docs, text, lang), "languages"), 8_000).withColumnRenamed("lang", "ref_lang")
+    refs = sized(written(language_references(docs, text, lang), "languages"), 12_000).withColumnRenamed("lang", "ref_lang")
     df = docs.select(F.struct(*[F.col(c) for c in {key: 0, **dict.fromkeys(keep)}]).alias("row"), F.col(lang).alias("lang"),
                      F.coalesce(F.col(text), F.lit("")).alias("t"))
     df = held(df, words=words_of("t"))
     df = held(df, hashes=F.transform("words", lambda w: F.xxhash64(w)), n_words=F.size("words").cast("long"),
-              chars=class_counts("t"), lines=F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0))
+              chars=class_counts("t"), lines=F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     df = df.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     df = held(df, windows=F.expr(f"if(n_words >= {WINDOW}, {repeated_words('hashes')}, array())").cast("array<bigint>"),
-              hits=F.filter("hashes", lambda h: F.array_contains("common", h)))
+              hits=F.filter("hashes", lambda h: F.get("sieve", F.pmod(h, F.lit(SIEVE)).cast("int")) & F.array_contains("common", h)))
     df = held(df, placed=F.expr("if(size(array_distinct(windows)) < size(windows), "
                                 "sort_array(transform(windows, (h, i) -> struct(h AS h, i AS i))), array())"),
               counts=F.expr("concat(transform(common, c -> CAST(size(hits) - size(array_remove(hits, c)) AS DOUBLE)), array(CAST(n_words - size(hits) AS DOUBLE)))"))
@@ -93,11 +97,11 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     covered = (f"aggregate(sort_array({again}), struct(-{WINDOW} AS last, 0L AS n), (a, i) -> struct(i AS last, "
                f"a.n + least({WINDOW}, i - a.last) AS n), a -> a.n)")
     df = held(df, n_repeat_words=F.expr(covered), class_distance=distance("chars", "class_shares"), common_distance=distance("counts", "common_shares"))
-    symbols = F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))
+    symbols = F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]+", ""))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     fits = ((F.length("t") < min_chars) | (F.coalesce("class_distance", F.lit(0.0)) <= max_class)) & (
         (F.col("n_words") < min_words) | (F.coalesce("common_distance", F.lit(0.0)) <= max_common))
     return df.select(
-        "row.*", "n_words", F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
+        "row.*", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         failed.alias("base_failed"), "class_distance", "common_distance", (~failed & fits).alias("kept"))

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.tables import sized, written
 
 SPACES = r"[\x20\x09-\x0D]+"
-CLASSES = (r"\p{Lu}", r"\p{Ll}", r"\p{N}", r"\s", r"[.,;:!?'\"()-]", r"[#*$%&|<>@^~=+_/\\{}\[\]]")
+#: Character classes beside lower-case letters and white space, which make up nearly all of a text.
+PLAIN = r"[\p{Ll}\s]+"
+CLASSES = (r"\p{Lu}", r"\p{N}", r"[.,;:!?'\"()-]", r"[#*$%&|<>@^~=+_/\\{}\[\]]")
 COMMON = 0.004
 WINDOW = 5
 SIEVE = 1024
@@ -32,11 +34,10 @@ def words_of(text: str) -> Column:
     return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), "")
 
 
-def class_counts(text: str) -> Column:
-    """Code points of each class, and of none, as an array."""
-    whole = F.length(text)
-    counts = [(whole - F.length(F.regexp_replace(text, f"{c}+", ""))).cast("double") for c in CLASSES]
-    return F.array(*counts, whole - sum(counts[1:], counts[0]))
+def class_counts(text: str, rest: str) -> Column:
+    """Code points of ``PLAIN``, of each class and of none, as an array. ``rest`` is the text without ``PLAIN``."""
+    counts = [(F.length(rest) - F.length(F.regexp_replace(rest, f"{c}+", ""))).cast("double") for c in CLASSES]
+    return F.array((F.length(text) - F.length(rest)).cast("double"), *counts, F.length(rest) - sum(counts[1:], counts[0]))
 
 
 def repeated_words(hashes: str, k: int = WINDOW) -> str:
@@ -58,8 +59,8 @@ def distance(own: str, reference: str) -> Column:
 def language_references(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """One row per language: lang, shares of character classes, hashes of common words and their shares."""
     rows = docs.select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    n = len(CLASSES) + 1
-    chars = held(rows, c=class_counts("t")).groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)])
+    n = len(CLASSES) + 2
+    chars = held(held(rows, rest=F.regexp_replace("t", PLAIN, "")), c=class_counts("t", "rest")).groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)])
     total = F.greatest(sum((F.col(f"c{i}") for i in range(1, n)), F.col("c0")), F.lit(1.0))
     chars = chars.select("lang", F.array(*[F.col(f"c{i}") / total for i in range(n)]).alias("class_shares"))
     words = rows.select("lang", F.explode(F.transform(words_of("t"), lambda w: F.xxhash64(w))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
@@ -82,9 +83,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     refs = sized(written(language_references(docs, text, lang), "languages"), 12_000).withColumnRenamed("lang", "ref_lang")
     df = docs.select(F.struct(*[F.col(c) for c in {key: 0, **dict.fromkeys(keep)}]).alias("row"), F.col(lang).alias("lang"),
                      F.coalesce(F.col(text), F.lit("")).alias("t"))
-    df = held(df, words=words_of("t"))
+    df = held(df, words=words_of("t"), rest=F.regexp_replace("t", PLAIN, ""))
     df = held(df, hashes=F.transform("words", lambda w: F.xxhash64(w)), n_words=F.size("words").cast("long"),
-              chars=class_counts("t"), lines=F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
+              chars=class_counts("t", "rest"), lines=F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     df = df.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     df = held(df, windows=F.expr(f"if(n_words >= {WINDOW}, {repeated_words('hashes')}, array())").cast("array<bigint>"),
               hits=F.filter("hashes", lambda h: F.get("sieve", F.pmod(h, F.lit(SIEVE)).cast("int")) & F.array_contains("common", h)))
@@ -97,7 +98,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     covered = (f"aggregate(sort_array({again}), struct(-{WINDOW} AS last, 0L AS n), (a, i) -> struct(i AS last, "
                f"a.n + least({WINDOW}, i - a.last) AS n), a -> a.n)")
     df = held(df, n_repeat_words=F.expr(covered), class_distance=distance("chars", "class_shares"), common_distance=distance("counts", "common_shares"))
-    symbols = F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]+", ""))
+    symbols = F.length("rest") - F.length(F.regexp_replace("rest", "[#*$%&|<>]+", ""))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     fits = ((F.length("t") < min_chars) | (F.coalesce("class_distance", F.lit(0.0)) <= max_class)) & (
         (F.col("n_words") < min_words) | (F.coalesce("common_distance", F.lit(0.0)) <= max_common))

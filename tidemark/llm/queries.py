@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.fingerprints import imatch
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.packing import pack
 from tidemark.llm.quality import judge
 from tidemark.llm.url_rules import fixed_rules, judge_urls
 
@@ -24,6 +25,12 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -69,3 +76,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.fingerprints import imatch
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import judge
+from tidemark.llm.substring_dedup import dedup
 from tidemark.llm.url_rules import fixed_rules, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +83,9 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

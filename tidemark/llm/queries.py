@@ -13,6 +13,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import judge
 from tidemark.llm.substring_dedup import dedup
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.url_rules import fixed_rules, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +90,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

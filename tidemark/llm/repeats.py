@@ -115,8 +115,8 @@ def repeated_samples(docs: DataFrame, chunks_of: Callable[[pa.RecordBatch], Iter
 
 
 def by_document(owner: np.ndarray, *values: np.ndarray) -> list[tuple]:
-    """(document, its values …), values sorted by the first array."""
-    order = np.lexsort((values[0], owner))
+    """(document, its values …), values sorted by the first array or its first column."""
+    order = np.lexsort((values[0] if values[0].ndim == 1 else values[0][:, 0], owner))
     owner, values = owner[order], [v[order] for v in values]
     at = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1)) if len(owner) else np.zeros(0, np.int64)
     return [(int(owner[i]), *(v[i:j] for v in values)) for i, j in zip(at, [*at[1:], len(owner)])]

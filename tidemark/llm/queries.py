@@ -11,6 +11,7 @@ from tidemark.llm.fingerprints import imatch
 from tidemark.llm.html_extract import extract
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.mixing_lm import score
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import judge
 from tidemark.llm.substring_dedup import dedup
@@ -102,3 +103,8 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+@register
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import BROADCAST_BYTES, partitions_of, written
+from tidemark.llm.tables import BROADCAST_BYTES
 from tidemark.llm.words import mix, pack, unpack
 
-BUCKET = 2_000_000  # samples that one grouping task holds
+BUCKET = 500_000  # samples that one grouping task holds
 
 
 def sliding(x: np.ndarray, w: int, best: Callable) -> np.ndarray:
@@ -55,7 +55,7 @@ def repeated_samples(docs: DataFrame, chunks_of: Callable[[pa.RecordBatch], Iter
 
     ``docs``: id, text. ``chunks_of`` gives (first document, bounds, Samples) for a batch. ``samples``: about how many.
     """
-    buckets = max(partitions_of(docs), samples // BUCKET + 1)
+    buckets = samples // BUCKET + 1
 
     def send(batches):
         for batch in batches:
@@ -79,8 +79,7 @@ def repeated_samples(docs: DataFrame, chunks_of: Callable[[pa.RecordBatch], Iter
             other = np.ones(len(value), bool)  # not the same place again
             other[1:] = head[1:] | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
             twice = np.bincount(run[other], minlength=run[-1] + 1 if len(run) else 0)[run] > 1 if len(run) else np.zeros(0, bool)
-            rows = by_document(owner[twice], place[twice])
-            home = [int(x) for x in mix(np.array([r[0] for r in rows], np.int64).astype(np.uint64)) % np.uint64(buckets)] if rows else []
+            direct = homed(owner[twice], place[twice], buckets)
             value, owner, place = value[head], owner[head], place[head]
             bucket = ((value >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -88,14 +87,14 @@ def repeated_samples(docs: DataFrame, chunks_of: Callable[[pa.RecordBatch], Iter
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = [*at[1:], len(value)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([*bucket[at].tolist(), *home], pa.int64()),
-                pa.array([*(pack(value[i:j]) for i, j in zip(at, ends)), *[None] * len(rows)], pa.binary()),
-                pa.array([*(pack(owner[i:j]) for i, j in zip(at, ends)), *(pack(np.array([r[0]])) for r in rows)], pa.binary()),
-                pa.array([*(pack(place[i:j]) for i, j in zip(at, ends)), *(pack(r[1]) for r in rows)], pa.binary())],
+                pa.array([*bucket[at].tolist(), *direct["home"].to_pylist()], pa.int64()),
+                pa.array([*(pack(value[i:j]) for i, j in zip(at, ends)), *[None] * direct.num_rows], pa.binary()),
+                pa.array([*(pack(owner[i:j]) for i, j in zip(at, ends)), *direct["owner"].to_pylist()], pa.binary()),
+                pa.array([*(pack(place[i:j]) for i, j in zip(at, ends)), *direct["place"].to_pylist()], pa.binary())],
                 ["bucket", "value", "owner", "place"])
 
     def meet(table: pa.Table) -> pa.Table:
-        direct = table.filter(table["value"].is_null())
+        told = unhomed(table.filter(table["value"].is_null()))
         table = table.filter(table["value"].is_valid())
         value, owner, place = unpack(table["value"], np.uint64), unpack(table["owner"], np.int64), unpack(table["place"], np.uint32)
         order = np.lexsort((place, owner, value))
@@ -106,12 +105,37 @@ def repeated_samples(docs: DataFrame, chunks_of: Callable[[pa.RecordBatch], Iter
         many = np.zeros(run[-1] + 1 if len(run) else 0, bool)
         many[run[1:][other]] = True
         hit = many[run] if len(run) else np.zeros(0, bool)
-        rows = by_document(owner[hit], place[hit])
-        return pa.table({"id": pa.array([*(r[0] for r in rows), *unpack(direct["owner"], np.int64).tolist()], pa.int64()),
-                         "mark": pa.array([*(pack(r[1]) for r in rows), *direct["place"].to_pylist()], pa.binary())})
+        return homed(np.concatenate([owner[hit], told[0]]), np.concatenate([place[hit], told[1]]), buckets)
 
-    return docs.mapInArrow(send, "bucket long, value binary, owner binary, place binary").groupBy("bucket").applyInArrow(
-        meet, "id long, mark binary").groupBy("id").agg(F.collect_list("mark").alias("marks"))
+    return by_home(docs.mapInArrow(send, "bucket long, value binary, owner binary, place binary").groupBy("bucket").applyInArrow(
+        meet, "home long, owner binary, place binary"), "marks")
+
+
+def homed(owner: np.ndarray, place: np.ndarray, homes: int) -> pa.Table:
+    """(document, place) pairs, packed into a row for each home of documents. A place is a number or a pair of them."""
+    home = (mix(owner.astype(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    owner, place, home = owner[order], place[order], home[order]
+    at = np.flatnonzero(np.diff(home, prepend=-1))
+    ends = [*at[1:], len(home)]
+    return pa.table({"home": pa.array(home[at], pa.int64()), "owner": pa.array([pack(owner[i:j].astype(np.int64)) for i, j in zip(at, ends)], pa.binary()),
+                     "place": pa.array([pack(place[i:j].astype(np.uint32)) for i, j in zip(at, ends)], pa.binary())})
+
+
+def unhomed(table: pa.Table, wide: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    place = unpack(table["place"], np.uint32)
+    return unpack(table["owner"], np.int64), place.reshape(-1, wide) if wide > 1 else place
+
+
+def by_home(rows: DataFrame, name: str, finish: Callable[[np.ndarray], np.ndarray] | None = None, wide: int = 1) -> DataFrame:
+    """One row for each document: id and its places, as a list of one packed array."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        found = by_document(*unhomed(table, wide))
+        return pa.table({"id": pa.array([f[0] for f in found], pa.int64()),
+                         name: pa.array([[pack((finish(f[1]) if finish else f[1]).astype(np.uint32))] for f in found], pa.list_(pa.binary()))})
+
+    return rows.groupBy("home").applyInArrow(settle, f"id long, {name} array<binary>")
 
 
 def by_document(owner: np.ndarray, *values: np.ndarray) -> list[tuple]:
@@ -154,5 +178,3 @@ def merged(stretches: np.ndarray) -> np.ndarray:
     new = np.concatenate([[True], s[1:, 0] > reach[:-1]])
     return np.stack([s[new, 0], reach[np.append(np.flatnonzero(new)[1:], len(s)) - 1]], 1)
 
-
-__all__ = ["Samples", "beside", "by_document", "merged", "places", "repeated_samples", "runs", "written"]

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.repeats import Samples, beside, by_document, places, repeated_samples, runs
-from tidemark.llm.tables import partitions_of, written
+from tidemark.llm.repeats import Samples, beside, by_home, homed, places, repeated_samples, runs, unhomed
+from tidemark.llm.tables import written
 from tidemark.llm.words import Hasher, Words, chunks, mix, pack, text_buffers, unpack
 
 GRAM = 8
 FIRST = 4096         # bins of first words
-GROUP = 1_000_000    # suffixes that a group is to hold
+GROUP = 250_000    # suffixes that a group is to hold
 
 
 def gram_hashes(words: Words, k: int) -> np.ndarray:
@@ -55,7 +55,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         firsts[r["bin"]] = r["n"] or 0
     total = int(firsts.sum())
     marks = written(repeated_samples(plain, lambda b: (x[:3] for x in chunks_of(b)), total // 6), "marks")
-    share = max(1, total // 4 // max(partitions_of(docs), total // 4 // GROUP + 1))
+    share = GROUP
+    homes = total // 4 // GROUP + 1
     parts = np.maximum(1, -(-firsts // 4 // share))        # groups of each bin of first words
     base = np.concatenate([[0], np.cumsum(parts)[:-1]])
     light = np.flatnonzero(parts == 1)
@@ -94,7 +95,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             one, two, owner, place, group = (x[order] for x in (one, two, owner, place, group))
             again = np.zeros(len(one), bool)
             again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-            told = by_document(*later(again, owner, place))
+            told = homed(*later(again, owner, place), homes)
             one, two, owner, place, group = (x[~again] for x in (one, two, owner, place, group))
             order = np.argsort(group, kind="stable")
             one, two, owner, place, group = (x[order] for x in (one, two, owner, place, group))
@@ -102,10 +103,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             ends = [*at[1:], len(group)]
             column = lambda x: [pack(x[i:j]) for i, j in zip(at, ends)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([*group[at].tolist(), *(t[0] % 1009 for t in told)], pa.int64()),
-                pa.array([*column(one), *[None] * len(told)], pa.binary()), pa.array([*column(two), *[None] * len(told)], pa.binary()),
-                pa.array([*column(owner), *(pack(np.array([t[0]])) for t in told)], pa.binary()),
-                pa.array([*column(place), *(pack(t[1]) for t in told)], pa.binary())], ["group", "one", "two", "owner", "place"])
+                pa.array([*group[at].tolist(), *told["home"].to_pylist()], pa.int64()),
+                pa.array([*column(one), *[None] * told.num_rows], pa.binary()), pa.array([*column(two), *[None] * told.num_rows], pa.binary()),
+                pa.array([*column(owner), *told["owner"].to_pylist()], pa.binary()), pa.array([*column(place), *told["place"].to_pylist()], pa.binary())],
+                ["group", "one", "two", "owner", "place"])
 
     def later(again, owner, place):
         """The repeats of runs, without those at the very place of their run's first."""
@@ -114,7 +115,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         return owner[other], place[other]
 
     def subtrees(table: pa.Table) -> pa.Table:
-        direct = table.filter(table["one"].is_null())
+        told = unhomed(table.filter(table["one"].is_null()))
         table = table.filter(table["one"].is_valid())
         one, two = unpack(table["one"], np.uint64), unpack(table["two"], np.uint64)
         owner, place = unpack(table["owner"], np.int64), unpack(table["place"], np.uint32)
@@ -122,20 +123,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         one, two, owner, place = one[order], two[order], owner[order], place[order]
         again = np.zeros(len(one), bool)
         again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-        told = by_document(*later(again, owner, place))
-        return pa.table({"id": pa.array([*(t[0] for t in told), *unpack(direct["owner"], np.int64).tolist()], pa.int64()),
-                         "hit": pa.array([*(pack(t[1]) for t in told), *direct["place"].to_pylist()], pa.binary())})
+        more = later(again, owner, place)
+        return homed(np.concatenate([more[0], told[0]]), np.concatenate([more[1], told[1]]), homes)
 
-    found = beside(plain, marks, "marks", "inner").select("id", "text", "marks").mapInArrow(
+    # Nearly every document has some repeated sample, so this join is a shuffle at any size.
+    found = plain.join(marks.hint("merge").withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).select("id", "text", "marks").mapInArrow(
         suffixes, "group long, one binary, two binary, owner binary, place binary").groupBy("group").applyInArrow(
-        subtrees, "id long, hit binary").groupBy("id").agg(F.collect_list("hit").alias("hits"))
-
-    def stretch(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([[pack(runs(np.unique(p), window))] for p in places(batch.column(1))], pa.list_(pa.binary()))], ["id", "cuts"])
-
-    cuts = written(found.mapInArrow(stretch, "id long, cuts array<binary>"), "cuts")
+        subtrees, "home long, owner binary, place binary")
+    cuts = written(by_home(found, "cuts", lambda p: runs(np.unique(p), window)), "cuts")
 
     def remove(batches):
         for batch in batches:

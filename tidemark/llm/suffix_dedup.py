@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.repeats import Samples, beside, by_document, merged, places, repeated_samples
-from tidemark.llm.tables import partitions_of, written
+from tidemark.llm.repeats import Samples, beside, by_document, by_home, homed, merged, places, repeated_samples
+from tidemark.llm.tables import written
 from tidemark.llm.words import Hasher, chunks, mix, pack, text_buffers, unpack
 
 GRAM = 64
-BLOCK = 8_000        # contexts that are worked on at a time
+BLOCK = 2_000        # contexts that are worked on at a time
 SENT = 20_000        # contexts among which equal ones are sent once
-BUCKET = 40_000      # contexts that one grouping task is to hold
+BUCKET = 15_000      # contexts that one grouping task is to hold
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
@@ -50,7 +50,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     marks = written(repeated_samples(plain, lambda b: (x[:3] for x in chunks_of(b)), size * 2 // (left + 2)), "marks")
     marked = marks.agg(F.sum(F.expr("aggregate(marks, 0L, (n, b) -> n + length(b) DIV 4)"))).first()[0] or 0
-    buckets = max(partitions_of(docs), marked // BUCKET + 1)
+    buckets = marked // BUCKET + 1
 
     def contexts(batches):
         hasher = Hasher(5)
@@ -76,7 +76,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 after = np.minimum(bounds[d + 1] - at, length)
                 content = padded[at[:, None] + np.arange(width)]
                 columns = np.arange(width) - left
-                content[(columns < -before[:, None]) | (columns >= after[:, None])] = 0
+                # Only what its own windows cover: so the inside of a passage looks alike wherever the passage stands.
+                content[(columns < -np.minimum(before, high)[:, None]) | (columns >= np.minimum(after, length - low)[:, None])] = 0
                 hasher.grow(width)
                 name = mix((hasher.codes[content] * hasher.power[:width]).sum(axis=1, dtype=np.uint64) ^ mix(value))
                 name = mix(name + low.astype(np.uint64) * np.uint64(1 << 20) + high.astype(np.uint64))
@@ -97,16 +98,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         double = np.bincount(run, weights=other)[run] > 0
         # A context that occurs twice here: all its windows repeat, wherever it stands.
         twice = order[double]
-        told = by_document(owner[twice], np.stack([place[twice] - high[twice], place[twice] - low[twice] + length], 1))
+        told = homed(owner[twice], np.stack([place[twice] - high[twice], place[twice] - low[twice] + length], 1), buckets)
         pick, pair = order[head], double[head]
         bucket = (value[pick] % np.uint64(buckets)).astype(np.int64)
         fixed = np.stack([value[pick].view(np.int64), owner[pick], place[pick], low[pick], high[pick], pair.astype(np.int64)], 1)
-        home = [int(t[0] % buckets) for t in told]
         return pa.RecordBatch.from_arrays([
-            pa.array([*bucket.tolist(), *home], pa.int64()), pa.array([*(pack(x) for x in fixed), *(pack(np.array([t[0]])) for t in told)], pa.binary()),
-            pa.array([*(pack(x) for x in content[pick]), *[None] * len(told)], pa.binary()),
-            pa.array([*[None] * len(pick), *(pack(merged(t[1]).ravel().astype(np.uint32)) for t in told)], pa.binary())],
-            ["bucket", "fixed", "content", "cut"])
+            pa.array([*bucket.tolist(), *told["home"].to_pylist()], pa.int64()), pa.array([*(pack(x) for x in fixed), *told["owner"].to_pylist()], pa.binary()),
+            pa.array([*(pack(x) for x in content[pick]), *[None] * told.num_rows], pa.binary()),
+            pa.array([*[None] * len(pick), *told["place"].to_pylist()], pa.binary())], ["bucket", "fixed", "content", "cut"])
 
     def owned(s, at, value, reach):
         """For each sample the nearest and farthest window start before it of which it is the smallest."""
@@ -127,7 +126,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         hasher = Hasher(11)
         direct = table.filter(table["content"].is_null())
         table = table.filter(table["content"].is_valid())
-        ids, cuts = unpack(direct["fixed"], np.int64).tolist(), direct["cut"].to_pylist()
+        owners, stretches = [unpack(direct["fixed"], np.int64)], [unpack(direct["cut"], np.uint32).reshape(-1, 2).astype(np.int64)]
         fixed = unpack(table["fixed"], np.int64).reshape(-1, 6)
         order = np.argsort(fixed[:, 0], kind="stable")
         begin = 0
@@ -144,9 +143,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             hit = repeated_windows(hasher, f, unpack(content, np.uint8).reshape(-1, width))
             row, far = np.nonzero(hit)
             for doc, stretch in by_document(f[row, 1], np.stack([f[row, 2] - far, f[row, 2] - far + length], 1)):
-                ids.append(doc)
-                cuts.append(pack(merged(stretch).ravel().astype(np.uint32)))
-        return pa.table({"id": pa.array(ids, pa.int64()), "cut": pa.array(cuts, pa.binary())})
+                whole = merged(stretch)
+                owners.append(np.full(len(whole), doc))
+                stretches.append(whole)
+        return homed(np.concatenate(owners), np.concatenate(stretches), buckets)
 
     def repeated_windows(hasher: Hasher, f: np.ndarray, content: np.ndarray) -> np.ndarray:
         """[context, distance]: whether the window that starts so far before the sample occurs in another place."""
@@ -181,14 +181,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     found = beside(plain, marks, "marks", "inner").select("id", "text", "marks").mapInArrow(
         contexts, "bucket long, fixed binary, content binary, cut binary").groupBy("bucket").applyInArrow(
-        bucket_repeats, "id long, cut binary").groupBy("id").agg(F.collect_list("cut").alias("cuts"))
-
-    def join_cuts(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([[pack(merged(p).ravel().astype(np.uint32))] for p in places(batch.column(1))], pa.list_(pa.binary()))], ["id", "cuts"])
-
-    cuts = written(found.mapInArrow(join_cuts, "id long, cuts array<binary>"), "cuts")
+        bucket_repeats, "home long, owner binary, place binary")
+    cuts = written(by_home(found, "cuts", lambda p: merged(p).ravel(), wide=2), "cuts")
 
     def remove(batches):
         for batch in batches:

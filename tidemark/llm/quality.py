@@ -63,7 +63,8 @@ def language_references(docs: DataFrame, text: str, lang: str) -> DataFrame:
     chars = held(held(rows, rest=F.regexp_replace("t", PLAIN, "")), c=class_counts("t", "rest")).groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)])
     total = F.greatest(sum((F.col(f"c{i}") for i in range(1, n)), F.col("c0")), F.lit(1.0))
     chars = chars.select("lang", F.array(*[F.col(f"c{i}") / total for i in range(n)]).alias("class_shares"))
-    words = rows.select("lang", F.explode(F.transform(words_of("t"), lambda w: F.xxhash64(w))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    # Words are hashed after they are unfolded, in generated code.
+    words = rows.select("lang", F.explode(words_of("t")).alias("word")).select("lang", F.xxhash64("word").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     words = written(words, "words")
     sums = words.groupBy("lang").agg(F.sum("n").alias("total")).withColumnRenamed("lang", "l")
     common = words.join(sized(written(sums, "sums"), 40), F.col("lang").eqNullSafe(F.col("l"))).where(F.col("n") >= COMMON * F.col("total"))
@@ -83,26 +84,28 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     refs = sized(written(language_references(docs, text, lang), "languages"), 12_000).withColumnRenamed("lang", "ref_lang")
     df = docs.select(F.struct(*[F.col(c) for c in {key: 0, **dict.fromkeys(keep)}]).alias("row"), F.col(lang).alias("lang"),
                      F.coalesce(F.col(text), F.lit("")).alias("t"))
-    df = held(df, words=words_of("t"), rest=F.regexp_replace("t", PLAIN, ""))
-    df = held(df, hashes=F.transform("words", lambda w: F.xxhash64(w)), n_words=F.size("words").cast("long"),
-              chars=class_counts("t", "rest"), lines=F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    df = df.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    df = held(df, windows=F.expr(f"if(n_words >= {WINDOW}, {repeated_words('hashes')}, array())").cast("array<bigint>"),
-              hits=F.filter("hashes", lambda h: F.get("sieve", F.pmod(h, F.lit(SIEVE)).cast("int")) & F.array_contains("common", h)))
+    df = held(df, words=words_of("t"), rest=F.regexp_replace("t", PLAIN, ""), lines=F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
+    symbols = F.length("rest") - F.length(F.regexp_replace("rest", "[#*$%&|<>]+", ""))
+    # Texts and words end here: only hashes and counts go on.
+    df = held(df, hashes=F.transform("words", lambda w: F.xxhash64(w)), n_words=F.size("words").cast("long"), t_chars=F.length("t"),
+              word_chars=F.length(F.array_join("words", "")).cast("long"), n_symbols=symbols.cast("long"), chars=class_counts("t", "rest"),
+              n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("t", "words", "rest", "lines")
+    df = held(df, windows=F.expr(f"if(n_words >= {WINDOW}, {repeated_words('hashes')}, array())").cast("array<bigint>"))
     df = held(df, placed=F.expr("if(size(array_distinct(windows)) < size(windows), "
-                                "sort_array(transform(windows, (h, i) -> struct(h AS h, i AS i))), array())"),
-              counts=F.expr("concat(transform(common, c -> CAST(size(hits) - size(array_remove(hits, c)) AS DOUBLE)), array(CAST(n_words - size(hits) AS DOUBLE)))"))
+                                "sort_array(transform(windows, (h, i) -> struct(h AS h, i AS i))), array())")).drop("windows")
     again = ("transform(filter(transform(placed, (x, k) -> struct(x.i AS i, (k > 0 AND placed[k - 1].h = x.h) OR "
              "(k + 1 < size(placed) AND placed[k + 1].h = x.h) AS twice)), x -> x.twice), x -> x.i)")
     # A window adds the words that the one before it did not cover.
     covered = (f"aggregate(sort_array({again}), struct(-{WINDOW} AS last, 0L AS n), (a, i) -> struct(i AS last, "
                f"a.n + least({WINDOW}, i - a.last) AS n), a -> a.n)")
-    df = held(df, n_repeat_words=F.expr(covered), class_distance=distance("chars", "class_shares"), common_distance=distance("counts", "common_shares"))
-    symbols = F.length("rest") - F.length(F.regexp_replace("rest", "[#*$%&|<>]+", ""))
+    df = held(df, n_repeat_words=F.expr(covered)).drop("placed")
+    df = df.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    df = held(df, hits=F.filter("hashes", lambda h: F.get("sieve", F.pmod(h, F.lit(SIEVE)).cast("int")) & F.array_contains("common", h)))
+    df = held(df, counts=F.expr("concat(transform(common, c -> CAST(size(hits) - size(array_remove(hits, c)) AS DOUBLE)), array(CAST(n_words - size(hits) AS DOUBLE)))"))
+    df = held(df, class_distance=distance("chars", "class_shares"), common_distance=distance("counts", "common_shares"))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    fits = ((F.length("t") < min_chars) | (F.coalesce("class_distance", F.lit(0.0)) <= max_class)) & (
+    fits = ((F.col("t_chars") < min_chars) | (F.coalesce("class_distance", F.lit(0.0)) <= max_class)) & (
         (F.col("n_words") < min_words) | (F.coalesce("common_distance", F.lit(0.0)) <= max_common))
     return df.select(
-        "row.*", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
+        "row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), "class_distance", "common_distance", (~failed & fits).alias("kept"))

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -46,10 +45,22 @@ def test_pairs(spark):
     assert tuple(row) == (3, 5, 9, None, 5)
 
 
-def test_clean_needs_pair_keys(spark):
-    df = spark.createDataFrame([(1, "a 1")], "keys_id int, m_pair string")
-    with pytest.raises(ValueError):
-        E.clean_features(df)
+def test_clean_takes_pair_keys_and_occurrences_from_rows(spark):
+    df = spark.createDataFrame([(1, "a 1;q 4", "s 3;s 1;s 2"), (2, None, "t 5")], "keys_id int, m_pair string, d_date_pair string")
+    out = E.clean_features(df, {"m_pair": ("z",)}).orderBy("keys_id")
+    assert out.columns == ["keys_id", "m_pair_z_pair", "m_pair_a_pair", "m_pair_q_pair", *[f"d_date_pair_s_{i}_pair" for i in range(3)], "d_date_pair_t_0_pair"]
+    assert [tuple(r) for r in out.collect()] == [(1, None, 1.0, 4.0, 1, 2, 3, None), (2, None, None, None, None, None, None, 5)]
+
+
+def test_bins_of_a_constant_column(spark):
+    for value in (5.0, 0.0, -2.0):
+        rows = E.equal_width_bins(spark.range(4).selectExpr(f"{value}D AS x"), "x", 3).collect()
+        assert [r["n"] for r in rows] == [4] and rows[0]["bin_from"] < value < rows[0]["bin_to"]
+
+
+def test_fold_spelt_apart_and_extended(spark):
+    row = spark.createDataFrame([("Cafe\u0301 \u1e02ar",)], "a string").select(X.ascii_fold(F.col("a"))).head()
+    assert row[0] == "Cafe Bar"
 
 
 def test_feature_matrix_fills_empty_columns(spark):
@@ -89,7 +100,9 @@ def test_fuzzy_match_equals_all_pairs(spark):
     words = ["international", "internationale", "alpha", "global"]
     tails = ["", " x", " xy", " xyz", " group", " groups", " holding"]
     left = spark.createDataFrame([(w + s,) for w in words for s in tails], "a string")
-    right = spark.createDataFrame([(w + s,) for w in words for s in tails[::-1]] + [("other",)], "b string")
+    right = spark.createDataFrame([(w + s,) for w in words for s in tails[::-1]] + [("other",), ("???",)], "b string")
+    assert R.fuzzy_match(spark.createDataFrame([("!!!",)], "a string"), right, "a", "b").collect() == [("", "")]
+    right = right.where("b <> '???'")
     got = {tuple(r) for r in R.fuzzy_match(left, right, "a", "b").collect()}
     pairs = left.crossJoin(right).where(X.first_token(F.col("a")) == X.first_token(F.col("b"))).where(R.names_similar(F.col("a"), F.col("b")))
     assert got == {tuple(r) for r in pairs.collect()} and got

@@ -64,6 +64,13 @@ def test_asof_lookup_by_key(spark):
     assert got == {("a", date(2000, 1, 5)): 1, ("a", date(1999, 12, 1)): None, ("b", date(2000, 3, 1)): 9}
 
 
+def test_asof_lookup_with_two_values_on_a_day(spark):
+    left = spark.sql("SELECT * FROM VALUES (DATE'2000-01-01'), (DATE'2000-01-02'), (DATE'2000-01-03') AS t(day)")
+    right = spark.sql("SELECT * FROM VALUES (TIMESTAMP'2000-01-02 15:00:00', 11), (TIMESTAMP'2000-01-02 09:00:00', 10), (NULL, 7) AS t(on, v)")
+    got = [tuple(r) for r in S.asof_lookup(left, right, "day", "on", "v").orderBy("day").collect()]
+    assert got == [(date(2000, 1, 1), None), (date(2000, 1, 2), 11), (date(2000, 1, 3), 11)]
+
+
 def test_future_rows_change_no_feature(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     rounds = t.rounds()

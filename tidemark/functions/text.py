@@ -21,7 +21,7 @@ LETTER_NAMES = {
 }
 
 
-def _accent_map(last: int = 0x24F) -> tuple[str, str]:
+def _accent_map(last: int = 0x1EFF) -> tuple[str, str]:
     """Latin letters up to ``last`` with their base letter, by canonical decomposition."""
     marked, plain = [], []
     for code in range(0xC0, last + 1):
@@ -34,11 +34,12 @@ def _accent_map(last: int = 0x24F) -> tuple[str, str]:
 
 
 _MARKED, _PLAIN = _accent_map()
+_MARKS = "".join(map(chr, range(0x300, 0x370)))  # combining marks, of accents that are spelt apart
 
 
 def ascii_fold(text: Column) -> Column:
     """Latin text without accents, inside generated code. Plain ASCII is passed on as it is."""
-    out = F.translate(text, _MARKED, _PLAIN)
+    out = F.translate(text, _MARKED + _MARKS, _PLAIN)  # marks have no counterpart and go
     for letter, name in LETTER_NAMES.items():
         out = F.replace(out, F.lit(letter), F.lit(name))
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(out)

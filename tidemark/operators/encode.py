@@ -121,14 +121,32 @@ def pairwise_durations(df: DataFrame, dates: Sequence[str]) -> list[str]:
     return [f"{value(x)} - {value(y)} AS {y}_to_{x}_duration" for x, y in combinations(dates, 2)]
 
 
-def clean_features(df: DataFrame, pair_keys: dict[str, Sequence[str]] | None = None, top_n: int = TOP_N,
-                   occurrences: int = 2) -> DataFrame:
+def fit_pairs(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
+    """For each pair column its keys, in name order, and the most often each occurs in one row.
+
+    One pass for all columns; what reaches the driver is one row per column to be made.
+    """
+    if not columns:
+        return {}
+    entries = ", ".join(f"named_struct('c', {quoted(c)}, 'ks', transform(__pairs_{c}, p -> p.k))" for c in columns)
+    keys = with_parsed(df.select(*columns), pairs=columns).selectExpr(f"inline(array({entries}))").where("size(ks) > 0")
+    once = keys.selectExpr("c", "ks", "explode(array_distinct(ks)) AS k")
+    most = once.selectExpr("c", "k", "size(ks) - size(array_remove(ks, k)) AS n").groupBy("c", "k").agg(F.max("n").alias("n"))
+    found: dict[str, dict[str, int]] = {c: {} for c in columns}
+    for r in most.orderBy("c", "k").collect():
+        found[r["c"]][r["k"]] = r["n"]
+    return found
+
+
+def clean_features(df: DataFrame, pair_keys: dict[str, Sequence[str]] | None = None, top_n: int = TOP_N) -> DataFrame:
     """Clean every column by its suffix, in one pass over the rows. Columns without a known suffix are dropped.
 
-    Vocabularies of list columns are fitted first (bounded by ``top_n`` or the fixed word lists);
-    ``pair_keys`` gives the keys of pair columns.
+    Vocabularies of list columns are fitted first (bounded by ``top_n`` or the fixed word lists), and so
+    are the keys of pair columns with their number of occurrences. ``pair_keys`` names keys that get
+    columns even where no row has them; keys that only the data have follow in name order.
     """
     pair_keys = pair_keys or {}
+    fitted = fit_pairs(df, [c for c in df.columns if cleaning_of(c) in ("pair_sum", "pair_dates")])
     out: list[str] = []
     for column in df.columns:
         kind = cleaning_of(column)
@@ -143,10 +161,9 @@ def clean_features(df: DataFrame, pair_keys: dict[str, Sequence[str]] | None = N
         elif kind == "top_list":
             out += top_dummies_sql(column, fit_vocabulary(df, column, top_n))
         elif kind in ("pair_sum", "pair_dates"):
-            if column not in pair_keys:
-                raise ValueError(f"pair column {column!r} needs its keys in pair_keys")
-            out += (pair_sums_sql(column, pair_keys[column]) if kind == "pair_sum"
-                    else pair_dates_sql(column, pair_keys[column], occurrences))
+            counts = {**dict.fromkeys(pair_keys.get(column, ()), 1), **fitted[column]}
+            out += (pair_sums_sql(column, list(counts)) if kind == "pair_sum"
+                    else [c for k, n in counts.items() for c in pair_dates_sql(column, [k], n)])
     kinds = {c: cleaning_of(c) for c in df.columns}
     parsed = with_parsed(df, [c for c, k in kinds.items() if k in ("types", "codes", "top_list")],
                          [c for c, k in kinds.items() if k in ("pair_sum", "pair_dates")])
@@ -172,8 +189,12 @@ def missing_count_sql(columns: Sequence[str], out: str = "missing") -> str:
 
 
 def equal_width_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Counts per equal-width bin between minimum and maximum; bins are open below, the first closed."""
-    ends = df.agg(F.expr(f"struct(min({column}) AS lo, max({column}) AS hi)")).scalar()
+    """Counts per equal-width bin between minimum and maximum; bins are open below, the first closed.
+
+    A constant column is cut over a thousandth of its value (0.001 at zero) on either side.
+    """
+    wider = f"if(min({column}) = max({column}), if(max({column}) = 0, 0.001D, 0.001D * abs(max({column}))), 0D)"
+    ends = df.agg(F.expr(f"struct(CAST(min({column}) AS DOUBLE) - {wider} AS lo, CAST(max({column}) AS DOUBLE) + {wider} AS hi)")).scalar()
     index = f"greatest(1, least({bins}, CAST(ceil(({column} - r.lo) / ((r.hi - r.lo) / {bins})) AS INT)))"
     return (
         df.where(f"{column} IS NOT NULL").withColumn("r", ends).selectExpr(f"{index} AS bin", "r")

@@ -91,7 +91,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: s
     def prepared(df: DataFrame, name: str, tag: str) -> DataFrame:
         n = F.col(name)
         block = first_token(n)
-        core = F.length(block) > 0.8 * F.length(n)
+        core = F.length(block) >= 0.8 * F.length(n)  # holds for names that standardise to nothing, too
         spellings = df.select(name).where(n.isNotNull()).distinct()
         # Written out, or the filters on the block would move below ``distinct`` and run per row.
         names = materialize(spellings.select(standardize_name(n).alias(name)).distinct(), "names")

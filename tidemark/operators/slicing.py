@@ -144,13 +144,16 @@ def asof_lookup(
     """The latest ``value`` of a daily or sparser series at or before each left date.
 
     The series is spread over the calendar days each value holds for, and joined on the day: a hash
-    join in place of a range join. ``right`` has one value per key and date. Days after the last
-    value take that value, up to ``until`` or the last left date.
+    join in place of a range join. Of several values on one day the one latest in time holds
+    for the day, the largest where times tie too. Days after the last value take that value, up to
+    ``until`` or the last left date. Rows of ``right`` without a date are left out.
     """
     on = list(on)
     last = F.lit(until) if until is not None else left.agg(F.max(F.to_date(left_date)).alias("m")).scalar()
     w = Window.partitionBy(*on).orderBy("__from") if on else Window.partitionBy().orderBy("__from")
-    series = right.select(*on, F.to_date(right_date).alias("__from"), F.col(value))
+    # One value per key and day, or a day's range would run backwards and rows would multiply.
+    series = right.where(F.col(right_date).isNotNull()).groupBy(*on, F.to_date(right_date).alias("__from")).agg(
+        F.max_by(value, F.struct(F.col(right_date), F.col(value))).alias(value))
     held = series.withColumn("__next", F.lead("__from").over(w)).withColumn(
         "__to", F.coalesce(F.date_sub("__next", 1), F.greatest(last, F.col("__from"))))
     daily = held.withColumn("__day", F.explode(F.sequence("__from", "__to"))).select(*on, "__day", value)

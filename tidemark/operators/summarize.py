@@ -72,12 +72,13 @@ def rank_candidates(df: DataFrame, candidate: str, score: str, top_n: int | None
     """Candidates by median score, best first, ties sharing the average rank, with a dense id.
 
     The median per candidate is over its fits; ranks are over candidates, of which there are few
-    compared with fits, and are taken by value ranges rather than in one task.
+    compared with fits, and are taken by value ranges rather than in one task. ``top_n`` keeps that
+    many rows, or all when there are fewer; candidates that tie at the cut go in by name.
     """
     medians = exact_quantiles(df, [candidate], score, [0.5]).withColumnRenamed("p50", "median_score")
     ranks = average_ranks(medians, "median_score", out="rank", descending=True)
     ranked = medians.join(ranks, "median_score")
-    return ranked if top_n is None else ranked.where(F.col("rank") <= top_n)
+    return ranked if top_n is None else ranked.orderBy(F.desc("median_score"), candidate).limit(top_n)
 
 
 def first_and_last(df: DataFrame, key: str, at: str, tie: str, columns: Sequence[str]) -> DataFrame:

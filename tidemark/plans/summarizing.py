@@ -237,7 +237,8 @@ def metric_by_date_overall(t):
 @query("rank_candidates", with_views("fits", """
     WITH m AS (SELECT params, quantile_cont(prc, 0.5) AS median_score FROM fits GROUP BY 1),
     r AS (SELECT params, median_score, rank() OVER (ORDER BY median_score DESC) + (count(*) OVER (PARTITION BY median_score) - 1) / 2 AS rank FROM m)
-    SELECT params, round(median_score, 6) AS median_score, rank FROM r WHERE rank <= 10"""))
+    SELECT params, round(median_score, 6) AS median_score, rank FROM r
+    QUALIFY row_number() OVER (ORDER BY r.median_score DESC, params) <= 10"""))
 def rank_candidates(t):
     """W1-W3: rank candidate parameter sets by their median score and keep the ten best."""
     return Z.rank_candidates(fits(t), "params", "prc", 10).select("params", F.round("median_score", 6).alias("median_score"), "rank")

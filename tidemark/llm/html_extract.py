@@ -14,6 +14,7 @@ ignored, an unfinished tag at the end is no text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from html.parser import HTMLParser
@@ -182,14 +183,20 @@ def mark(path: str, text: str) -> int:
     return zlib.crc32(f"{path}\t{text}".encode("utf-8", "surrogatepass")) << 20 ^ len(text)
 
 
+def digest(found: list) -> bytes:
+    """Of the texts of all wanted blocks; empty without any."""
+    texts = [b[1] for b in found if not b[2]]
+    return hashlib.sha256("\n".join(texts).encode("utf-8", "surrogatepass")).digest() if texts else b""
+
+
 def induce(pages: list[str]) -> list[int]:
     """Marks of the template's blocks: constant on all reference pages of different content."""
     trees, seen = [], set()
     for html in pages:
         root = Tree(html).root
-        longest = max((b[1] for b in blocks(root)), key=len, default="")
-        if longest and longest not in seen:  # copies of a page tell nothing about what is constant
-            seen.add(longest)
+        content = digest(blocks(root))
+        if content and content not in seen:  # copies of a page tell nothing about what is constant
+            seen.add(content)
             trees.append(root)
     if len(trees) < LEAST:
         return []

@@ -12,3 +12,12 @@ def test_a_long_shared_script_is_no_content(spark):
     page = "<html><head><script>{0}</script></head><body><div>Site name</div><div><p>Text {1} of its own.</p></div><footer>{0}</footer></body></html>"
     got = texts(spark, [page.format("var shared = 1; " * 20, i) for i in range(5)])
     assert got == {i: f"Text {i} of its own." for i in range(5)}
+
+
+def test_layouts_copies_and_names_by_page(spark):
+    old = "<html><body><div class='old'><div>Old site</div><p>First {0} of its own.</p></div></body></html>"
+    new = "<html><body class='page postid-{0}'><div id='post-{0}'><div>New site</div><p>Second {0} of its own.</p></div></body></html>"
+    copy = "<html><body><div class='old'><div>Old site</div><p>The same.</p></div></body></html>"
+    pages = [old.format(i) for i in range(8)] + [new.format(i) for i in range(8)] + [copy] * 40
+    got = texts(spark, pages)
+    assert got == {**{i: f"First {i} of its own." for i in range(8)}, **{8 + i: f"Second {i} of its own." for i in range(8)}, **{16 + i: "The same." for i in range(40)}}

@@ -1,8 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-Of every host up to ``REFERENCES`` pages (those with the smallest hashes of their keys, spread over the host's pages) are
-parsed, and their trees are aligned with the first one's by simple tree matching. Text nodes that are aligned and equal on
-all of at least ``LEAST`` reference pages of different content are the host's template; all other places are slots.
+Pages of a host are told apart by layout: the containers next to the body with their stable names (classes and ids
+without those that hold digits, as these differ by page). Of every layout, and of the host as a whole, up to
+``REFERENCES`` pages of different content (those with the smallest hashes of their wanted text) are parsed, and their trees
+are aligned with the first one's by simple tree matching. Text that is aligned and equal on at least ``LEAST`` of them is a
+candidate; candidates are confirmed by counts over all pages of different content: a block is template if ``SHARE`` of
+those of its layout, or of its host, have it. All other places are slots.
 Then every page of the host is parsed, and its blocks are kept if they are in a slot and not in a part that by its
 element, role or class is a menu, header, footer, sidebar, notice, advert, form or comment section. Where a page has an
 article or main element, only blocks in it are kept; elsewhere blocks that are mostly links are dropped too.
@@ -28,7 +31,9 @@ from tidemark.llm.url_rules import split_url
 
 REFERENCES = 6
 LEAST = 3
+SHARE = 0.9
 SALTS = 64
+CONTAINERS = frozenset("div section main article aside header footer nav form center table".split())
 
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,7 +57,8 @@ class Node:
         found = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
         self.tag, self.children, self.text, self.role = tag, [], text, (attrs.get("role") or "").lower()
         self.words = frozenset(re.split(r"[^a-z]+", found)) if found.strip() else frozenset()
-        self.name = f"{tag}.{found.strip()}" if found.strip() else tag
+        stable = " ".join(w for w in found.split() if not any(map(str.isdigit, w)))
+        self.name = f"{tag}.{stable}" if stable else tag
 
 
 class Tree(HTMLParser):
@@ -93,6 +99,21 @@ class Tree(HTMLParser):
         self.open[-1].children.append(Node("#text", text=data))
 
 
+def layout(root: Node) -> int:
+    """A number for the body's name and the containers up to two levels below it, by their set of paths."""
+    found, todo = set(), [(root, "", -1)]
+    while todo:
+        node, path, level = todo.pop()
+        path = f"{path}/{node.name}"
+        if node.tag == "body" or level >= 0:
+            found.add(path)
+        if node.tag in ("#root", "html"):
+            todo += [(c, path, -1) for c in node.children if c.tag in ("html", "body") or c.tag in CONTAINERS]
+        elif level < 2:
+            todo += [(c, path, level + 1) for c in node.children if c.tag in CONTAINERS]
+    return zlib.crc32("\n".join(sorted(found)).encode("utf-8", "surrogatepass"))
+
+
 def squeeze(text: str) -> str:
     return " ".join(text.split())
 
@@ -190,24 +211,21 @@ def digest(found: list) -> bytes:
 
 
 def induce(pages: list[str]) -> list[int]:
-    """Marks of the template's blocks: constant on all reference pages of different content."""
-    trees, seen = [], set()
-    for html in pages:
-        root = Tree(html).root
-        content = digest(blocks(root))
-        if content and content not in seen:  # copies of a page tell nothing about what is constant
-            seen.add(content)
-            trees.append(root)
+    """Marks of the blocks that aligned reference pages have in common: on at least ``LEAST`` of them, the one with the block included."""
+    trees = [Tree(html).root for html in pages]
     if len(trees) < LEAST:
         return []
-    first = trees[0]
+    return sorted({m for i in range(len(trees) - LEAST + 1) for m in common(trees[i], trees[:i] + trees[i + 1:])})
+
+
+def common(first: Node, others: list[Node]) -> list[int]:
     constant: dict[int, int] = {}
-    for other in trees[1:]:
+    for other in others:
         for x, y in matched(first, other):
             if x.tag == "#text" and squeeze(x.text) and squeeze(x.text) == squeeze(y.text):
                 constant[id(x)] = constant.get(id(x), 0) + 1
     # A block is template if all its text nodes are.
-    keep = {i for i, n in constant.items() if n == len(trees) - 1}
+    keep = {i for i, n in constant.items() if n >= LEAST - 1}
     blank, todo = [], [first]
     while todo:
         node = todo.pop()
@@ -237,17 +255,44 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """One row per row of ``pages``: key, url, text, n_chars."""
     host, _ = split_url("url")
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("host", host)
-    order = F.xxhash64("key", "url")
-    firsts = rows.groupBy("host", F.pmod(order, F.lit(SALTS)).alias("salt")).agg(F.min(order).alias("pick"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy("pick"))
-    picks = sized(written(firsts.withColumn("place", place).where(F.col("place") <= REFERENCES).select("host", "pick"), "references"), 80)
-    references = rows.withColumn("pick", order).join(picks, ["host", "pick"], "left_semi").select("host", "pick", "html").dropDuplicates(["host", "pick"])
+    pick = F.xxhash64("html")
+
+    def survey(batches):
+        for batch in batches:
+            out = []
+            for h, p, page in zip(*(c.to_pylist() for c in batch.columns)):
+                root = Tree(page or "").root
+                found = blocks(root)
+                content = digest(found)
+                if content:
+                    out.append((h, layout(root), int.from_bytes(content[:8], "little", signed=True), p, sorted({mark(b[0], b[1]) for b in found if not b[2]})))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(
+                (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["host", "layout", "content", "pick", "marks"])
+
+    # One row for each content of a layout; the host as a whole counts as layout -1.
+    seen = written(rows.select("host", pick.alias("pick"), "html").mapInArrow(survey, "host string, layout long, content long, pick long, marks array<long>").groupBy(
+        "host", "layout", "content").agg(F.min(F.struct("pick", "marks")).alias("page")).select("host", "layout", "content", "page.*"), "contents")
+    whole = seen.groupBy("host", "content").agg(F.min(F.struct("pick", "marks")).alias("page")).select("host", F.lit(-1).cast("long").alias("layout"), "content", "page.*")
+    either = seen.unionByName(whole)
+    place = F.row_number().over(Window.partitionBy("host", "layout").orderBy("content"))
+    first = either.select("host", "layout", "content", "pick").withColumn("place", place).where(F.col("place") <= REFERENCES).drop("place")
+    # A host of one layout needs no second look.
+    kinds = seen.groupBy("host").agg((F.min("layout") == F.max("layout")).alias("one"))
+    first = first.join(kinds, "host").where("layout >= 0 OR NOT one").select("host", "layout", "pick")
+    picks = sized(written(first, "references"), 80)
+    references = rows.select("host", pick.alias("pick"), "html").join(picks, ["host", "pick"]).dropDuplicates(["host", "layout", "pick"])
 
     def learn(table: pa.Table) -> pa.Table:
         found = induce([h or "" for h in table.sort_by("pick")["html"].to_pylist()])
-        return pa.table({"host": table["host"][:1], "template": pa.array([found], pa.list_(pa.int64()))})
-
-    wrappers = sized(written(references.groupBy("host").applyInArrow(learn, "host string, template array<long>"), "wrappers"), 4_000)
+        return pa.table({"host": table["host"][:1], "layout": table["layout"][:1], "known": pa.array([found], pa.list_(pa.int64()))})
+
+    candidates = sized(written(references.groupBy("host", "layout").applyInArrow(learn, "host string, layout long, known array<long>").where("size(known) > 0"), "candidates"), 4_000)
+    counts = either.join(candidates, ["host", "layout"]).select("host", "layout", F.explode(F.array_append(F.array_intersect("marks", "known"), F.lit(None).cast("long"))).alias("mark")).groupBy(
+        "host", "layout", "mark").agg(F.count("*").alias("n"))
+    # The count of no mark is that of the layout's pages.
+    pages_of = counts.where("mark IS NULL").select("host", "layout", F.col("n").alias("all"))
+    sure = counts.where("mark IS NOT NULL").join(pages_of, ["host", "layout"]).where((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all")))
+    wrappers = sized(written(sure.groupBy("host").agg(F.collect_set("mark").alias("template")), "wrappers"), 4_000)
 
     def apply(batches):
         for batch in batches:

@@ -1,6 +1,6 @@
 """I-Match fingerprints: hashes of a text's distinct terms that lie in randomised subsets of a lexicon.
 
-The lexicon holds the terms whose document frequency lies between ``LEAST`` and ``MOST`` of all documents, that is
+The lexicon holds the terms whose document frequency lies between ``LEAST`` and ``MOST`` of all distinct texts, that is
 whose inverse document frequency lies in a band. It has at most (distinct terms of a mean document) / LEAST terms,
 however many documents there are. Subset s of the lexicon holds each of its terms with the chance 1 / RATES[s]; coarse
 subsets react to any edit, fine ones outlast large edits. A fingerprint is one hash per subset; the likeness of two is
@@ -10,7 +10,10 @@ The hash of a subset is the exclusive or of its distinct terms' hashes. Like the
 the set of terms alone, but terms need not be gathered and sorted: 24 numbers per document are kept while its terms
 stream by.
 
-Terms are words lower-cased by A-Z. NULL is an empty text. Texts without lexicon terms have the fingerprint of the empty
+Texts with too few terms in the band are fingerprinted by all their terms, the hashes of which need no lexicon. Where no
+subset has any of a text's terms, the first has all of them.
+
+Terms are words lower-cased by A-Z. NULL is an empty text. Texts without words have the fingerprint of the empty
 set. Rows with a NULL key come first in the order of keys; repeated keys follow each other in any order and stay one row
 each. Only DataFrame functions are used.
 """
@@ -24,6 +27,7 @@ from tidemark.llm.quality import SPACES, held
 from tidemark.llm.tables import partitions_of, sized, written
 
 LEAST, MOST = 0.001, 0.25
+ENOUGH = 4  # a text with less than a 4th of its terms in the band is fingerprinted by all its terms
 RATES = tuple(4 ** (1 + s // 6) for s in range(24))  # six subsets each of a 4th, 16th, 64th and 256th of the lexicon
 NONE = "--------"
 
@@ -34,14 +38,20 @@ def terms(text: str) -> Column:
     return F.array_distinct(F.transform(F.array_remove(F.split(low, SPACES), ""), lambda w: F.xxhash64(w)))
 
 
+def hashed(term: str) -> list[Column]:
+    """h0, h2 … of a term."""
+    hashes = [F.when(F.pmod(F.xxhash64(term, F.lit(s + 100)), F.lit(rate)) == 0, F.xxhash64(term, F.lit(s)).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0))
+              for s, rate in enumerate(RATES)]
+    return [(F.shiftleft(hashes[s], 32).bitwiseOR(hashes[s + 1])).cast("bigint").alias(f"h{s}") for s in range(0, len(RATES), 2)]
+
+
 def lexicon(docs: DataFrame, text: str) -> DataFrame:
     """term, h0, h2 …: the terms in the band; h<s> holds 32 bits of hash for subset s and 32 for s + 1, 0 where it is not in them."""
-    total = docs.count()
-    found = docs.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    hashes = [F.when(F.pmod(F.xxhash64("term", F.lit(s + 100)), F.lit(rate)) == 0, F.xxhash64("term", F.lit(s)).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0))
-              for s, rate in enumerate(RATES)]
-    pairs = [(F.shiftleft(hashes[s], 32).bitwiseOR(hashes[s + 1])).cast("bigint").alias(f"h{s}") for s in range(0, len(RATES), 2)]
-    return found.where((F.col("df") >= max(2, LEAST * total)) & (F.col("df") <= max(2, MOST * total))).select("term", *pairs)
+    # Copies count once: a large group of them pushes no term out of the band.
+    distinct = docs.select(text).dropDuplicates([text])
+    total = distinct.count()
+    found = distinct.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return found.where((F.col("df") >= max(2, LEAST * total)) & (F.col("df") <= max(2, MOST * total))).select("term", *hashed("term"))
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -96,8 +106,20 @@ def imatch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     hits = marked.join(known, F.col("x.t") == F.col("term"), "left")
     keys = ("part", "place", "ghost", "key", "n_chars", "edited_sha256")
     names = [f"h{s}" for s in range(0, len(RATES), 2)]
-    sums = hits.groupBy(*keys, F.col("x.side").alias("side")).agg(*[F.bit_xor(n).alias(n) for n in names])
-    halves = [h for n in names for h in (F.shiftrightunsigned(F.coalesce(n, F.lit(0)), 32), F.coalesce(n, F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)))]
+    # The hashes of terms outside the band follow from the terms alone.
+    hits = hits.select(*keys, F.col("x.side").alias("side"), F.col("x.t").alias("t"), "term", *names)
+    outside = F.col("t").isNotNull() & F.col("term").isNull()
+    sums = hits.groupBy(*keys, "side").agg(
+        F.count("t").alias("n_terms"), F.count("term").alias("n_band"), F.bit_xor(F.xxhash64("t", F.lit(99)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("any"),
+        *[F.bit_xor(n).alias(n) for n in names], *[F.bit_xor(F.when(outside, h)).alias(f"o{n}") for n, h in zip(names, hashed("t"))])
+    few = F.col("n_band") * ENOUGH < F.col("n_terms")
+    sums = sums.select(*keys, "side", "n_terms", "any", *[
+        F.coalesce(n, F.lit(0)).bitwiseXOR(F.when(few, F.coalesce(f"o{n}", F.lit(0))).otherwise(F.lit(0))).alias(n) for n in names])
+    # A text with words of which no subset has any: the first subset has all.
+    blank = F.greatest(*[F.abs(F.sign(n)) for n in names]) == 0
+    first = F.when(blank & (F.col("n_terms") > 0), F.shiftleft("any", 32)).otherwise(F.col(names[0]))
+    sums = sums.withColumn(names[0], first)
+    halves = [h for n in names for h in (F.shiftrightunsigned(n, 32), F.col(n).bitwiseAND(F.lit(0xFFFFFFFF)))]
     # A document's own row is followed by its edited text's and the next document's own.
     order = Window.partitionBy("part").orderBy("place", "side")
     prints = sums.select(*keys, "side", F.array(*[F.nullif(h.cast("bigint"), F.lit(0).cast("bigint")) for h in halves]).alias("own"))

@@ -13,6 +13,7 @@ from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.mixing_lm import score
 from tidemark.llm.packing import pack
+from tidemark.llm.prefix_trie import grafted, id_digests, prefix_trie, sequenced
 from tidemark.llm.quality import judge
 from tidemark.llm.substring_dedup import dedup
 from tidemark.llm.suffix_dedup import remove_repeats
@@ -108,3 +109,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = sequenced(table(spark, sf_dir, "conversations"))
+    conversations, turns = grafted(turns, 20, F.crc32(F.col("conv").cast("string").cast("binary")) % 4)
+    nodes, ends = prefix_trie(conversations, turns)
+    return nodes.join(id_digests(ends), "node", "left").drop("node").withColumn(
+        "ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))

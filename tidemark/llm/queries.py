@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chosen_path import similar_sets
 from tidemark.llm.fingerprints import imatch
 from tidemark.llm.html_extract import extract
 from tidemark.llm.jaccard_join import near_duplicates
@@ -118,3 +119,8 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, ends = prefix_trie(conversations, turns)
     return nodes.join(id_digests(ends), "node", "left").drop("node").withColumn(
         "ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
+@register
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))

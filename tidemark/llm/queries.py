@@ -11,6 +11,7 @@ from tidemark.llm.chosen_path import similar_sets
 from tidemark.llm.fingerprints import imatch
 from tidemark.llm.html_extract import extract
 from tidemark.llm.jaccard_join import near_duplicates
+from tidemark.llm.lexical_search import build_index, search
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.mixing_lm import score
 from tidemark.llm.packing import pack
@@ -124,3 +125,31 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search(build_index(docs), docs, table(spark, sf_dir, "benchmark"), top=20)
+
+
+ORACLES["op11_lexical_search"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+), lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS len FROM counts GROUP BY doc_id
+), total AS (SELECT count(*) AS docs, CAST(sum(len) AS BIGINT) AS words FROM lengths
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len * docs) // words)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id), total GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""

@@ -7,9 +7,9 @@ chosen values names the node. The first ``FIRST`` levels are taken at once from
 common part at once, only few nodes have more than one member then.
 
 Nodes of up to ``LEAF`` sets are compared exhaustively. Larger ones branch ``STEP`` levels further, up to ``ROUNDS``
-times, and what is still larger then is compared in bounded blocks. Before that, each node's members are compared with
-its centre, the member that is most often in large company (so the original, not an edited copy), and linked sets
-are merged: pairs of one component are never compared, as they cannot change the result.
+times, and what is still larger then is compared in bounded blocks. Before that, each set is compared with the best
+centre of its nodes, the member that is most often in large company (so the original, not an edited copy), and linked
+sets are merged: pairs of one component are never compared, as they cannot change the result.
 
 A pair is compared by the minwise values first (six deviations of slack), then by the full sets. With 16 trees a link
 at J = 0.85 exactly is missed in all of them with a chance of 4e-11 where nodes are small after 2 levels, 3e-6 where
@@ -38,7 +38,7 @@ FIRST = 2     # levels taken before nodes are counted
 STEP = 4      # levels between later counts
 ROUNDS = 3    # times that large nodes branch further
 LEAF = 64     # sets of a node that are compared in pairs
-BLOCK = 2048  # sets in a block of the comparison of nodes that stay large
+BLOCK = 1024  # sets in a block of the comparison of nodes that stay large
 
 
 def minwise(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -135,39 +135,54 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         close = sides(pairs, nodes, "n", "sketch").where(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
         near = written(close.select("a", "b", "sketch_a", "sketch_b").mapInArrow(screen, "a long, b long"), "near")
         wanted = written(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(), "wanted")
-        ids = written(nodes.join(sized(wanted, 16), "node", "left_semi").select(F.col("least").alias("id")), "ids")
-        sets = plain.join(sized(ids, 16), "id", "left_semi").select("text").mapInArrow(gather, "node long, items binary")
-        sets = written(sets.join(sized(wanted, 16), "node", "left_semi").dropDuplicates(["node"]), "items")
+        sets = items_of(nodes.join(sized(wanted, 16), "node", "left_semi"))
         return written(sides(near, sets, "items").select("a", "b", "items_a", "items_b").mapInArrow(compare, "a long, b long"), "edges")
 
+    def items_of(some: DataFrame) -> DataFrame:
+        """node, items (sorted shingle hashes) of some of the nodes."""
+        some = written(some.select("node", F.col("least").alias("id")), "wanted")
+        sets = plain.join(sized(some.select("id"), 16), "id", "left_semi").select("text").mapInArrow(gather, "node long, items binary")
+        return written(sets.join(sized(some.select("node"), 16), "node", "left_semi").dropDuplicates(["node"]), "items")
+
+    def mixed(df: DataFrame) -> DataFrame:
+        """Rows of the paths with more than one label."""
+        both = df.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        return df.join(both.select("path"), "path")
+
     def labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
         return df.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
     ordered = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    edges = None
+    edges = labels = None
     rows = written(nodes.select("node", "sketch").mapInArrow(plant, "path long, node long"), "paths")
     for turn in range(ROUNDS + 1):
         counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        shared = written(rows.join(counts, "path"), "shared")
+        shared = rows.join(counts, "path")
+        shared = mixed(labelled(shared, labels)) if labels else shared.withColumn("label", F.col("node"))
+        shared = written(shared, "shared")
         company = shared.groupBy("node").agg(F.sum(F.log2("n")).alias("much"))
-        centre = shared.join(company, "node").groupBy("path").agg(F.max_by("node", F.struct("much", "node")).alias("a"))
-        star = verified(shared.join(centre, "path").where("a <> node").select("a", F.col("node").alias("b")).select(*ordered).distinct())
+        met = shared.join(company, "node")
+        centre = met.groupBy("path").agg(F.max(F.struct("much", "node", "label")).alias("c"))
+        star = met.join(centre, "path").where("c.label <> label").groupBy("node").agg(F.max("c").alias("c"))
+        star = verified(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")).select(*ordered).distinct())
         edges = star if edges is None else written(edges.union(star), "edges")
-        apart = written(labelled(shared, written(components(edges), "components")), "labelled")
-        mixed = apart.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        apart = written(apart.join(mixed.select("path"), "path"), "apart")
+        labels = written(components(edges), "components")
+        apart = written(mixed(labelled(shared.drop("label"), labels)), "apart")
         # Small nodes: all pairs of sets that are still apart.
         small = apart.where(F.col("n") <= LEAF).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("label", "node"))).alias("x"))
         pairs = small.select(F.posexplode("x").alias("i", "m"), "x").select("m", F.explode(F.slice("x", F.col("i") + 2, LEAF)).alias("o"))
         pairs = pairs.where("m.label <> o.label").select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).select(*ordered).distinct()
         edges = written(edges.union(verified(pairs)), "edges")
-        large = written(apart.where(F.col("n") > LEAF), "large")
+        large = written(apart.where(F.col("n") > LEAF).select("path", "node"), "large")
         if not large.count():
             break
+        labels = written(components(edges), "components")
         if turn < ROUNDS:
             rows = written(large.join(nodes, "node").select("path", "node", "sketch").mapInArrow(grow, "path long, node long"), "paths")
         else:
-            edges = written(edges.union(verified(blockwise(large, nodes, agree).select(*ordered).distinct())), "edges")
+            crowd = labelled(mixed(labelled(large, labels)).select("path", "node"), labels)
+            ids = nodes.join(sized(written(crowd.select("node").distinct(), "wanted"), 16), "node", "left_semi")
+            edges = written(edges.union(blockwise(crowd, items_of(ids), p, q)), "edges")
     final = written(components(edges), "components")
     marked = labelled(info, final)
     least = marked.where("id IS NOT NULL AND label IS NOT NULL").groupBy("label").agg(F.min("id").alias("smallest"))
@@ -176,33 +191,43 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
-def blockwise(large: DataFrame, nodes: DataFrame, agree: int) -> DataFrame:
-    """Pairs (a, b) of sets of one tree node with other labels and at least ``agree`` equal minwise values.
+def blockwise(large: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Links (a, b) between sets of other labels in tree nodes that stay large (path, node, label), over whole sets.
 
-    Sets outside the node's largest component are compared with every block of the node's sets, block by block.
+    Tree nodes that share sets are one crowd. Sets outside the crowd's largest component are compared with every block
+    of the crowd, block by block, so a pair is compared once however many tree nodes it shares.
     """
-    sizes = large.groupBy("path", "label").agg(F.count("*").alias("m")).groupBy("path").agg(
-        F.max_by("label", F.struct("m", "label")).alias("main"))
-    crowd = large.join(sizes, "path").select(
-        "path", "node", "label", (F.col("label") != F.col("main")).alias("asks"),
-        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    first = large.groupBy("path").agg(F.min("node").alias("a"))
+    crowd = components(large.join(first, "path").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    crowd = written(crowd.select(F.col("id").alias("node"), F.col("component").alias("crowd")).join(large.select("node", "label").distinct(), "node"), "crowd")
+    sizes = crowd.groupBy("crowd", "label").agg(F.count("*").alias("m")).groupBy("crowd").agg(
+        F.max_by("label", F.struct("m", "label")).alias("main"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
+    crowd = crowd.join(sizes, "crowd").withColumn("asks", F.col("label") != F.col("main"))
     crowd = written(crowd.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "crowd")
-    asking = crowd.where("asks").select("path", F.col("block").alias("row")).distinct()
-    outer = crowd.where("asks").select("path", F.col("block").alias("row"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col"), "node", "label", F.lit(True).alias("asks"))
-    inner = crowd.join(asking, "path").select("path", "row", F.col("block").alias("col"), "node", "label", F.lit(False).alias("asks"))
+    asking = crowd.where("asks").select("crowd", F.col("block").alias("row")).distinct()
+    outer = crowd.where("asks").select("crowd", F.col("block").alias("row"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col"), "node", "label", F.lit(True).alias("asks"))
+    inner = crowd.join(asking, "crowd").select("crowd", "row", F.col("block").alias("col"), "node", "label", F.lit(False).alias("asks"))
 
     def meet(table: pa.Table) -> pa.Table:
         asks = np.array(table["asks"].to_pylist(), bool)
         node, label = table["node"].to_numpy(), table["label"].to_numpy()
-        sketch = unpack(table["sketch"], np.uint32).reshape(-1, SKETCH)
+        items = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+        size = np.array([len(x) for x in items], np.int64)
         others = np.flatnonzero(~asks)
-        a, b = [], []
-        for i in np.flatnonzero(asks):
-            hit = others[((sketch[others] == sketch[i]).sum(axis=1) >= agree) & (label[others] != label[i])]
-            a.append(np.full(len(hit), node[i]))
-            b.append(node[hit])
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a + none), "b": np.concatenate(b + none)})
-
-    tasks = outer.union(inner).join(nodes.select("node", "sketch"), "node")
-    return tasks.groupBy("path", "row", "col").applyInArrow(meet, "a long, b long")
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(others):
+            value = np.concatenate([items[i] for i in others])
+            owner = np.repeat(np.arange(len(others)), size[others])
+            order = np.argsort(value)
+            value, owner = value[order], owner[order]
+            for i in np.flatnonzero(asks):
+                lo, hi = np.searchsorted(value, items[i], "left"), np.searchsorted(value, items[i], "right")
+                n = hi - lo
+                common = np.bincount(owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())], minlength=len(others))
+                hit = others[(common * q >= p * (size[others] + size[i] - common)) & (label[others] != label[i])]
+                a.append(np.full(len(hit), node[i]))
+                b.append(node[hit])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    tasks = outer.union(inner).join(sets, "node")
+    return tasks.groupBy("crowd", "row", "col").applyInArrow(meet, "a long, b long")

@@ -13,7 +13,7 @@ sets are merged: pairs of one component are never compared, as they cannot chang
 
 A pair is compared by the minwise values first (six deviations of slack), then by the full sets. With 16 trees a link
 at J = 0.85 exactly is missed in all of them with a chance of 4e-11 where nodes are small after 2 levels, 3e-6 where
-they are after 6, 1e-3 after 14; closer pairs far less often, and a missed link matters only if no other joins the two.
+they are after 6; closer pairs far less often, and a missed link matters only if no other joins the two.
 
 NULL, empty and blank texts have no shingles, are linked with nothing and are their own component; so are rows with a
 NULL key, whose component is NULL and which are kept. Nodes are sets, not keys: rows that repeat a key with other texts
@@ -36,7 +36,7 @@ from tidemark.llm.words import Hasher, mix, pack, unpack
 SKETCH = 96   # minwise values of a set
 FIRST = 2     # levels taken before nodes are counted
 STEP = 4      # levels between later counts
-ROUNDS = 3    # times that large nodes branch further
+ROUNDS = 1    # times that large nodes branch further
 LEAF = 64     # sets of a node that are compared in pairs
 BLOCK = 1024  # sets in a block of the comparison of nodes that stay large
 
@@ -134,8 +134,8 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         """The linked ones of the pairs (a, b)."""
         close = sides(pairs, nodes, "n", "sketch").where(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
         near = written(close.select("a", "b", "sketch_a", "sketch_b").mapInArrow(screen, "a long, b long"), "near")
-        wanted = written(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(), "wanted")
-        sets = items_of(nodes.join(sized(wanted, 16), "node", "left_semi"))
+        wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        sets = items_of(nodes.join(wanted, "node", "left_semi"))
         return written(sides(near, sets, "items").select("a", "b", "items_a", "items_b").mapInArrow(compare, "a long, b long"), "edges")
 
     def items_of(some: DataFrame) -> DataFrame:
@@ -165,14 +165,14 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         centre = met.groupBy("path").agg(F.max(F.struct("much", "node", "label")).alias("c"))
         star = met.join(centre, "path").where("c.label <> label").groupBy("node").agg(F.max("c").alias("c"))
         star = verified(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")).select(*ordered).distinct())
-        edges = star if edges is None else written(edges.union(star), "edges")
+        edges = star if edges is None else edges.union(star)
         labels = written(components(edges), "components")
         apart = written(mixed(labelled(shared.drop("label"), labels)), "apart")
         # Small nodes: all pairs of sets that are still apart.
         small = apart.where(F.col("n") <= LEAF).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("label", "node"))).alias("x"))
         pairs = small.select(F.posexplode("x").alias("i", "m"), "x").select("m", F.explode(F.slice("x", F.col("i") + 2, LEAF)).alias("o"))
         pairs = pairs.where("m.label <> o.label").select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).select(*ordered).distinct()
-        edges = written(edges.union(verified(pairs)), "edges")
+        edges = edges.union(verified(pairs))
         large = written(apart.where(F.col("n") > LEAF).select("path", "node"), "large")
         if not large.count():
             break
@@ -181,8 +181,8 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
             rows = written(large.join(nodes, "node").select("path", "node", "sketch").mapInArrow(grow, "path long, node long"), "paths")
         else:
             crowd = labelled(mixed(labelled(large, labels)).select("path", "node"), labels)
-            ids = nodes.join(sized(written(crowd.select("node").distinct(), "wanted"), 16), "node", "left_semi")
-            edges = written(edges.union(blockwise(crowd, items_of(ids), p, q)), "edges")
+            sets = items_of(nodes.join(crowd.select("node").distinct(), "node", "left_semi"))
+            edges = edges.union(written(blockwise(crowd, sets, p, q), "edges"))
     final = written(components(edges), "components")
     marked = labelled(info, final)
     least = marked.where("id IS NOT NULL AND label IS NOT NULL").groupBy("label").agg(F.min("id").alias("smallest"))

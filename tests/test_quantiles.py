@@ -92,3 +92,40 @@ def test_kendall_equals_all_pairs(spark, monkeypatch, rows_per_range):
     dx, dy = (x[:, None] != x).sum(), (y[:, None] != y).sum()
     got = K.kendall_tau(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), "x", "y").head()
     assert got["n"] == 600 and got["tau"] == pytest.approx(want.sum() / np.sqrt(float(dx) * float(dy)), abs=1e-12)
+
+
+def test_quantiles_of_every_kind_of_double(spark, monkeypatch):
+    monkeypatch.setattr(Q, "WHOLE_BELOW", 0)
+    monkeypatch.setattr(Q, "PARTS", 4)
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(0, 1, 300) * 10.0 ** rng.integers(-300, 300, 300), [0.0, -0.0, 5e-324, -5e-324, np.inf, -np.inf] * 3, 1 + rng.random(500) * 1e-9])
+    pdf = pd.DataFrame({"g": np.where(rng.random(len(v)) < 0.5, "a", None), "h": rng.integers(0, 2, len(v)), "v": v})
+    probs = tuple(i / 16 for i in range(17))
+    got = {(r["g"], r["h"]): r for r in Q.exact_quantiles(spark.createDataFrame(pdf), ["g", "h"], "v", probs).collect()}
+    assert len(got) == 4
+    for (g, h), rows in pdf.groupby(["g", "h"], dropna=False):
+        ordered = np.sort(rows["v"].to_numpy())
+        for p in probs:
+            pos = p * (len(ordered) - 1)
+            low, high = ordered[int(np.floor(pos))], ordered[int(np.ceil(pos))]
+            with np.errstate(invalid="ignore"):
+                want = low + (high - low) * (pos - np.floor(pos))
+            np.testing.assert_equal(got[None if pd.isna(g) else g, h][Q._prob_name(p)], want)
+
+
+def test_quantiles_shuffle_counts_only(spark, monkeypatch):
+    """With almost no room for automatic broadcasts, rows still meet the wanted buckets where they are read."""
+    plans, write = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000")
+    try:
+        rows = spark.range(60_000).selectExpr("CAST(id % 3 AS STRING) AS g", "xxhash64(id) / 1e13D AS v")
+        Q.exact_quantiles(rows, ["g"], "v", (0.25, 0.5)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rescans = [plan for name, plan in plans if name == "ranks"][1:]
+    assert rescans
+    for plan in rescans:
+        below = plan[plan.index("FileScan"):] if "BroadcastHashJoin" not in plan else plan[plan.index("BroadcastHashJoin"):]
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(__g" not in below

@@ -2,81 +2,91 @@
 
 Spark's own ``percentile`` keeps every distinct value of a group in one buffer. That is fine for
 values with a small domain (days, counts, shares of a hundred) and is used there; for free doubles
-the operators below first find narrow brackets with a mergeable sketch and then select inside them.
+the operators below count rows in ever narrower buckets until every wanted rank has its value.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 20_000
-BRACKET = 4e-4          # half width of a bracket in rank terms; far above 1 / SKETCH_ACCURACY
-WHOLE_BELOW = 20_000    # groups smaller than this are selected from whole
+from tidemark.session import materialize
+
+BROADCAST_ROWS = 100_000  # wanted buckets, of about 100 bytes, up to which they are broadcast
+WHOLE_BELOW = 20_000    # buckets with fewer rows are finished by counting their values
+PARTS = 1024            # equal parts into which a larger bucket is cut
 
 
 def _prob_name(p: float) -> str:
     return "p" + f"{p * 100:g}".replace(".", "_")
 
 
-def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def _binades(v: str) -> str:
+    """An integer that never falls as ``v`` grows: sign, exponent and ten bits of the fraction."""
+    size = f"(CAST(floor(log2(abs({v}))) AS BIGINT) + 1100) * 4096 + floor(abs({v}) / pow(2D, floor(log2(abs({v})))) * 1024)"
+    ends = f"WHEN isnan({v}) OR {v} > 1.7976931348623157E308D THEN 9000000L WHEN {v} < -1.7976931348623157E308D THEN -9000000L"
+    return f"CASE WHEN {v} = 0 THEN 0L {ends} WHEN {v} > 0 THEN {size} ELSE -({size}) END"
+
+
+def _slots(rows: DataFrame, keys: Sequence[str], cut: str) -> DataFrame:
+    """Rows of each (keys, cut): number, ends, and the number of rows of lower cuts. Only counts are shuffled."""
+    counted = rows.groupBy(*keys, F.col(cut).alias("__k")).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    part = Window.partitionBy(*keys)
+    return counted.withColumn("start", F.sum("n").over(part.orderBy("__k")) - F.col("n")).withColumn("total", F.sum("n").over(part))
+
+
+def quantile_ranks(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], held: bool = True) -> DataFrame:
+    """Values at the ranks around every quantile: ``__g`` (struct of groups), i (place of the prob), side, rank, total, lo.
+
+    Rows are counted by group and binade part, in which each rank's bucket is found; buckets with more than one value
+    between their ends are cut again, until every rank has its value. A pass shuffles only counts; wanted buckets, at
+    most two for each group and prob, are broadcast if their counted number allows, and else joined.
+    """
+    base = df.select(F.struct(*(groups or [F.lit(0).alias("none")])).alias("__g"), F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
+    if held:
+        base = materialize(base, "quantiles")  # later passes need not compute the input again
+    ranks = ", ".join(f"named_struct('i', {i}, 'side', '{side}', 'rank', CAST({side}({p}D * (total - 1)) AS BIGINT))"
+                      for i, p in enumerate(probs) for side in ("floor", "ceil"))
+    here = f"inline(filter(array({ranks}), r -> r.rank >= start AND r.rank < start + n))"
+    slots = _slots(base.withColumn("__c", F.expr(_binades("__v"))), ["__g"], "__c")
+    found = materialize(slots.selectExpr("__g", "start", "n", "lo", "hi", "total", here).selectExpr(
+        "__g", "i", "side", "rank", "total", "rank - start AS ahead", "n", "lo", "hi"), "ranks")
+    settled = "ahead = 0 OR ahead = n - 1 OR lo = hi"
+    done = []
+    while True:
+        done.append(found.where(settled).selectExpr("__g", "i", "side", "rank", "total", "CASE WHEN ahead = 0 THEN lo ELSE hi END AS value"))
+        open_ = found.where(f"NOT ({settled})")
+        wanted = open_.select(F.col("__g").alias("__of"), "lo", "hi", "n").distinct()
+        count = wanted.count()
+        if not count:
+            return reduce(DataFrame.unionByName, done)
+        near = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
+        rows = base.join(near, (F.col("__g") == F.col("__of")) & (F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+        rows = rows.selectExpr("__g", "lo AS bucket", "__v", f"CASE WHEN n <= {WHOLE_BELOW} THEN __v ELSE CAST(width_bucket(__v, lo, hi, {PARTS}) AS DOUBLE) END AS __c")
+        slots = _slots(rows, ["__g", "bucket"], "__c").selectExpr("__g AS __of", "bucket", "start", "n", "lo", "hi")
+        asked = open_.select("__g", "i", "side", "rank", "total", "ahead", F.col("lo").alias("at"))
+        found = materialize(asked.join(slots, F.expr("__g = __of AND at = bucket AND ahead >= start AND ahead < start + n")).selectExpr(
+            "__g", "i", "side", "rank", "total", "ahead - start AS ahead", "n", "lo", "hi"), "ranks")
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], held: bool = True) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per group: columns ``p25``, ``p50`` ….
 
-    NULL values are left out. Result equals ``percentile`` (and pandas ``quantile``).
+    NULL values are left out. Result equals ``percentile`` (and pandas ``quantile``). With ``held`` the two columns are
+    written first; without, each pass reads ``df`` again, which is better for a plain table.
     """
     groups = list(groups)
-    base = df.select(*groups, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
-    lows = [max(0.0, p - BRACKET) for p in probs]
-    highs = [min(1.0, p + BRACKET) for p in probs]
-    sketch_aggs = [
-        F.count("*").alias("__n"),
-        F.percentile_approx("__v", lows, SKETCH_ACCURACY).alias("__lo"),
-        F.percentile_approx("__v", highs, SKETCH_ACCURACY).alias("__hi"),
-    ]
-    if groups:
-        renamed = {g: f"__g{i}" for i, g in enumerate(groups)}
-        sketch = base.groupBy(*groups).agg(*sketch_aggs).withColumnsRenamed(renamed)
-        same = [F.col(g).eqNullSafe(F.col(k)) for g, k in renamed.items()]
-        on = same[0]
-        for c in same[1:]:
-            on = on & c
-        marked = base.join(sketch, on).drop(*renamed.values())
-    else:
-        sketch = base.agg(*sketch_aggs).select(F.struct("*").alias("s")).scalar()
-        marked = base.select("__v", sketch.alias("s")).select("__v", "s.*")
-
-    v = F.col("__v")
-    in_bracket = F.exists(
-        F.arrays_zip("__lo", "__hi"), lambda b: (v >= b.getField("__lo")) & (v <= b.getField("__hi")))
-    keep = (F.col("__n") < WHOLE_BELOW) | in_bracket
-    edge = F.array_max(F.filter("__hi", lambda h: h < v))
-    # A row outside every bracket is only counted, at the upper edge of the bracket below it.
-    slots = (
-        marked.select(*groups, keep.alias("__kept"),
-                      F.when(keep, v).otherwise(F.coalesce(edge, F.lit(float("-inf")))).alias("__k"))
-        .groupBy(*groups, "__k", "__kept").agg(F.count("*").alias("__c"))
-    )
-    part = Window.partitionBy(*groups) if groups else Window.partitionBy()
-    run = part.orderBy(F.col("__k"), F.col("__kept").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = slots.select(
-        *groups, "__k", "__kept", "__c", F.sum("__c").over(run).alias("__end"), F.sum("__c").over(part).alias("__n"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when(
-            F.col("__kept") & (rank >= F.col("__end") - F.col("__c")) & (rank < F.col("__end")), F.col("__k")))
-
-    picks, results = [], []
-    for p in probs:
-        pos = F.lit(p) * (F.col("__n") - 1)
-        name = _prob_name(p)
-        picks += [at(F.floor(pos)).alias(f"__l_{name}"), at(F.ceil(pos)).alias(f"__h_{name}"),
-                  F.max(pos - F.floor(pos)).alias(f"__f_{name}")]
-        low, high, frac = F.col(f"__l_{name}"), F.col(f"__h_{name}"), F.col(f"__f_{name}")
-        results.append((low + (high - low) * frac).alias(name))
-    return placed.groupBy(*groups).agg(*picks).select(*groups, *results)
+    found = quantile_ranks(df, groups, value, probs, held)
+    at = lambda i, side: f"max(CASE WHEN i = {i} AND side = '{side}' THEN value END)"
+    results = [f"{at(i, 'floor')} + ({at(i, 'ceil')} - {at(i, 'floor')}) * ({p}D * (max(total) - 1) - floor({p}D * (max(total) - 1))) AS {_prob_name(p)}"
+               for i, p in enumerate(probs)]
+    if not groups:
+        return found.agg(*[F.expr(r) for r in results])
+    return found.groupBy("__g").agg(*[F.expr(r) for r in results]).select("__g.*", *[_prob_name(p) for p in probs])
 
 
 def melt(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str = "column", value: str = "value") -> DataFrame:

@@ -104,7 +104,7 @@ def descriptives_by_stage(t):
            round(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 6) AS iqr FROM lineitem GROUP BY 1, 2""")
 def median_iqr(t):
     keys = ["l_returnflag", "l_linestatus"]
-    q = exact_quantiles(t.lineitem, keys, "l_extendedprice", (0.25, 0.5, 0.75))
+    q = exact_quantiles(t.lineitem, keys, "l_extendedprice", (0.25, 0.5, 0.75), held=False)
     sizes = t.lineitem.groupBy(*keys).agg(F.count("*").alias("n"))
     return sizes.join(q, keys).selectExpr(*keys, "n", "round(p50, 6) AS median", "round(p75 - p25, 6) AS iqr")
 
@@ -198,7 +198,7 @@ def group_describe(t):
     basic = t.orders.groupBy(g).agg(
         F.count(x).alias("count"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"))
-    q = exact_quantiles(t.orders, [g], x, (0.25, 0.5, 0.75))
+    q = exact_quantiles(t.orders, [g], x, (0.25, 0.5, 0.75), held=False)
     return basic.join(q, g).selectExpr(g, "count", "mean", "std", "min", *[f"round(p{p}, 6) AS p{p}" for p in (25, 50, 75)], "max")
 
 

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
 }
 
+_OWN: dict[str, str] = {}  # folders of local sessions without a shared one
+
 
 def build_session(app_name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with this library's defaults; keyword options use ``_`` for ``.``."""
@@ -33,16 +35,16 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
 def shared_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made only for a
-    session whose driver and executors are one process; any other session gets an error instead of a folder
-    that its executors cannot share.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, one temporary folder a session is made, only
+    where driver and executors are one process; any other session gets an error instead of a folder that its
+    executors cannot share. (The setting cannot be changed in a running session.)
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        name = spark.sparkContext.applicationId
+        root = _OWN.get(name) or _OWN.setdefault(name, tempfile.mkdtemp(prefix="tidemark-"))
     return root.rstrip("/")
 
 

@@ -1,9 +1,11 @@
-"""Exact k nearest neighbours as a partitioned join.
-
-Points are put into the cells of a few pivots. Bounds from the triangle inequality tell which training
-points can be among the k nearest of any query of a cell, and only these travel to that cell (the
-published Voronoi-based kNN join). Cells are cut into blocks of bounded size, so that neither a crowded
-cell nor a large training set meets in one task, and each block sends on no more than k rows per query.
+"""Exact k nearest neighbours as a two-step bound join.
+
+Training points lie in cells of a few pivots, and a cell is cut into rings by the distance to its pivot, about
+``BLOCK_ROWS`` points each, so that blocks (cell, ring) grow in number with the data while pivots do not. In a first
+step a query meets only its own block; the k-th distance there, or a bound from the points nearest to each pivot if that
+is smaller, is its radius. In the second step it visits only the blocks that the triangle inequality (and the
+hyperplane between two pivots) cannot put beyond that radius. Crowded blocks are split by hash, queries of a block too,
+so neither a dense cell nor a large query set meets in one task, and each block sends on no more than k rows per query.
 """
 
 from __future__ import annotations
@@ -14,87 +16,175 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_PIVOTS = 128
-BLOCK_ROWS = 4096
+from tidemark.session import materialize
+
+PIVOTS = 128       # most cells; a fixed number, as rings follow the data
+BLOCK_ROWS = 4096  # training points of a block, and queries that meet it in one task
+AT_ONCE = 1 << 22  # numbers in one array of differences
+SLACK = 1e-9       # bounds are loosened by this share, so that rounding never excludes a neighbour
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def _assign(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot and distance to it, a batch at a time."""
-    points = df.sparkSession.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors
-
-    @F.pandas_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())]))
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        if not len(v):
-            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "radius": pd.Series(dtype="float64")})
-        x = _matrix(v)
-        d = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points.value], axis=1)
-        best = d.argmin(axis=1)
-        return pd.DataFrame({"cell": best.astype(np.int32), "radius": d[np.arange(len(x)), best]})
-
-    return df.withColumn("__a", nearest(F.col(vector))).select("*", "__a.*").drop("__a")
-
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[len(x), len(y)] Euclidean distances, from differences, a few rows of x at a time."""
+    step = max(1, AT_ONCE // max(1, y.size))
+    out = [np.sqrt(((x[i: i + step, None, :] - y[None]) ** 2).sum(axis=2)) for i in range(0, len(x), step)]
+    return np.concatenate(out) if out else np.zeros((0, len(y)))
+
+
+class _Cells:
+    """What is known of the cells: pivots, rings and the radii of the points nearest to each pivot. All bounded by PIVOTS and k."""
+
+    def __init__(self, pivots: np.ndarray, counts: dict, widest: dict, nearest: dict, k: int):
+        m = len(pivots)
+        self.pivots, self.k = pivots, k
+        self.filled = np.array([c in counts for c in range(m)], bool)
+        self.widest = np.array([widest.get(c, 0.0) for c in range(m)])
+        self.rings = np.array([max(1, math.ceil(counts.get(c, 0) / BLOCK_ROWS)) for c in range(m)])
+        self.width = np.where(self.widest > 0, self.widest / self.rings, 1.0)
+        self.nearest = np.array([(nearest.get(c, []) + [math.inf] * k)[:k] for c in range(m)])
+
+    def ring(self, cell: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(radius / self.width[cell]).astype(np.int64), 0, self.rings[cell] - 1)
+
+    def bound(self, d: np.ndarray) -> np.ndarray:
+        """A distance within which each query has k training points for certain."""
+        reach = (d[:, :, None] + self.nearest[None]).reshape(len(d), -1)
+        return np.partition(reach, self.k - 1, axis=1)[:, self.k - 1]
+
+    def visits(self, d: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, cell, ring) that may hold a point within each query's radius."""
+        far = radius * (1 + SLACK) + SLACK
+        least = np.where(self.filled[None], d, np.inf).min(axis=1)
+        open_ = self.filled[None] & ((d - least[:, None]) / 2 <= far[:, None]) & (d - far[:, None] <= self.widest[None])
+        q, c = np.nonzero(open_)
+        low = np.floor(np.maximum(d[q, c] - far[q], 0) / self.width[c]) - 1  # one ring more than the division says
+        high = np.floor(np.minimum((d[q, c] + far[q]) / self.width[c], self.rings[c])) + 1
+        low, high = (np.clip(x, 0, self.rings[c] - 1).astype(np.int64) for x in (low, high))
+        n = high - low + 1
+        ring = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(q, n), np.repeat(c, n), ring
+
+
+def _cells(train: DataFrame, vector: str, key: str, k: int) -> tuple[DataFrame, _Cells]:
+    """Training points with cell and radius, written, and what is known of the cells."""
+    # Any choice of pivots gives the same result; a hash order spreads them well enough.
+    cells = min(PIVOTS, max(1, 4 * train.count() // BLOCK_ROWS))  # a cell of fewer points saves less than it costs
+    chosen = train.orderBy(F.xxhash64(key), key).limit(cells).select(vector).toPandas()
+    pivots = np.unique(_matrix(chosen[vector]), axis=0)
+    schema = train.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", cell int, radius double"
 
-def _routes(train: DataFrame, query: DataFrame, pivots: np.ndarray, k: int) -> pd.DataFrame:
-    """For each query cell and training cell: the smallest pivot distance a useful training point can have.
+    def assign(frames):
+        for frame in frames:
+            if len(frame):
+                d = _distances(_matrix(frame[vector]), pivots)
+                cell = d.argmin(axis=1)
+                yield frame.assign(cell=cell.astype(np.int32), radius=d[np.arange(len(d)), cell])
 
-    What reaches the driver are k distances per cell and one radius per cell, both bounded.
-    """
-    nearest_k = (
-        train.selectExpr("cell", "radius", "row_number() OVER (PARTITION BY cell ORDER BY radius) AS place")
-        .where(f"place <= {k}").groupBy("cell").agg(F.sort_array(F.collect_list("radius")).alias("r")))
-    inner = {r["cell"]: np.array(r["r"]) for r in nearest_k.collect()}
-    outer = {r["cell"]: r["u"] for r in query.groupBy("cell").agg(F.max("radius").alias("u")).collect()}
-    rows = []
-    for i, reach in outer.items():
-        gap = np.sqrt(((pivots - pivots[i]) ** 2).sum(axis=1))
-        bounds = np.sort(np.concatenate([reach + gap[j] + r for j, r in inner.items()]))
-        farthest = bounds[k - 1] if len(bounds) >= k else math.inf
-        for j in inner:
-            rows.append((i, j, float(gap[j] - reach - farthest) * (1 - 1e-9) - 1e-9))
-    return pd.DataFrame(rows, columns=["q_cell", "cell", "least"])
+    placed = materialize(train.mapInPandas(assign, schema), "cells")
+    sizes = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("far")).collect()}
+    nearest = placed.selectExpr("cell", "radius", "row_number() OVER (PARTITION BY cell ORDER BY radius) AS place").where(f"place <= {k}")
+    near = {r["cell"]: sorted(r["r"]) for r in nearest.groupBy("cell").agg(F.collect_list("radius").alias("r")).collect()}
+    return placed, _Cells(pivots, {c: n for c, (n, _) in sizes.items()}, {c: far for c, (_, far) in sizes.items()}, near, k)
 
 
 def nearest_neighbours(train: DataFrame, query: DataFrame, key: str, vector: str, k: int, carry: str) -> DataFrame:
     """(query key, neighbour key, ``carry`` of the neighbour, distance, place 1 … k); ties by neighbour key."""
-    spark = train.sparkSession
-    n_train, n_query = train.count(), query.count()
-    m = max(1, min(MAX_PIVOTS, int(math.sqrt(max(n_train, 1)) / 2)))
-    # Any choice of pivots gives the same result; a hash order spreads them well enough.
-    chosen = train.orderBy(F.xxhash64(key), key).limit(m).select(vector).toPandas()
-    pivots = _matrix(chosen[vector])
-    t = _assign(train.select(F.col(key).alias("t_key"), F.col(vector).alias("t_vec"), F.col(carry).alias("t_carry")), "t_vec", pivots)
-    q = _assign(query.select(F.col(key).alias("q_key"), F.col(vector).alias("q_vec")), "q_vec", pivots)
-    routes = spark.createDataFrame(_routes(t, q, pivots, k))
-    t_blocks, q_blocks = max(1, math.ceil(n_train / BLOCK_ROWS)), max(1, math.ceil(n_query / BLOCK_ROWS))
-    sent = t.join(F.broadcast(routes), "cell").where("radius >= least").selectExpr(
-        "q_cell", f"CAST(pmod(xxhash64(t_key), {t_blocks}) AS INT) AS tb", f"explode(sequence(0, {q_blocks - 1})) AS qb", "t_key", "t_vec", "t_carry")
-    asked = q.selectExpr(
-        "cell AS q_cell", f"explode(sequence(0, {t_blocks - 1})) AS tb", f"CAST(pmod(xxhash64(q_key), {q_blocks}) AS INT) AS qb", "q_key", "q_vec")
-    types = {c: dict(sent.dtypes)[c] for c in ("t_key", "t_carry")}
-    schema = f"q_key {dict(asked.dtypes)['q_key']}, t_key {types['t_key']}, t_carry {types['t_carry']}, distance double"
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    found, _ = neighbours_and_visits(train, query, key, vector, k, carry)
+    return found
+
+
+def neighbours_and_visits(train: DataFrame, query: DataFrame, key: str, vector: str, k: int, carry: str) -> tuple[DataFrame, DataFrame]:
+    """The neighbours, and (cell, ring, queries, points) of the blocks visited. Rows with a NULL vector are left out."""
+    train = train.where(F.col(vector).isNotNull()).select(F.col(key).alias("t_key"), F.col(vector).alias("t_vec"), F.col(carry).alias("t_carry"))
+    query = query.where(F.col(vector).isNotNull()).select(F.col(key).alias("q_key"), F.col(vector).alias("q_vec"))
+    types = {**dict(train.dtypes), **dict(query.dtypes)}
+    found_schema = f"q_key {types['q_key']}, t_key {types['t_key']}, t_carry {types['t_carry']}, distance double"
+    if not train.take(1):
+        empty = train.sparkSession.createDataFrame([], found_schema + ", place int")
+        return empty.selectExpr(f"q_key AS {key}", "t_key AS neighbour", f"t_carry AS {carry}", "distance", "place"), train.sparkSession.createDataFrame(
+            [], "cell int, ring long, queries long, points long")
+    placed, cells = _cells(train, "t_vec", "t_key", k)
+    n_query = query.count()
+    # Rings by the same arithmetic as in the visits.
+    rings = {name: np.asarray(x) for name, x in (("width", cells.width), ("rings", cells.rings))}
+
+    def ringed(frames):
+        for frame in frames:
+            c, r = frame["cell"].to_numpy(), frame["radius"].to_numpy()
+            yield frame.assign(ring=np.clip(np.floor(r / rings["width"][c]).astype(np.int64), 0, rings["rings"][c] - 1)).drop(columns="radius")
+
+    points = materialize(placed.mapInPandas(ringed, f"t_key {types['t_key']}, t_vec {types['t_vec']}, t_carry {types['t_carry']}, cell int, ring long"), "points")
+    sizes = points.groupBy("cell", "ring").agg(F.count("*").alias("points"))
+    sizes = materialize(sizes.withColumn("splits", F.ceil(F.col("points") / BLOCK_ROWS).cast("int")), "blocks")
+    shares = max(1, math.ceil(n_query / BLOCK_ROWS))
+
+    def home(frames):
+        for frame in frames:
+            if len(frame):
+                d = _distances(_matrix(frame["q_vec"]), cells.pivots)
+                cell = np.where(cells.filled[None], d, np.inf).argmin(axis=1)
+                yield frame.assign(cell=cell.astype(np.int32), ring=cells.ring(cell, d[np.arange(len(d)), cell]), bound=cells.bound(d))
+
+    at_home = materialize(query.mapInPandas(home, f"q_key {types['q_key']}, q_vec {types['q_vec']}, cell int, ring long, bound double"), "queries")
+
+    def met(asked: DataFrame) -> DataFrame:
+        """The k best of each split of each block that is asked."""
+        share = F.pmod(F.xxhash64("q_key"), F.lit(shares)).cast("int")
+        left = asked.withColumn("share", share).join(sizes.select("cell", "ring", "splits"), ["cell", "ring"]).select(
+            "cell", "ring", "share", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), "q_key", "q_vec")
+        wanted = asked.select("cell", "ring", share.alias("share")).distinct()
+        right = points.join(sizes.select("cell", "ring", "splits"), ["cell", "ring"]).join(wanted, ["cell", "ring"]).select(
+            "cell", "ring", "share", F.pmod(F.xxhash64("t_key"), F.col("splits")).cast("int").alias("split"), "t_key", "t_vec", "t_carry")
+        block = ["cell", "ring", "share", "split"]
+        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(_best(k), found_schema)
+
+    first = materialize(met(at_home), "home")
+    ranked = first.selectExpr("q_key", "distance", "row_number() OVER (PARTITION BY q_key ORDER BY distance) AS place").where(f"place = {k}")
+    radius = at_home.join(ranked.select(F.col("q_key").alias("__k"), "distance"), F.col("q_key") == F.col("__k"), "left").select(
+        "q_key", "q_vec", F.col("cell").alias("own_cell"), F.col("ring").alias("own_ring"), F.least("bound", F.coalesce("distance", "bound")).alias("radius"))
+
+    def route(frames):
+        for frame in frames:
+            if len(frame):
+                d = _distances(_matrix(frame["q_vec"]), cells.pivots)
+                q, c, r = cells.visits(d, frame["radius"].to_numpy())
+                other = (c != frame["own_cell"].to_numpy()[q]) | (r != frame["own_ring"].to_numpy()[q])
+                rows = frame.iloc[q[other]][["q_key", "q_vec"]]
+                yield rows.assign(cell=c[other].astype(np.int32), ring=r[other])
+
+    routed = materialize(radius.mapInPandas(route, f"q_key {types['q_key']}, q_vec {types['q_vec']}, cell int, ring long"), "routes")
+    local = first.unionByName(met(routed))
+    # At most k rows per block remain for each query.
+    out = local.selectExpr("*", "row_number() OVER (PARTITION BY q_key ORDER BY distance, t_key) AS place").where(f"place <= {k}")
+    asked = at_home.select("cell", "ring").union(routed.select("cell", "ring")).groupBy("cell", "ring").agg(F.count("*").alias("queries"))
+    return out.selectExpr(f"q_key AS {key}", "t_key AS neighbour", f"t_carry AS {carry}", "distance", "place"), asked.join(
+        sizes, ["cell", "ring"]).select("cell", "ring", "queries", "points")
+
+
+def _best(k: int):
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"q_key": left["q_key"][:0], "t_key": right["t_key"][:0], "t_carry": right["t_carry"][:0], "distance": np.array([], dtype=float)})
         if left.empty or right.empty:
-            return pd.DataFrame({"q_key": left["q_key"][:0], "t_key": right["t_key"][:0], "t_carry": right["t_carry"][:0], "distance": np.array([], dtype=float)})
-        points, keys = _matrix(right["t_vec"]), right["t_key"].to_numpy()
-        out = []
-        for name, v in zip(left["q_key"], _matrix(left["q_vec"])):
-            d = np.sqrt(((points - v) ** 2).sum(axis=1))
-            best = np.lexsort((keys, d))[:k]
-            out.append(pd.DataFrame({"q_key": name, "t_key": keys[best], "t_carry": right["t_carry"].to_numpy()[best], "distance": d[best]}))
+            return empty
+        right = right.sort_values("t_key")
+        points, queries = _matrix(right["t_vec"]), _matrix(left["q_vec"])
+        keys, carried, names = right["t_key"].to_numpy(), right["t_carry"].to_numpy(), left["q_key"].to_numpy()
+        out = [empty]
+        step = max(1, AT_ONCE // max(1, points.size))
+        for i in range(0, len(queries), step):
+            d = _distances(queries[i: i + step], points)
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]  # points come in key order, so ties do too
+            out.append(pd.DataFrame({
+                "q_key": np.repeat(names[i: i + step], near.shape[1]), "t_key": keys[near].ravel(), "t_carry": carried[near].ravel(),
+                "distance": np.take_along_axis(d, near, 1).ravel()}))
         return pd.concat(out, ignore_index=True)
 
-    group = ["q_cell", "tb", "qb"]
-    local = asked.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(block, schema)
-    # At most k rows per training block remain for each query.
-    placed = local.selectExpr("*", "row_number() OVER (PARTITION BY q_key ORDER BY distance, t_key) AS place").where(f"place <= {k}")
-    return placed.selectExpr(f"q_key AS {key}", "t_key AS neighbour", f"t_carry AS {carry}", "distance", "place")
+    return best
 
 
 def vote(neighbours: DataFrame, key: str, label: str, weighted: bool = False) -> DataFrame:

@@ -129,3 +129,20 @@ def test_quantiles_shuffle_counts_only(spark, monkeypatch):
     for plan in rescans:
         below = plan[plan.index("FileScan"):] if "BroadcastHashJoin" not in plan else plan[plan.index("BroadcastHashJoin"):]
         assert "BroadcastHashJoin" in plan and "hashpartitioning(__g" not in below
+
+
+def test_spearman_over_the_complete_rows_of_each_pair(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"id": range(400), "a": rng.integers(0, 20, 400) * 1.0, "b": rng.random(400), "flat": 3.0})
+    pdf["c"] = pdf["a"] - pdf["b"] * 9
+    gap = rng.random(400) < 0.3
+    pdf.loc[gap, "a"] = pdf.loc[gap, "b"] = np.nan       # the same gaps
+    pdf.loc[rng.random(400) < 0.4, "c"] = np.nan
+    columns = ["a", "b", "c", "flat"]
+    want = pdf[columns].corr(method="spearman")
+    df = spark.createDataFrame(pdf).selectExpr("id", *[f"nanvl({c}, NULL) AS {c}" for c in columns])
+    assert P.gap_classes(df, ["id"], columns) == {"a": "a", "b": "a", "c": "c", "flat": None}
+    got = {(r["a"], r["b"]): r["r"] for r in P.pairwise_spearman(df, ["id"], columns).collect()}
+    assert len(got) == 6
+    for (a, b), r in got.items():
+        assert r is None if "flat" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-12)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.learning.neighbours import nearest_neighbours, vote
+from tidemark.learning.stability import stability_frequencies
 from tidemark.operators.metrics import class_weights, fold_column
 
 ALGORITHMS = ("NB", "RF", "LR", "KNN", "DT", "SVM", "ANN")
@@ -192,13 +193,9 @@ def fisher_direction(df: DataFrame, features: Sequence[str], label: str = "label
     return list(zip(names, (w / np.linalg.norm(w)).tolist()))
 
 
-def stability_selection(df: DataFrame, features: Sequence[str], rounds: int = 10, fraction: float = 0.75, C: float = 0.1,
+def stability_selection(df: DataFrame, features: Sequence[str], rounds: int = 100, share: float = 0.2,
                         key: str = "keys_company_id", seed: int = 0) -> list[tuple[str, float]]:
-    """How often each feature keeps a weight in L1 fits on random parts of the rows."""
-    hits = dict.fromkeys(features, 0)
-    for b in range(rounds):
-        part = df.where(F.expr(f"pmod(xxhash64({key}, {seed + b}), 1000) < {int(fraction * 1000)}"))
-        model = fit(part, features, "LR", {"penalty": "l1", "C": C, "max_iter": 20}, {"scaler": "standard"}, key)
-        for name, w in feature_weights(model, features):
-            hits[name] += abs(w) > 1e-9
-    return [(f, hits[f] / rounds) for f in features]
+    """How often each feature keeps a weight in randomised lasso fits on resamples of the rows, in the order of ``features``."""
+    found = stability_frequencies(df, features, key=key, rounds=rounds, share=share, seed=seed)
+    frequency = {r["feature"]: r["frequency"] for r in found.collect()}
+    return [(f, frequency.get(f, 0.0)) for f in features]

@@ -111,28 +111,65 @@ def pairwise_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         structs = ", ".join(
-            f"struct('{a}' AS a, '{b}' AS b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r)" for a, b in pairs[start:start + PAIRS_PER_PASS])
+            f"struct('{a}' AS a, '{b}' AS b, {_pearson(a, b)} AS r)" for a, b in pairs[start:start + PAIRS_PER_PASS])
         one = df.agg(F.expr(f"array({structs})").alias("s")).selectExpr("inline(s)")
         out = one if out is None else out.unionByName(one)
     return out.selectExpr("a", "b", "nanvl(r, NULL) AS r")
 
 
-def rank_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The columns replaced by their average ranks; ``keys`` identify a row.
+def _pearson(a: str, b: str) -> str:
+    """Correlation over the rows where both are present; NULL where one of them does not vary there."""
+    y, x = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+    return f"try_divide(regr_sxy({y}, {x}), sqrt(regr_sxx({y}, {x})) * sqrt(regr_syy({y}, {x})))"
 
-    All columns are ranked together in long form, by value ranges of each column, so the number of
-    shuffles does not grow with the number of columns.
+
+def gap_classes(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> dict[str, str | None]:
+    """For each column the first column with gaps in the same rows, or None without gaps. One pass; a number a column comes back."""
+    gone = [F.expr(f"struct(bit_xor(CASE WHEN {c} IS NULL THEN xxhash64({', '.join(keys)}) END) AS x, count_if({c} IS NULL) AS n)").alias(f"g{i}") for i, c in enumerate(columns)]
+    row = df.agg(*gone).head()
+    first: dict = {}
+    return {c: first.setdefault((row[f"g{i}"]["x"], row[f"g{i}"]["n"]), c) if row[f"g{i}"]["n"] else None for i, c in enumerate(columns)}
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], contexts: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """``keys`` and, for each context, the average rank of a column among the rows where another column (if any) is present.
+
+    ``contexts``: output name → (column, other column or None). All contexts are ranked together in long form, by
+    value ranges of each, so the number of shuffles does not grow with their number.
     """
-    long = melt(df, keys, columns, "__column", "__value")
+    values = [f"CASE WHEN {other} IS NOT NULL THEN CAST({c} AS DOUBLE) END AS {name}" if other else f"CAST({c} AS DOUBLE) AS {name}"
+              for name, (c, other) in contexts.items()]
+    long = melt(df.selectExpr(*keys, *values), keys, list(contexts), "__column", "__value").where("__value IS NOT NULL")
     ranks = average_ranks(long, "__value", ["__column"], "__rank")
     ranked = long.join(ranks, ["__column", "__value"])
     return ranked.groupBy(*keys).agg(
-        *[F.expr(f"max(CASE WHEN __column = '{c}' THEN __rank END)").alias(c) for c in columns])
+        *[F.expr(f"max(CASE WHEN __column = '{c}' THEN __rank END)").alias(c) for c in contexts])
 
 
 def pairwise_spearman(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rank correlation of every pair of columns without gaps."""
-    return pairwise_pearson(rank_columns(df, keys, columns), columns)
+    """Rank correlation of every pair of columns over the rows where both are present: (a, b, r).
+
+    Ranks are taken among a pair's complete rows. Columns with gaps in the same rows share them, so a column is
+    ranked once for itself and once for each other set of gaps; without gaps, once. ``keys`` identify a row.
+    """
+    gaps = gap_classes(df, keys, columns)
+    place = {c: i for i, c in enumerate(columns)}
+    contexts: dict[str, tuple[str, str | None]] = {}
+
+    def ranked(c: str, other: str) -> str:
+        given = gaps[other] if gaps[other] != gaps[c] else None
+        name = f"r{place[c]}" + (f"_{place[given]}" if given else "")
+        contexts[name] = (c, given)
+        return name
+
+    pairs = [(a, b, ranked(a, b), ranked(b, a)) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    ranks = rank_within(df, keys, contexts)
+    out = None
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        structs = ", ".join(f"struct('{a}' AS a, '{b}' AS b, {_pearson(x, y)} AS r)" for a, b, x, y in pairs[start:start + PAIRS_PER_PASS])
+        one = ranks.agg(F.expr(f"array({structs})").alias("s")).selectExpr("inline(s)")
+        out = one if out is None else out.unionByName(one)
+    return out.selectExpr("a", "b", "nanvl(r, NULL) AS r")
 
 
 def share_above(correlations: DataFrame, columns: int, thresholds: Sequence[float]) -> DataFrame:
@@ -165,9 +202,12 @@ def factor_correlation(df: DataFrame, keys: Sequence[str], columns: Sequence[str
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Columns-by-columns Pearson matrix of null-free columns, computed on the cluster."""
+    """Columns-by-columns Pearson matrix of null-free columns, computed on the cluster; 0 for a column that does not vary."""
     vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(df.select(*columns)).select("v")
-    return Correlation.corr(vectors, "v").head()[0].toArray()
+    r = Correlation.corr(vectors, "v").head()[0].toArray()
+    flat = np.isnan(r).sum(axis=0) >= max(1, len(r) - 1)
+    r[flat, :] = r[:, flat] = 0
+    return r
 
 
 def scree(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

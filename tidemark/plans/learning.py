@@ -10,6 +10,7 @@ from tidemark.learning import classifiers as C
 from tidemark.learning import preprocess as R
 from tidemark.learning import search as H
 from tidemark.learning.neighbours import nearest_neighbours, vote
+from tidemark.learning.stability import stability_frequencies
 from tidemark.operators import labels as L
 from tidemark.operators.metrics import fold_column
 from tidemark.plans import base as B
@@ -93,7 +94,8 @@ def knn_vote(t):
         weighted.selectExpr("vec_id", "prediction AS distance_vote", "round(share, 6) AS distance_share"), "vec_id")
 
 
-FEATURES = [B.AGE, B.ROUNDS, B.RAISED, B.PATENTS, B.STAFF] + [f"{B.CODE}{c}" for c in "abcde"]
+#: All features of the flagship's rows.
+FEATURES = [B.AGE, B.ROUNDS, B.RAISED, B.PATENTS, B.STAFF, *[f"{B.CODE}{c}" for c in B.ROUND_CODES], *[f"{B.SEGMENT}{s}" for s in B.SEGMENTS]]
 
 
 def learning_rows(t, pairs=B.ONE_PAIR):
@@ -198,4 +200,4 @@ def fisher_direction(t):
 
 @query("stability_selection")
 def stability_selection(t):
-    return t.spark.createDataFrame(C.stability_selection(learning_rows(t), FEATURES, rounds=3), "feature string, frequency double")
+    return stability_frequencies(learning_rows(t), FEATURES, rounds=200)

@@ -154,9 +154,24 @@ def corr_spearman(t):
     return P.pairwise_spearman(x, ["o_orderkey"], list(_RANKED)).withColumn("r", F.round("r", 6))
 
 
+# Columns with other gaps each, one without, and one with the gaps of the first.
+_GAPPED = {"price": "CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END", "customer": "CASE WHEN o_custkey % 4 <> 0 THEN o_custkey END",
+           "digit": "o_orderkey * 7919 % 10", "half": "CASE WHEN o_orderkey % 3 <> 0 THEN floor(o_totalprice / 2000) END"}
+
+
+@query("corr_spearman_gaps", f"""
+    WITH x AS (SELECT {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _GAPPED.items())} FROM orders)
+    """ + " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, round((SELECT corr(p, q) FROM (
+        SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS p, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS q
+        FROM x WHERE {a} IS NOT NULL AND {b} IS NOT NULL)), 6) AS r""" for a, b in _pairs(list(_GAPPED))))
+def corr_spearman_gaps(t):
+    x = t.orders.selectExpr("o_orderkey", *[f"{e} AS {c}" for c, e in _GAPPED.items()])
+    return P.pairwise_spearman(x, ["o_orderkey"], list(_GAPPED)).withColumn("r", F.round("r", 6))
+
+
 def dense_features(t):
     """Feature rows with gaps filled by zero, for operators on complete columns."""
-    names = [B.AGE, B.ROUNDS, B.RAISED, B.PATENTS, B.STAFF] + [f"{B.CODE}{c}" for c in "abcde"]
+    names = [B.AGE, B.ROUNDS, B.RAISED, B.PATENTS, B.STAFF, *[f"{B.CODE}{c}" for c in B.ROUND_CODES], *[f"{B.SEGMENT}{s}" for s in B.SEGMENTS]]
     df = B.forecast_frame(t, detail=True)
     dense = df.selectExpr("keys_company_id", *[f"coalesce(CAST({n} AS DOUBLE), 0D) AS {n}" for n in names])
     return materialize(dense, "features"), names  # read several times below

@@ -89,3 +89,19 @@ def test_scratch_is_under_the_named_folder(spark):
     path = scratch_dir(spark, "x")
     assert path.startswith(root or spark.conf.get("spark.checkpoint.dir"))
     assert materialize(spark.range(4), "m").count() == 4
+
+
+def test_typed_paths_through_lists(spark):
+    kind = ("struct<uuid:string,permalink:string,a:struct<b:array<struct<c:int,d:array<array<double>>>>>,m:map<string,bigint>,"
+            "one:struct<v:int>,other:struct<v:double>,text:string>")
+    body = '{"uuid":null,"permalink":"p","a":{"b":[{"c":1,"d":[[1.5,2.5],[3.5]]},{"c":null,"d":[]}]},"m":{"k":7},"one":{"v":3},"other":{"v":0.5},"text":"t"}'
+    docs = spark.createDataFrame([(body,)], "s string").select(F.from_json("s", kind).alias("doc"))
+    keys = {"uuid": ["cs.id", "ds.id", "vs.id"], "permalink": ["cs.id", "ds.id", "vs.id"], "absent": ["cs.id"]}
+    mapping = {"a.b.c": "cs.c", "a.b": {"d": "ds.d"}, "m.k": "vs.k", "m.gone": "vs.gone", "one.v": "vs.v", "other": {"v": "vs.v2"}, "a.b.d": "mixed.x", "text": "mixed.x"}
+    out = N.normalize_documents(docs, "doc", mapping, {**keys, "uuid": [*keys["uuid"], "mixed.id"]}, typed=True)
+    assert out["cs"].dtypes == [("id", "string"), ("c", "int")] and [tuple(r) for r in out["cs"].collect()] == [("p", 1)]
+    assert sorted(tuple(r) for r in out["ds"].collect()) == [("p", 1.5), ("p", 2.5), ("p", 3.5)]
+    assert out["vs"].select("k", "gone", "v", "v2").collect()[0] == (7, None, 3, 0.5)
+    assert sorted(r["x"] for r in out["mixed"].collect()) == ["1.5", "2.5", "3.5", "t"]
+    with pytest.raises(ValueError, match="no path 'a.b.z'"):
+        N.normalize_documents(docs, "doc", {"a.b.z": "cs.z"}, keys, strict=True)

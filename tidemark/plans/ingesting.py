@@ -74,6 +74,38 @@ def doc_normalize(t):
         r["owners"].selectExpr("'owners' AS relation", "product_uuid", "brand AS name", f"{empty} AS detail", "is_brand AS flag")])
 
 
+# Orders with their lines as one document; the paths cross the list of lines.
+_ORDER = ("struct<uuid:bigint,properties:struct<status:string,total:double,placed_on:timestamp_ntz>,"
+          "lines:array<struct<number:int,item:struct<part:bigint,price:double,flags:array<string>>>>>")
+_ORDER_MAPPING = {
+    "properties": {"status": "orders.status", "total": ["orders.total", "prices.price"], "placed_on": "orders.placed_on"},
+    "lines.number": "lines.number", "lines.item.part": "lines.part", "lines.item.price": ["lines.price", "prices.price"],
+    "lines.item.flags": "flags.flag",
+}
+_ORDER_KEYS = {"uuid": ["orders.order_id", "lines.order_id", "prices.order_id", "flags.order_id"]}
+
+
+def order_documents(t):
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.expr("""collect_list(named_struct('number', l_linenumber, 'item', named_struct(
+        'part', l_partkey, 'price', l_extendedprice, 'flags', array(l_returnflag, l_linestatus))))""").alias("lines"))
+    text = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("""to_json(named_struct('uuid', o_orderkey,
+        'properties', named_struct('status', o_orderstatus, 'total', o_totalprice, 'placed_on', o_orderdate), 'lines', lines)) AS body""")
+    return text.select(F.from_json("body", _ORDER).alias("doc"))
+
+
+@query("doc_normalize_typed", """
+    WITH o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+    SELECT 'orders' AS relation, o_orderkey AS order_id, o_totalprice AS price, NULL::BIGINT AS part, NULL::INTEGER AS number, o_orderstatus AS status, o_orderdate::TIMESTAMP AS placed_on FROM o
+    UNION ALL SELECT 'lines', l_orderkey, l_extendedprice, l_partkey, l_linenumber, NULL, NULL FROM l
+    UNION ALL SELECT 'prices', o_orderkey, o_totalprice, NULL, NULL, NULL, NULL FROM o
+    UNION ALL SELECT 'prices', l_orderkey, l_extendedprice, NULL, NULL, NULL, NULL FROM l
+    UNION ALL SELECT 'flags', l_orderkey, NULL, NULL, NULL, unnest([l_returnflag, l_linestatus]), NULL FROM l""")
+def doc_normalize_typed(t):
+    r = N.normalize_documents(order_documents(t), "doc", _ORDER_MAPPING, _ORDER_KEYS, typed=True)
+    r |= {"orders": r["orders"].withColumnRenamed("total", "price"), "flags": r["flags"].withColumnRenamed("flag", "status")}
+    return append_evolving([r[name].withColumn("relation", F.lit(name)) for name in ("orders", "lines", "prices", "flags")])
+
+
 @query("props_unpack", "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events")
 def props_unpack(t):
     return N.unpack_properties(t.events, ["event_id"], "props")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
@@ -74,6 +75,52 @@ def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     return per_column.selectExpr("column", "try_divide(between / (k - 1), within / (total - k)) AS f")
 
 
+def chi2_tail(x: float, freedom: int) -> float:
+    """Chance that a chi² number of ``freedom`` degrees exceeds ``x``: the closed form, built up two degrees at a time."""
+    if x <= 0:
+        return 1.0
+    half = x / 2
+    if freedom % 2:
+        tail, term, a = math.erfc(math.sqrt(half)), math.exp(-half) * math.sqrt(half) / math.gamma(1.5), 1.5
+    else:
+        tail, term, a = math.exp(-half), math.exp(-half) * half, 2.0
+    for _ in range((freedom - 1) // 2):
+        tail += term
+        term *= half / a
+        a += 1
+    return min(tail, 1.0)
+
+
+def chi2_scores(df: DataFrame, columns: Sequence[str], label: str) -> list[tuple[str, float | None, float | None]]:
+    """(column, chi², p) of non-negative columns: sums per class against sums in proportion to the classes.
+
+    One aggregate gives the class sums of all columns; classes x columns numbers come back. NULL values and rows with a
+    NULL label are left out; a column without a sum has no score. Negative values raise ValueError.
+    """
+    sums = [F.struct(F.sum(F.col(c).cast("double")).alias("s"), F.min(F.col(c).cast("double")).alias("low"), F.count(c).alias("n")).alias(f"c{i}")
+            for i, c in enumerate(columns)]
+    rows = df.where(F.col(label).isNotNull()).groupBy(label).agg(*sums).collect()
+    out = []
+    for i, c in enumerate(columns):
+        cells = [r[f"c{i}"] for r in rows if r[f"c{i}"]["n"]]
+        if any(x["low"] < 0 for x in cells):
+            raise ValueError(f"chi² needs values of 0 or more: {c}")
+        total, count = sum(x["s"] for x in cells), sum(x["n"] for x in cells)
+        if not total or len(cells) < 2:
+            out.append((c, None, None))
+            continue
+        score = sum((x["s"] - total * x["n"] / count) ** 2 / (total * x["n"] / count) for x in cells)
+        out.append((c, score, chi2_tail(score, len(cells) - 1)))
+    return out
+
+
+def best_columns(scores: Sequence[tuple], top: int | None = None, percentile: float | None = None) -> list[str]:
+    """Names of the ``top`` columns, or of that share of them, by score; ties by place, in the order given. Without a score: never."""
+    known = [(-s[1], i, s[0]) for i, s in enumerate(scores) if s[1] is not None]
+    n = top if top is not None else int(len(scores) * (percentile if percentile is not None else 0.1))
+    return [name for _, _, name in sorted(sorted(known)[:n], key=lambda x: x[1])]
+
+
 def mutual_information(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Mutual information (nats) of binned columns with the classes, from joint counts."""
     joint = melt(df, [label], columns).where(f"value IS NOT NULL AND {label} IS NOT NULL").groupBy("column", "value", label).agg(F.count("*").alias("n"))
@@ -85,8 +132,10 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str) -> Dat
 
 
 def select_best(df: DataFrame, columns: Sequence[str], label: str, top: int | None = None, percentile: float | None = None,
-                categorical: bool = False) -> list[str]:
-    """Names of the best columns by F test (or chi² for categorical columns)."""
+                categorical: bool = False, score: str | None = None) -> list[str]:
+    """Names of the best columns by F test, by a test of independence for categorical columns, or with ``score="chi2"`` by class sums."""
+    if score == "chi2":
+        return best_columns(chi2_scores(df, columns, label), top, percentile)
     selector = UnivariateFeatureSelector(featuresCol="v", labelCol=label, outputCol="o",
                                          selectionMode="numTopFeatures" if top is not None else "percentile")
     selector.setFeatureType("categorical" if categorical else "continuous").setLabelType("categorical")

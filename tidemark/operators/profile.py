@@ -217,6 +217,31 @@ def scree(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray
     return values[order], vectors[:, order]
 
 
+def fit_projection(df: DataFrame, columns: Sequence[str], components: int = 2) -> tuple[list[float], list[list[float]]]:
+    """(means, loadings of each component) of the main axes of complete rows. Only columns x columns sums come back.
+
+    Each axis points to where its largest loading (the first of equal ones) is positive.
+    """
+    d = len(columns)
+    complete = df.where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    cells = [F.covar_pop(f"x{i}", f"x{j}").alias(f"v{i}_{j}") for i in range(d) for j in range(i, d)]
+    row = complete.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)], *cells).head()
+    if row["m0"] is None:
+        raise ValueError("no complete rows to project")
+    cov = np.array([[row[f"v{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], dtype=float)
+    values, vectors = np.linalg.eigh(cov)
+    axes = vectors[:, np.argsort(-values, kind="stable")[:components]].T
+    axes = [a * (1 if a[np.argmax(np.round(np.abs(a), 12))] >= 0 else -1) for a in axes]
+    return [row[f"m{i}"] for i in range(d)], [a.tolist() for a in axes]
+
+
+def project(df: DataFrame, columns: Sequence[str], keep: Sequence[str], components: int = 2, fitted=None) -> DataFrame:
+    """``keep`` columns (key, label) and pc1, pc2 … of each row, as column expressions; NULL where a column is NULL."""
+    means, axes = fitted if fitted is not None else fit_projection(df, columns, components)
+    sums = [" + ".join(f"{w!r}D * (CAST({c} AS DOUBLE) - {m!r}D)" for c, w, m in zip(columns, axis, means)) for axis in axes]
+    return df.selectExpr(*keep, *[f"{s} AS pc{i + 1}" for i, s in enumerate(sums)])
+
+
 def transform_comparison(df: DataFrame, column: str) -> DataFrame:
     """Skewness and kurtosis of a non-negative column as it is, by log1p and by root; with and without zeros."""
     forms = {"None": column, "Log1P": f"log1p({column})", "SQRT": f"sqrt({column})"}

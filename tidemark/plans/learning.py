@@ -69,6 +69,24 @@ def anova_f(t):
     return R.anova_f(t.lineitem, _LINE, "l_returnflag").withColumn("f", F.round("f", 3))
 
 
+_CHI = {"quantity": "l_quantity", "price": "l_extendedprice / 1000", "discount": "l_discount * 100", "tax": "l_tax * 100",
+        "line": "CAST(l_linenumber AS DOUBLE)", "late": "CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END"}
+
+
+@query("chi2_select", f"WITH x AS (SELECT l_returnflag AS y, {', '.join(f'{e} AS {c}' for c, e in _CHI.items())} FROM lineitem), l AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col, y, count({c}) AS n, sum({c}) AS s FROM x GROUP BY y" for c in _CHI) + """),
+    e AS (SELECT col, s, sum(s) OVER (PARTITION BY col) * n / sum(n) OVER (PARTITION BY col) AS e FROM l),
+    c AS (SELECT col, sum((s - e) * (s - e) / e) AS chi2, count(*) - 1 AS freedom FROM e GROUP BY col)
+    SELECT col AS "column", round(chi2, 6) AS chi2, CAST(freedom AS BIGINT) AS freedom, round(exp(-chi2 / 2), 9) AS p, row_number() OVER (ORDER BY chi2 DESC) <= 3 AS selected FROM c""")
+def chi2_select(t):
+    """Three classes, so two degrees of freedom."""
+    rows = t.lineitem.selectExpr("l_returnflag", *[f"{e} AS {c}" for c, e in _CHI.items()])
+    scores = R.chi2_scores(rows, list(_CHI), "l_returnflag")
+    best = R.best_columns(scores, top=3)
+    return t.spark.createDataFrame([(c, x, 2, p, c in best) for c, x, p in scores], "column string, chi2 double, freedom long, p double, selected boolean").selectExpr(
+        "column", "round(chi2, 6) AS chi2", "freedom", "round(p, 9) AS p", "selected")
+
+
 @query("mutual_information", "WITH x AS (SELECT l_returnflag AS y, CAST(floor(l_quantity / 10) AS DOUBLE) AS quantity, CAST(l_linenumber AS DOUBLE) AS line FROM lineitem), " + ", ".join(
     f"""j_{c} AS (SELECT {c} AS v, y, count(*) AS n FROM x GROUP BY 1, 2),
     m_{c} AS (SELECT n, sum(n) OVER (PARTITION BY v) AS nv, sum(n) OVER (PARTITION BY y) AS nc, sum(n) OVER () AS t FROM j_{c})""" for c in ("quantity", "line"))

@@ -229,6 +229,20 @@ def pca_loadings(t):
     return long.groupBy("factor", "component").agg(F.sum("loading").alias("loading"))
 
 
+@query("project_2d", """
+    WITH x AS (SELECT c_custkey, c_mktsegment, c_acctbal / 1000 AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer),
+    m AS (SELECT avg(a) AS ma, avg(b) AS mb, 0.5 * atan2(2 * covar_pop(a, b), var_pop(a) - var_pop(b)) AS t FROM x),
+    s AS (SELECT ma, mb, cos(t) * CASE WHEN (CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN cos(t) ELSE sin(t) END) < 0 THEN -1 ELSE 1 END AS u1,
+                 sin(t) * CASE WHEN (CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN cos(t) ELSE sin(t) END) < 0 THEN -1 ELSE 1 END AS u2,
+                 -sin(t) * CASE WHEN (CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN -sin(t) ELSE cos(t) END) < 0 THEN -1 ELSE 1 END AS v1,
+                 cos(t) * CASE WHEN (CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN -sin(t) ELSE cos(t) END) < 0 THEN -1 ELSE 1 END AS v2 FROM m)
+    SELECT c_custkey, c_mktsegment AS label, round(u1 * (a - ma) + u2 * (b - mb), 5) AS pc1, round(v1 * (a - ma) + v2 * (b - mb), 5) AS pc2 FROM x, s""")
+def project_2d(t):
+    """The two main axes of two columns, each row with its label."""
+    rows = t.customer.selectExpr("c_custkey", "c_mktsegment AS label", "c_acctbal / 1000 AS a", "c_nationkey AS b")
+    return P.project(rows, ["a", "b"], ["c_custkey", "label"]).selectExpr("c_custkey", "label", "round(pc1, 5) AS pc1", "round(pc2, 5) AS pc2")
+
+
 @query("score_trend_r2", with_views("fits", """
     SELECT classifier, round(power(corr(epoch(CAST(feature_date AS TIMESTAMP)), prc), 2), 6) AS r2, count(*) AS n FROM fits GROUP BY 1"""))
 def score_trend_r2(t):

@@ -7,19 +7,19 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, Imputer, MinMaxScaler, RobustScaler, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.learning.balance import BalancedNet
 from tidemark.learning.neighbours import nearest_neighbours, vote
 from tidemark.learning.stability import stability_frequencies
 from tidemark.operators.metrics import class_weights, fold_column
 
 ALGORITHMS = ("NB", "RF", "LR", "KNN", "DT", "SVM", "ANN")
-HIDDEN_UNITS = 100
 
 
 def add_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -131,7 +131,7 @@ def estimator(algorithm: str, params: Mapping, features: int, rows: int, key: st
     if algorithm == "SVM":
         return CalibratedSVM(p, key)
     if algorithm == "ANN":
-        return MultilayerPerceptronClassifier(layers=[features, HIDDEN_UNITS, 2], maxIter=p.get("max_iter", 30), seed=p.get("seed", 0))
+        return BalancedNet(p, key, features)
     if algorithm == "KNN":
         return NeighbourVote(p, key)
     raise ValueError(f"unknown algorithm {algorithm!r}; known are {ALGORITHMS}")

@@ -28,7 +28,7 @@ CLASSIFIER_SPACE = {
     "KNN": {"n_neighbors": (5, 20), "weights": ["uniform", "distance"]},
     "DT": {"max_depth": (5, 20), "criterion": ["gini", "entropy"]},
     "SVM": {"C": [10.0 ** (i - 5) for i in range(6)]},
-    "ANN": {},
+    "ANN": {"hidden": [25, 50, 100, 200], "tol": [10 ** (-5 + 0.4 * i) for i in range(6)], "seed": (0, 1000)},
 }
 LOG_SCHEMA = ("candidate string, algorithm string, params string, fold int, f1 double, mcc double, kappa double, prc double, roc double, "
               "prc_score double, roc_score double, seconds double, rows bigint, context map<string,string>")
@@ -129,23 +129,28 @@ def select_finalist(create_log: DataFrame, datasets: Sequence[DataFrame], featur
 def experiment_matrix(
     train: DataFrame, test: DataFrame, features, winner: Mapping, label_of: Callable[[str], object], label_types: Sequence[str],
     stages: Sequence[str | None], fractions: Sequence[float], key: str = "keys_company_id", context=None, parallelism: int = 4,
+    unfitted: bool = False,
 ) -> DataFrame:
     """Fit the winner for every label type, stage and training fraction; score it on training and test rows.
 
-    The extractor is left out, so that weights belong to features. Cells without both classes are skipped.
+    The extractor is left out, so that weights belong to features. A cell without both classes in training, or without
+    rows to score, is not fitted; ``unfitted`` keeps its rows all the same, with the number of rows and no scores.
     """
     def cell(args) -> list[dict]:
         kind, stage, fraction = args
         part, held = (
             (df if stage is None else df.where(F.col("keys_company_stage") == stage)).withColumn("label", label_of(kind)) for df in (train, test))
         part = fraction_rows(part, f"pmod(xxhash64({key}), 1000)", [fraction]).drop("fraction")
+        shared = {"candidate": candidate_id(**winner), "algorithm": winner["algorithm"], "params": json.dumps(winner["params"], sort_keys=True)}
+
+        def row(name: str) -> dict:
+            return shared | {"context": {"label_type": kind, "stage": stage or "All", "fraction": str(fraction), "dataset": name, **(context or {})}}
+
+        sides = (("train", part), ("test", held))
         if part.select("label").distinct().count() < 2 or held.isEmpty():
-            return []
+            return [row(name) | {"rows": frame.count()} for name, frame in sides] if unfitted else []
         model = fit(part, features, winner["algorithm"], winner["params"], winner["prep"], key, extractor=False)
-        shared = {"candidate": candidate_id(**winner), "algorithm": winner["algorithm"], "params": json.dumps(winner["params"], sort_keys=True)}
-        return [
-            shared | {"context": {"label_type": kind, "stage": stage or "All", "fraction": str(fraction), "dataset": name, **(context or {})}}
-            | evaluate(model.predict(frame)) for name, frame in (("train", part), ("test", held))]
+        return [row(name) | evaluate(model.predict(frame)) for name, frame in sides]
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = [r for batch in pool.map(cell, itertools.product(label_types, stages, fractions)) for r in batch]

@@ -167,7 +167,7 @@ def clf_svm(t):
 
 @query("clf_mlp")
 def clf_mlp(t):
-    return predictions(t, "ANN", {"max_iter": 20})
+    return predictions(t, "ANN")
 
 
 @query("gmm_split")
@@ -205,7 +205,7 @@ def select_finalist(t):
 def experiment_matrix(t):
     train, test = halves(learning_rows(t))
     winner = {"algorithm": "LR", "params": {"C": 0.1, "max_iter": 20}, "prep": {"imputer": "median", "transform": "sqrt", "scaler": "standard"}}
-    log = H.experiment_matrix(train, test, FEATURES, winner, L.label, ["Extra_Stage", "Extra_Round"], [None, "Series A"], [0.316, 1.0])
+    log = H.experiment_matrix(train, test, FEATURES, winner, L.label, ["Extra_Stage", "Extra_Round"], [None, *L.INCLUDED_STAGES], [0.316, 1.0], unfitted=True)
     return log.selectExpr("context['label_type'] AS label_type", "context['stage'] AS stage", "context['fraction'] AS fraction",
                           "context['dataset'] AS dataset", "rows", "f1", "mcc", "prc", "roc")
 

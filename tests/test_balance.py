@@ -49,3 +49,10 @@ def test_cells_of_one_class_are_reported(spark):
     got = {(r["context"]["stage"], r["context"]["dataset"]): (r["rows"], r["f1"]) for r in log.collect()}
     assert len(got) == 4 and got["Seed", "train"] == (rows.where("keys_company_stage = 'Seed'").count(), None)
     assert got["Series A", "test"][1] is not None
+
+
+def test_feature_without_values_counts_as_zero(spark):
+    rows = made(spark).selectExpr("*", "CAST(NULL AS DOUBLE) AS gone")
+    fitted = C.fit(rows, ["a", "gone"], "LR", {}, {"imputer": "median", "scaler": "standard"})
+    assert abs(dict(C.feature_weights(fitted, ["a", "gone"]))["gone"]) < 1e-9
+    assert fitted.predict(rows.withColumn("gone", rows["a"])).count() == 600

@@ -28,10 +28,18 @@ def add_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def preprocessing(features: Sequence[str], imputer: str = "median", transform: str | None = None, scaler: str | None = "standard",
-                  components: int | None = None) -> list:
-    """Imputer, absolute value and transform, scaler and (without it, for readable weights) extractor."""
+                  components: int | None = None, empty: Sequence[str] = ()) -> list:
+    """Imputer, absolute value and transform, scaler and (without it, for readable weights) extractor.
+
+    ``empty`` features have no value in the rows that are fitted; they count as 0 everywhere.
+    """
     filled = [f"{f}__i" for f in features]
-    stages: list = [Imputer(strategy=imputer, inputCols=list(features), outputCols=filled)]
+    known = [f for f in features if f not in empty]
+    stages: list = []
+    if known:
+        stages.append(Imputer(strategy=imputer, inputCols=known, outputCols=[f"{f}__i" for f in known]))
+    if empty:
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(f"0D AS {f}__i" for f in empty) + " FROM __THIS__"))
     wrap = {None: "abs({})", "log1p": "log1p(abs({}))", "sqrt": "sqrt(abs({}))"}[transform]
     stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(f"{wrap.format(c)} AS {c}t" for c in filled) + " FROM __THIS__"))
     last = "assembled"
@@ -144,10 +152,12 @@ def fit(df: DataFrame, features: Sequence[str], algorithm: str, params: Mapping
     if not extractor:
         options.pop("components", None)
     weighted = add_weights(df)
-    ready_model = Pipeline(stages=preprocessing(features, **options)).fit(weighted)
+    present = df.agg(F.count("*").alias("__rows"), *[F.count(f).alias(f) for f in features]).head()
+    empty = [f for f in features if not present[f]]
+    ready_model = Pipeline(stages=preprocessing(features, **options, empty=empty)).fit(weighted)
     ready = ready_model.transform(weighted)
     width = min(options.get("components") or len(features), len(features))
-    model = estimator(algorithm, params or {}, width, df.count(), key).fit(ready)
+    model = estimator(algorithm, params or {}, width, present["__rows"], key).fit(ready)
     return Fitted(ready_model, model)
 
 

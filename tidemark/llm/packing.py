@@ -13,6 +13,8 @@ itself.
 from __future__ import annotations
 
 import heapq
+import itertools
+import json
 import zlib
 
 import numpy as np
@@ -21,30 +23,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import written
+from tidemark.llm.words import Hasher, Words, chunks, text_buffers
 
 END = 2
-MEMORY = 400_000   # words whose ids a task remembers
+MEMORY = 1 << 21   # words whose ids a task remembers
 SALT_ROWS = 50_000  # pieces of one length that one task ranks
 
 
 class WordIds:
-    """Token ids of words. Remembers a bounded number of words."""
+    """Token ids of words, in one flat array. Remembers a bounded number of words by their hashes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def __call__(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        # One thread: the other cores have tasks of their own.
-        for w in fresh:
-            self.known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
-        known = self.known
-        return [known[w] for w in words]
+        # Words that differ in case only have the same ids if the tokenizer lower-cases what it reads.
+        self.lower = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and each word's number
+        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)   # ids of word i: first[i], first[i + 1]
+
+    def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after the other; number of ids of each word)."""
+        hashes, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        if len(self.hash) + len(hashes) > MEMORY:
+            self.clear()
+        spot = np.searchsorted(self.hash, hashes)
+        fresh = np.ones(len(hashes), bool)
+        inside = spot < len(self.hash)
+        fresh[inside] = self.hash[spot[inside]] != hashes[inside]
+        if fresh.any():
+            # One thread: the other cores have tasks of their own.
+            data = words.bytes.tobytes()
+            texts = [data[i:j].decode("utf-8", "replace") for i, j in zip(words.start[at[fresh]].tolist(), words.end[at[fresh]].tolist())]
+            found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            sizes = np.array([len(x) for x in found], np.int64)
+            number = len(self.first) - 1 + np.arange(len(found))
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self.place = np.insert(self.place, spot[fresh], number)
+            self.hash = np.insert(self.hash, spot[fresh], hashes[fresh])
+        word = self.place[np.searchsorted(self.hash, hashes)][inverse]
+        size = self.first[word + 1] - self.first[word]
+        end = np.cumsum(size)
+        return self.ids[np.repeat(self.first[word] - (end - size), size) + np.arange(int(size.sum()))], size
 
 
 def pack_histogram(counts: dict[int, int], limit: int) -> list[tuple[int, list[int]]]:
@@ -77,16 +101,19 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def cut(batches):
-        ids_of = WordIds(tokenizer)
+        ids_of, hasher = WordIds(tokenizer), Hasher()
         for batch in batches:
-            rows = []
-            for i, t in enumerate(batch.column(1)):
-                words = (t.as_py() or "").encode().split()
-                ids = np.concatenate([*ids_of(words), np.array([END], np.uint32)])
-                for start in range(0, len(ids), limit):
-                    part = ids[start: start + limit]
-                    rows.append((i, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(ids)))
-            if rows:
+            data, offsets = text_buffers(batch.column(1))
+            for begin, end in chunks(offsets):
+                words = Words(hasher, data, offsets, begin, end, ids_of.lower)
+                ids, size = ids_of(words)
+                bounds = np.concatenate([[0], np.cumsum(size)])[words.first]
+                rows = []
+                for i in range(end - begin):
+                    mine = np.append(ids[bounds[i]: bounds[i + 1]], np.uint32(END)).astype("<u4")
+                    for start in range(0, len(mine), limit):
+                        part = mine[start: start + limit]
+                        rows.append((begin + i, start, len(part), zlib.crc32(part.tobytes()), len(mine)))
                 at, start, length, crc, total = (pa.array(x, pa.int64()) for x in zip(*rows))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), start, length, crc, total], ["key", "start", "length", "ids_crc32", "doc_tokens"])
 

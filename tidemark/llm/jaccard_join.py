@@ -133,16 +133,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     def describe(batches):
         hasher = Hasher()
         for batch in batches:
-            ids = batch.column(0)
-            size, one, two = [], [], []
-            for _, _, hashes, first in sets_of(hasher, batch.column(1), k):
-                size.append(np.diff(first))
-                one.append(sums_at(mix(hashes + np.uint64(11)), first))
-                two.append(sums_at(mix(hashes ^ np.uint64(0xABCDEF0123)), first))
-            if size:
+            for begin, end, hashes, first in sets_of(hasher, batch.column(1), k):
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(one).view(np.int64)),
-                     pa.array(np.concatenate(two).view(np.int64))], ["id", "n", "one", "two"])
+                    [batch.column(0).slice(begin, end - begin), pa.array(np.diff(first), pa.int64()),
+                     pa.array(sums_at(mix(hashes + np.uint64(11)), first).view(np.int64)),
+                     pa.array(sums_at(mix(hashes ^ np.uint64(0xABCDEF0123)), first).view(np.int64))], ["id", "n", "one", "two"])
 
     info = written(plain.mapInArrow(describe, "id long, n long, one long, two long"), "sets")
     # Equal sets are one node, named by its smallest key.
@@ -158,37 +153,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         for batch in batches:
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy()
-            sigs, owners, signed, spares, seen = [], [], [], [], set()
+            seen = set()
             for begin, _, hashes, first in sets_of(hasher, batch.column(1), k):
-                # Copies within a batch are signed once.
+                # Copies within a batch are signed once. A chunk's signatures go on before the next one is hashed.
                 marks = sums_at(mix(hashes + np.uint64(11)), first)
                 keep = np.zeros(len(marks), bool)
                 for i, m in enumerate(marks.tolist()):
                     if first[i + 1] > first[i] and not null[begin + i] and m not in seen:
                         seen.add(m)
                         keep[i] = True
+                if not keep.any():
+                    continue
                 size = np.where(keep, np.diff(first), 0)
                 hashes = hashes[np.repeat(keep, np.diff(first))]
                 sig, owner, own, above = signatures(hashes, np.concatenate([[0], np.cumsum(size)]), ratio)
-                sigs.append(sig)
-                owners.append(ids[begin + owner])
-                signed.append(ids[begin + np.flatnonzero(keep)])
-                spares.append(np.where(above < 0, own, np.minimum(own, above))[keep])
-            if not sigs:
-                continue
-            sig, owner = np.concatenate(sigs), np.concatenate(owners)
-            bucket = ((sig >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            sig, owner, bucket = sig[order], owner[order], bucket[order]
-            at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = [*at[1:], len(sig)]
-            # Besides the signatures of each bucket, one row has the spare numbers of the batch's sets.
-            signed = np.concatenate(signed)
-            home = int(mix(signed[:1].astype(np.uint64))[0] % np.uint64(buckets)) if len(signed) else 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*bucket[at], home], pa.int64()), pa.array([*(pack(sig[i:j]) for i, j in zip(at, ends)), None], pa.binary()),
-                 pa.array([*(pack(owner[i:j]) for i, j in zip(at, ends)), pack(signed)], pa.binary()),
-                 pa.array([*[None] * len(at), pack(np.concatenate(spares))], pa.binary())], ["bucket", "sig", "owner", "spare"])
+                owner = ids[begin + owner]
+                signed = ids[begin + np.flatnonzero(keep)]
+                spare = np.where(above < 0, own, np.minimum(own, above))[keep]
+                bucket = ((sig >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                sig, owner, bucket = sig[order], owner[order], bucket[order]
+                at = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = [*at[1:], len(sig)]
+                # Besides the signatures of each bucket, one row has the spare numbers of the chunk's sets.
+                home = int(mix(signed[:1].astype(np.uint64))[0] % np.uint64(buckets))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*bucket[at], home], pa.int64()), pa.array([*(pack(sig[i:j]) for i, j in zip(at, ends)), None], pa.binary()),
+                     pa.array([*(pack(owner[i:j]) for i, j in zip(at, ends)), pack(signed)], pa.binary()),
+                     pa.array([*[None] * len(at), pack(spare)], pa.binary())], ["bucket", "sig", "owner", "spare"])
 
     def meet(table: pa.Table) -> pa.Table:
         told = table.filter(table["sig"].is_null())
@@ -245,15 +237,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     def gather(batches):
         hasher = Hasher()
         for batch in batches:
-            items, cells, size = [], [], []
-            for _, _, hashes, first in sets_of(hasher, batch.column(1), k):
-                items += [pack(hashes[i:j]) for i, j in zip(first[:-1], first[1:])]
-                cells += [pack(histogram(hashes[i:j])) for i, j in zip(first[:-1], first[1:])]
-                size.append(np.diff(first))
-            if items:
+            for begin, end, hashes, first in sets_of(hasher, batch.column(1), k):
+                parts = [hashes[i:j] for i, j in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(items, pa.binary()), pa.array(cells, pa.binary()), pa.array(np.concatenate(size), pa.int64())],
-                    ["id", "items", "cells", "size"])
+                    [batch.column(0).slice(begin, end - begin), pa.array(map(pack, parts), pa.binary()),
+                     pa.array([pack(histogram(x)) for x in parts], pa.binary()), pa.array(np.diff(first), pa.int64())], ["id", "items", "cells", "size"])
 
     sets = written(plain.join(sized(wanted, 16), "id", "left_semi").mapInArrow(
         gather, "id long, items binary, cells binary, size long").dropDuplicates(["id"]), "items")

@@ -56,3 +56,40 @@ def test_split(spark):
     rows, features = L.split_features(df, stage="Seed")
     assert features == ["confidence_context_age_number"] and rows.head()["label"] == 1
     assert L.split_features(df, stage="Series A")[0].count() == 0
+
+
+def sliced(spark, rows):
+    """rows: (slice, id, age, raised)."""
+    f = L.FEATURE_COLUMNS
+    schema = (f"slice int, keys_company_id int, {f.age_days} int, {f.raised} double, " + ", ".join(f"{f.code_prefix}{c} int" for c in CODES)
+              + f", {f.closed} int, {f.acquired} int, {f.ipo} int")
+    return spark.createDataFrame([(s, i, age, raised, *[None] * 8, 0, 0, 0) for s, i, age, raised in rows], schema)
+
+
+def test_later_slices_take_the_cutoffs_of_their_training_slice(spark):
+    train = sliced(spark, [(1, i, 100 * i, 1.0) for i in range(1, 5)] + [(2, i, 1000 * i, 1.0) for i in range(1, 5)])
+    cut = L.fit_cutoffs(train, [L.FEATURE_COLUMNS], ["slice"])  # 325 and 3250 days
+    test = sliced(spark, [(11, 1, 300, None), (11, 2, 400, None), (12, 3, 400, None), (12, 4, 4000, None), (13, 5, 1, None), (11, 6, 1, 1.0), (None, 7, 1, None)])
+    got = L.add_stages(test, [L.FEATURE_COLUMNS], ["slice"], cut, at=["slice - 10"])
+    # Slice 3 was not fitted and a NULL slice is none: without cut-offs no age is young.
+    assert {r["keys_company_id"]: r["keys_company_stage"] for r in got.collect()} == {
+        1: "Pre-Seed", 2: "Other", 3: "Pre-Seed", 4: "Other", 5: "Other", 6: "Seed", 7: "Other"}
+    assert "__cut" not in got.columns
+    with pytest.raises(ValueError):
+        L.attach_cutoffs(test, cut, ["slice"], ["slice", "slice"])
+
+
+def test_cutoffs_of_no_rows(spark):
+    none = sliced(spark, [])
+    test = sliced(spark, [(1, 1, 300, None)])
+    assert L.add_stages(test, [L.FEATURE_COLUMNS], ["slice"], L.fit_cutoffs(none, [L.FEATURE_COLUMNS], ["slice"])).head()["keys_company_stage"] == "Other"
+    assert L.add_stages(none, [L.FEATURE_COLUMNS], ["slice"]).count() == 0
+
+
+def test_rows_are_not_shuffled_on_slices(spark):
+    """The only exchanges carry cut-offs; both stay as small as the number of slices."""
+    test = sliced(spark, [(1, 1, 300, None), (2, 2, 5, 1.0)]).repartition(3)
+    staged = L.add_stages(test, [L.FEATURE_COLUMNS], ["slice"], L.fit_cutoffs(sliced(spark, [(1, 1, 9, 1.0)]), [L.FEATURE_COLUMNS], ["slice"]))
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    rows, fitted = plan.split("Subquery", 1)
+    assert "hashpartitioning(slice" not in rows and "Join" not in plan

@@ -94,12 +94,22 @@ def fit_cutoffs(
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def attach_cutoffs(df: DataFrame, cutoffs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Cut-offs beside every row: a scalar subquery, or an equi-join on the few slice keys ``by``."""
-    if by:
-        packed = ", ".join(c for c in cutoffs.columns if c not in by)
-        return df.join(cutoffs.selectExpr(*by, f"struct({packed}) AS __cut"), list(by), "left")
-    return df.withColumn("__cut", cutoffs.select(F.struct("*").alias("s")).scalar())
+def attach_cutoffs(df: DataFrame, cutoffs: DataFrame, by: Sequence[str] = (), at: Sequence[str] | None = None) -> DataFrame:
+    """Cut-offs beside every row, as the struct ``__cut``, from one scalar subquery: rows are not shuffled for it.
+
+    With ``by`` the cut-offs of all slices become one map (as many entries as slices) that each row looks up. ``at``
+    are the look-up keys as SQL over ``df``, the columns ``by`` if not given; later slices name there the slice that
+    their cut-offs were fitted on. A slice without fitted cut-offs has NULL ones. Keys of ``cutoffs`` must be unique.
+    """
+    names = [c for c in cutoffs.columns if c not in by]
+    if not by:
+        return df.withColumn("__cut", cutoffs.select(F.struct(*names).alias("s")).scalar())
+    if at is not None and len(at) != len(by):
+        raise ValueError(f"{len(by)} look-up keys are needed, {len(at)} given")
+    entries = cutoffs.select(F.struct(F.struct(*by).alias("k"), F.struct(*names).alias("v")).alias("e"))
+    fitted = entries.agg(F.map_from_entries(F.collect_list("e")).alias("m")).scalar()
+    keys = F.struct(*[F.expr(x).alias(name) for x, name in zip(at or by, by)])
+    return df.withColumn("__cut", F.try_element_at(fitted, keys))
 
 
 def name_stages(df: DataFrame, cols: StageColumns) -> DataFrame:
@@ -123,11 +133,12 @@ def add_stages(
     by: Sequence[str] = (),
     cutoffs: DataFrame | None = None,
     keep_cutoffs: bool = False,
+    at: Sequence[str] | None = None,
     **quantiles: float,
 ) -> DataFrame:
-    """Stage columns for each side. Pass fitted ``cutoffs`` to stage a test set by a training set."""
+    """Stage columns for each side. Pass fitted ``cutoffs`` to stage a test set by a training set (``at``: see ``attach_cutoffs``)."""
     fitted = fit_cutoffs(df, sides, by, **quantiles) if cutoffs is None else cutoffs
-    out = attach_cutoffs(df, fitted, by)
+    out = attach_cutoffs(df, fitted, by, at)
     for cols in sides:
         out = name_stages(out, cols)
     return out if keep_cutoffs else out.drop("__cut")

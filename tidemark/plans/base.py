@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,18 +86,38 @@ def merged_frame(t: Tables, pairs: Sequence[tuple[date, date]] = ONE_PAIR, detai
     )
 
 
-def staged_frame(t: Tables, pairs=ONE_PAIR, detail: bool = False, **options) -> DataFrame:
-    """Merged rows with stages; cut-offs are taken per (feature date, label date)."""
-    by = () if len(pairs) == 1 else ("feature_date", "label_date")
+SLICE = ("feature_date", "label_date")
+
+
+def cutoffs_of(t: Tables, pairs=ONE_PAIR, sides=(L.FEATURE_COLUMNS, L.OUTCOME_COLUMNS), **quantiles: float) -> DataFrame:
+    """Cut-offs of each (feature date, label date). They need the rounds only, so the other relations are not read."""
+    return L.fit_cutoffs(merged_frame(t, pairs), sides, SLICE, **quantiles)
+
+
+def later_pairs(pairs, days: int):
+    """The same windows, ``days`` later: what a model of ``pairs`` is tried on."""
+    return tuple((f + timedelta(days=days), l + timedelta(days=days)) for f, l in pairs)
+
+
+def staged_frame(t: Tables, pairs=ONE_PAIR, detail: bool = False, fitted_on=None, **options) -> DataFrame:
+    """Merged rows with stages; cut-offs are taken per (feature date, label date).
+
+    ``fitted_on``: the training slice of each pair, in the order of ``pairs``, whose cut-offs its rows get.
+    """
     sides = options.pop("sides", (L.FEATURE_COLUMNS, L.OUTCOME_COLUMNS))
-    # The cut-offs need the rounds only: fitted on a narrow frame, they do not read the other relations.
-    cutoffs = L.fit_cutoffs(merged_frame(t, pairs), sides, by)
-    return L.add_stages(merged_frame(t, pairs, detail), sides, by, cutoffs, **options)
+    rows = merged_frame(t, pairs, detail)
+    if fitted_on is None:
+        return L.add_stages(rows, sides, SLICE, cutoffs_of(t, pairs, sides), **options)
+    if len(fitted_on) != len(pairs):
+        raise ValueError(f"{len(pairs)} slices, but {len(fitted_on)} training slices")
+    now = lambda f, l: f"feature_date = DATE'{f}' AND label_date = DATE'{l}'"
+    at = ["CASE " + " ".join(f"WHEN {now(*p)} THEN DATE'{q[i]}'" for p, q in zip(pairs, fitted_on)) + " END" for i in range(2)]
+    return L.add_stages(rows, sides, SLICE, cutoffs_of(t, tuple(dict.fromkeys(fitted_on)), sides), at=at, **options)
 
 
-def forecast_frame(t: Tables, pairs=ONE_PAIR, detail: bool = False) -> DataFrame:
+def forecast_frame(t: Tables, pairs=ONE_PAIR, detail: bool = False, fitted_on=None) -> DataFrame:
     """Staged rows that pass the screen."""
-    return L.apply_constraints(staged_frame(t, pairs, detail, keep_cutoffs=True))
+    return L.apply_constraints(staged_frame(t, pairs, detail, fitted_on, keep_cutoffs=True))
 
 
 # ---- the same as SQL -------------------------------------------------------------------------
@@ -132,7 +152,8 @@ def _group_sql(x: str) -> str:
     return f"CASE WHEN {x} IN ({names}) THEN 'Included' ELSE 'Excluded' END"
 
 
-def _define(prefix: str, pairs, detail: bool) -> None:
+def _define(prefix: str, pairs, detail: bool, fitted: tuple[str, int] | None = None) -> None:
+    """``fitted``: prefix of the training slices and how many days earlier they are."""
     needs = ("orgs", "rounds") + (("patents", "jobs") if detail else ())
     v = lambda n: f"{prefix}{n}"
     define_view(v("pairs"), _pairs_sql(pairs))
@@ -166,7 +187,9 @@ def _define(prefix: str, pairs, detail: bool) -> None:
             quantile_cont(f_age, 0.75) FILTER (WHERE f_fund = 'Seed') AS f_seed,
             quantile_cont(l_age, 0.75) FILTER (WHERE l_fund = 'Seed') AS l_seed,
             quantile_cont(f_age, 0.75) FILTER (WHERE {_exit_sql('f_', 'f_fund')} = 'Series D+') AS old_age
-        FROM {v('pre')} GROUP BY 1, 2""", (v("pre"),))
+        FROM {v('pre')} GROUP BY 1, 2""" if fitted is None else f"""SELECT CAST(feature_date + INTERVAL {fitted[1]} DAYS AS DATE) AS feature_date,
+            CAST(label_date + INTERVAL {fitted[1]} DAYS AS DATE) AS label_date, f_seed, l_seed, old_age FROM {fitted[0]}cut""",
+        (v("pre") if fitted is None else f"{fitted[0]}cut",))
     define_view(v("named"), f"""SELECT p.*, old_age,
             coalesce(f_fund, CASE WHEN f_age <= f_seed THEN 'Pre-Seed' ELSE 'Other' END) AS keys_company_stage_pre,
             coalesce(l_fund, CASE WHEN l_age <= l_seed THEN 'Pre-Seed' ELSE 'Other' END) AS outcome_stage_pre
@@ -201,6 +224,10 @@ def _define(prefix: str, pairs, detail: bool) -> None:
 _define("one_", ONE_PAIR, False)
 _define("full_", ONE_PAIR, True)
 _define("grid_", YEAR_PAIRS, False)
+# ``later_…``: the grid's windows half a year later, staged by the cut-offs of the grid.
+LATER_DAYS = 182
+LATER_PAIRS = later_pairs(YEAR_PAIRS, LATER_DAYS)
+_define("later_", LATER_PAIRS, False, ("grid_", LATER_DAYS))
 
 EXTRA_STAGE_SQL = "CASE WHEN outcome_stage_number - keys_company_stage_number > 0 THEN 1 ELSE 0 END"
 EXTRA_ROUND_SQL = "CASE WHEN outcome_stage_pre_number - keys_company_stage_number > 0 THEN 1 ELSE 0 END"

@@ -110,3 +110,12 @@ def consistency_filter(t):
     return L.consistent(B.merged_frame(t)).select(
         "keys_company_id", F.col(B.ROUNDS).alias("rounds_before"),
         F.col("outcome_funding_rounds_number").alias("rounds_after"), F.col("outcome_exit_bool").alias("exit"))
+
+
+@query("staged_by_training", with_views("later_staged", f"""
+    SELECT feature_date, label_date, keys_company_id, keys_company_stage, outcome_stage, old_age, {B.EXTRA_STAGE_SQL} AS label FROM later_staged"""))
+def staged_by_training(t):
+    """Test slices half a year after the training grid, in the stages that the training slices' cut-offs give."""
+    rows = B.staged_frame(t, B.LATER_PAIRS, fitted_on=B.YEAR_PAIRS, keep_cutoffs=True)
+    return rows.select("feature_date", "label_date", "keys_company_id", "keys_company_stage", "outcome_stage",
+                       F.col("__cut.old_age").alias("old_age"), L.label().alias("label"))

@@ -116,9 +116,9 @@ def knn_vote(t):
 FEATURES = [B.AGE, B.ROUNDS, B.RAISED, B.PATENTS, B.STAFF, *[f"{B.CODE}{c}" for c in B.ROUND_CODES], *[f"{B.SEGMENT}{s}" for s in B.SEGMENTS]]
 
 
-def learning_rows(t, pairs=B.ONE_PAIR):
-    """The forecast dataset with its label, written once: every fit reads it again."""
-    df = B.forecast_frame(t, pairs, detail=True)
+def learning_rows(t, pairs=B.ONE_PAIR, fitted_on=None):
+    """The forecast dataset with its label, written once: every fit reads it again. Later slices are staged by those they are ``fitted_on``."""
+    df = B.forecast_frame(t, pairs, detail=True, fitted_on=fitted_on)
     keep = [c for c in df.columns if c.startswith(("keys", "outcome")) and c not in FEATURES]
     rows = df.selectExpr(*keep, *[f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES])
     return materialize(rows.withColumn("label", L.label()), "learning")
@@ -193,11 +193,11 @@ def feature_weights(t):
 
 @query("select_finalist")
 def select_finalist(t):
-    """Candidates ranked on one slice, the finalists scored again on a later one."""
+    """Candidates ranked on one slice, the finalists scored again on a later one, which is staged by the first."""
     later = ((date(1997, 6, 1), date(1997, 6, 1) + timedelta(days=728)),)
     prep = {"imputer": "median", "transform": "log1p", "scaler": "standard"}
     log = H.search(learning_rows(t), FEATURES, [("LR", {"C": c, "max_iter": 20}, prep) for c in (0.01, 1.0)] + [("NB", {}, prep)], folds=2)
-    best, scored = H.select_finalist(log, [learning_rows(t, later)], FEATURES, "f1", top_n=2, folds=2)
+    best, scored = H.select_finalist(log, [learning_rows(t, later, B.ONE_PAIR)], FEATURES, "f1", top_n=2, folds=2)
     return scored.withColumn("is_best", F.col("candidate") == H.candidate_id(**best)).drop("context", "seconds")
 
 

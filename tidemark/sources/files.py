@@ -99,7 +99,7 @@ def list_relations(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
@@ -117,6 +117,6 @@ class SliceStore:
     def get(self, role: str, when: date, build: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
         path = self.path(role, when)
         # A write that was cut off leaves no success marker and is done again.
-        if not (reuse and _exists(self.spark, f"{path}/_SUCCESS")):
+        if not (reuse and path_exists(self.spark, f"{path}/_SUCCESS")):
             build().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.relate import latest_per_key
+from tidemark.streaming import delta
 
 FILES_PER_BATCH = 500
 
@@ -19,31 +20,36 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", str(files_per_batch)).load(path)
 
 
+def delta_name(batch: DataFrame, batch_id: int) -> str:
+    """Name of a micro-batch: the stream's own id, which its checkpoint keeps, and the number of the batch."""
+    stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{stream or 'batch'}-{batch_id}"
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str, clean: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Append each micro-batch to its own folder of ``target``.
+    """Append each micro-batch to the table ``target`` as a delta with its commit (see ``delta``).
 
-    A batch that is run again after a failure overwrites its own folder, so nothing is stored twice.
+    A batch that is run again after a failure is committed once, so nothing is stored twice.
     Columns may widen from batch to batch; ``read_ingested`` merges them.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if clean is None else clean(batch)
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        delta.add(batch if clean is None else clean(batch), target, delta_name(batch, batch_id))
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_ingested(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(target).drop("batch")
+    return delta.read(spark, target)
 
 
 def upsert_latest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], newest: Sequence[str]) -> StreamingQuery:
     """Keep the newest row per key. Each batch is reduced to its newest rows and appended as a delta.
 
     Nothing stored is rewritten per batch; ``read_latest`` merges the deltas, ``compact`` folds them
-    into one from time to time. A repeated batch overwrites its own delta.
+    into one from time to time, also between the batches of a running stream.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        latest_per_key(batch, keys, newest).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        delta.add(latest_per_key(batch, keys, newest), target, delta_name(batch, batch_id))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -53,8 +59,13 @@ def read_latest(spark: SparkSession, target: str, keys: Sequence[str], newest: S
 
 
 def compact(spark: SparkSession, target: str, compacted: str, keys: Sequence[str], newest: Sequence[str]) -> None:
-    """All deltas of ``target`` as a single one under ``compacted``."""
-    read_latest(spark, target, keys, newest).write.mode("overwrite").parquet(f"{compacted}/batch=-1")
+    """The newest row per key of ``target`` as one delta of the table ``compacted``.
+
+    If that is ``target`` itself, the delta replaces those that it was made of; later ones stay beside it.
+    """
+    now = delta.live(spark, target)
+    rows = latest_per_key(delta.read_folders(spark, target, now.values()), keys, newest)
+    delta.replace_live(rows, compacted, list(now) if compacted == target else ())
 
 
 def window_counts(df: DataFrame, at: str, keys: Sequence[str], width: str, value: str | None = None, late: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tidemark.functions import letters
 from tidemark.functions import text as X
 from tidemark.naming import cleaning_of, factor_of, plain_name
 from tidemark.operators import encode as E
@@ -114,3 +115,35 @@ def test_side_output_and_samples(spark):
     assert E.fixed_sample(df, 10, seed=1).count() == 10 and E.fixed_sample(df, 1000).count() == 100
     nested = E.fraction_rows(df, "keys_id * 10", [0.1, 0.5]).groupBy("fraction").count().collect()
     assert {r["fraction"]: r["count"] for r in nested} == {0.1: 10, 0.5: 50}
+
+
+SPELT = {"Ωμέγα Ψυχή": "Omega Psychi", "Θήβα ΐς": "Thiva is", "Щука Объём": "Shchuka Obem", "Київ": "Kiiv", "Љубљана": "Ljubljana",
+         "ひらがな": "hiragana", "カタカナ": "katakana", "서울 한국": "seoul hangug", "Straße Æ é": "Strasse AE e", "中文 עב": "中文 עב", "": "", "plain": "plain"}
+
+
+def test_letters_of_other_scripts(spark):
+    """The expression and the names on the driver use one table."""
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(SPELT)] + [(99, None)], "i int, s string")
+    got = {r["i"]: r["f"] for r in df.select("i", X.ascii_fold(F.col("s")).alias("f")).collect()}
+    assert got == {**dict(enumerate(SPELT.values())), 99: None}
+    assert [letters.fold(s) for s in SPELT] == list(SPELT.values())
+    assert plain_name(" Ωμέγα Café ") == "Omega-Cafe"
+    assert [r[0] for r in df.where("i < 2").orderBy("i").select(X.standardize_name(F.concat("s", F.lit(" Ltd")))).collect()] == ["omega psychi", "thiva is"]
+
+
+def test_all_syllables_and_letters_fold_alike(spark):
+    rows = [(chr(c),) for c in range(0xAC00, 0xD7A4)] + [(ch,) for ch in letters.TABLE]
+    folded = spark.createDataFrame(rows, "s string").select("s", X.ascii_fold(F.col("s")).alias("f")).collect()
+    assert all(r["f"] == letters.fold(r["s"]) for r in folded) and len(folded) == len(rows)
+
+
+def test_tokens_of_one_name_share_a_column(spark):
+    df = spark.createDataFrame([(1, "café;tea"), (2, "cafe"), (3, "tea"), (4, None), (5, "milk")], "id int, l string")
+    parsed = E.with_parsed(df, ["l"])
+    words = ["café", "cafe", "tea"]
+    got = {r["id"]: (r["l_cafe"], r["l_tea"]) for r in parsed.selectExpr("id", *E.list_dummies_sql("l", words)).collect()}
+    assert got == {1: (1, 1), 2: (1, 0), 3: (0, 1), 4: (None, None), 5: (0, 0)}
+    top = {r["id"]: (r["l_cafe"], r["l_tea"]) for r in parsed.selectExpr("id", *E.top_dummies_sql("l", words)).collect()}
+    assert top == {**got, 5: (None, None)}
+    one = {r["id"]: (r["l_cafe"], r["l_tea"]) for r in df.selectExpr("id", *E.onehot_sql("l", words)).collect()}
+    assert one == {1: (0, 0), 2: (1, 0), 3: (0, 1), 4: (0, 0), 5: (0, 0)}

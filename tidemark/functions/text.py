@@ -2,47 +2,50 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import letters
+
 # Legal forms cut off the end of company names.
 LEGAL_SUFFIXES = (
     "inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "plc",
     "gmbh", "ag", "sa", "sarl", "bv", "nv", "ab", "as", "oy", "spa", "srl", "pty", "pte", "lp", "llp",
 )
-# Latin letters without a canonical decomposition.
-LETTER_NAMES = {
-    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D",
-    "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ı": "i",
-}
 
 
-def _accent_map(last: int = 0x1EFF) -> tuple[str, str]:
-    """Latin letters up to ``last`` with their base letter, by canonical decomposition."""
-    marked, plain = [], []
-    for code in range(0xC0, last + 1):
-        ch = chr(code)
-        base = unicodedata.normalize("NFD", ch)
-        if len(base) > 1 and base[0].isascii():
-            marked.append(ch)
-            plain.append(base[0])
-    return "".join(marked), "".join(plain)
+def _one_to_one() -> tuple[str, str]:
+    """Letters that are one ASCII letter, and those that go, which ``translate`` wants last and without a counterpart."""
+    single = {ch: to for ch, to in letters.TABLE.items() if len(to) == 1}
+    return "".join(single) + "".join(ch for ch, to in letters.TABLE.items() if not to), "".join(single.values())
+
+
+_MARKED, _PLAIN = _one_to_one()
+_LONGER = {ch: to for ch, to in letters.TABLE.items() if len(to) > 1}
 
 
-_MARKED, _PLAIN = _accent_map()
-_MARKS = "".join(map(chr, range(0x300, 0x370)))  # combining marks, of accents that are spelt apart
+def _spelt(letter: Column) -> Column:
+    """A letter that takes several ASCII letters; any other one stays."""
+    place = F.ascii(letter) - ord(letters.HANGUL[0])
+    part = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    tail = letters.FINALS
+    hangul = F.concat(part(letters.HANGUL_INITIALS, F.floor(place / (tail * letters.VOWELS))),
+                      part(letters.HANGUL_VOWELS, F.floor(place / tail) % letters.VOWELS), part(letters.HANGUL_FINALS, place % tail))
+    names = F.create_map(*[F.lit(x) for pair in _LONGER.items() for x in pair])
+    return F.when(letter.between(*letters.HANGUL), hangul).otherwise(F.coalesce(F.try_element_at(names, letter), letter))
 
 
 def ascii_fold(text: Column) -> Column:
-    """Latin text without accents, inside generated code. Plain ASCII is passed on as it is."""
-    out = F.translate(text, _MARKED + _MARKS, _PLAIN)  # marks have no counterpart and go
-    for letter, name in LETTER_NAMES.items():
-        out = F.replace(out, F.lit(letter), F.lit(name))
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(out)
+    """Text with Latin, Greek, Cyrillic, kana and Hangul letters in ASCII (see ``letters``), on the JVM.
+
+    Plain ASCII is passed on as it is, and only texts with letters that take several are taken apart. NULL stays.
+    """
+    out = F.translate(text, _MARKED, _PLAIN)
+    longer = f"[{''.join(_LONGER)}{'-'.join(letters.HANGUL)}]"
+    spelt = F.array_join(F.transform(F.split(out, ""), _spelt), "")
+    return F.when(F.octet_length(text) == F.char_length(text), text).when(out.rlike(longer), spelt).otherwise(out)
 
 
 @F.pandas_udf(T.StringType())

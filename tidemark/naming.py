@@ -7,9 +7,12 @@ token its factor, the suffix the way it is cleaned.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import types as T
 
+from tidemark.functions.letters import fold
+
 # Prefixes of columns that are never features.
 NON_FEATURE_PREFIXES = ("key", "from", "outcome", "index")
 
@@ -54,10 +57,16 @@ def cleaning_of(name: str) -> str:
 
 
 def plain_name(name: str) -> str:
-    """A column name without accents and outer blanks, with ``-`` for inner blanks."""
-    folded = unicodedata.normalize("NFKD", name)
-    ascii_only = "".join(ch for ch in folded if not unicodedata.combining(ch))
-    return ascii_only.strip().replace(" ", "-")
+    """A column name in ASCII as far as its letters are known, without outer blanks, with ``-`` for inner blanks."""
+    return fold(unicodedata.normalize("NFKC", name)).strip().replace(" ", "-")
+
+
+def by_plain_name(values: Sequence[str]) -> dict[str, list[str]]:
+    """Column name → the values that fold to it, in order."""
+    found: dict[str, list[str]] = {}
+    for v in dict.fromkeys(values):
+        found.setdefault(plain_name(v.lower()), []).append(v)
+    return found
 
 
 def numeric_fields(schema: T.StructType) -> list[str]:

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.naming import ROUND_CODES, ROUND_TYPES, cleaning_of, feature_names, plain_name
+from tidemark.naming import ROUND_CODES, ROUND_TYPES, by_plain_name, cleaning_of, feature_names, plain_name
 
 SEPARATOR = ";"
 TOP_N = 10
@@ -40,9 +40,16 @@ def column_token(token: str) -> str:
     return plain_name(token.lower())
 
 
+def listed_sql(column: str, values: Sequence[str]) -> str:
+    """Whether a row's parsed list has one of the values."""
+    if len(values) == 1:
+        return f"array_contains(__tokens_{column}, {quoted(values[0])})"
+    return f"arrays_overlap(__tokens_{column}, array({', '.join(map(quoted, values))}))"
+
+
 def list_dummies_sql(column: str, vocabulary: Sequence[str]) -> list[str]:
-    """0/1 per token; rows without a list get NULL. Needs the parsed list."""
-    return [f"CAST(array_contains(__tokens_{column}, {quoted(v)}) AS INT) AS `{column}_{column_token(v)}`" for v in vocabulary]
+    """0/1 per token; rows without a list get NULL. Tokens that fold to one name share a column. Needs the parsed list."""
+    return [f"CAST({listed_sql(column, vs)} AS INT) AS `{column}_{name}`" for name, vs in by_plain_name(vocabulary).items()]
 
 
 def vocabulary(df: DataFrame, column: str, top_n: int | None = None, include: str | None = None,
@@ -66,11 +73,11 @@ def fit_vocabulary(df: DataFrame, column: str, top_n: int = TOP_N) -> list[str]:
 
 
 def top_dummies_sql(column: str, top: Sequence[str]) -> list[str]:
-    """Dummies of the top tokens; a row with none of them is NULL in all. Needs the parsed list."""
+    """Dummies of the top tokens, one for those that fold to one name; a row with none of them is NULL in all. Needs the parsed list."""
     listed = "array(" + ", ".join(quoted(v) for v in top) + ")"
     return [
         f"CASE WHEN arrays_overlap(__tokens_{column}, {listed}) THEN "
-        f"CAST(array_contains(__tokens_{column}, {quoted(v)}) AS INT) END AS `{column}_{column_token(v)}`" for v in top
+        f"CAST({listed_sql(column, vs)} AS INT) END AS `{column}_{name}`" for name, vs in by_plain_name(top).items()
     ]
 
 
@@ -84,9 +91,10 @@ def fixed_dummies_sql(df: DataFrame, column: str, words: Sequence[str]) -> list[
 
 
 def onehot_sql(column: str, values: Sequence[str], prefix: str | None = None) -> list[str]:
-    """One 0/1 column per value of a single-valued column; NULL gives all zeros."""
+    """One 0/1 column per value of a single-valued column, one for values that fold to one name; NULL gives all zeros."""
     p = prefix or column
-    return [f"CAST(coalesce(lower({column}) = {quoted(v.lower())}, false) AS INT) AS `{p}_{column_token(v)}`" for v in values]
+    return [f"CAST(coalesce(lower({column}) IN ({', '.join(quoted(v.lower()) for v in vs)}), false) AS INT) AS `{p}_{name}`"
+            for name, vs in by_plain_name(values).items()]
 
 
 def pair_sums_sql(column: str, keys: Sequence[str]) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -10,8 +11,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.naming import factor_of, numeric_fields
+from tidemark.naming import factor_of
 from tidemark.operators.quantiles import average_ranks, exact_quantiles, melt
 
 PAIRS_PER_PASS = 400
@@ -59,47 +61,83 @@ def add_normality(df: DataFrame) -> DataFrame:
 def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, spread, ends and moments per column; all columns in one aggregation pass."""
     structs = [
-        f"struct('{c}' AS column, count({c}) AS n, count(*) - count({c}) AS missing, avg({c}) AS mean, stddev_samp({c}) AS std, "
-        f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, skewness({c}) AS g1, kurtosis({c}) AS g2)" for c in columns]
+        f"struct('{c}' AS column, count(`{c}`) AS n, count(*) - count(`{c}`) AS missing, CAST(avg(`{c}`) AS DOUBLE) AS mean, stddev_samp(`{c}`) AS std, "
+        f"CAST(min(`{c}`) AS DOUBLE) AS min, CAST(max(`{c}`) AS DOUBLE) AS max, skewness(`{c}`) AS g1, kurtosis(`{c}`) AS g2)" for c in columns]
     return df.agg(F.expr(f"array({', '.join(structs)})").alias("s")).selectExpr("inline(s)")
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column: the numeric description, or count, distinct, top value and its frequency."""
-    numeric = numeric_fields(df.schema)
-    text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    types = dict(df.dtypes)
+PROFILE = ("column", "datatype", "count", "missing", "mean", "std", "min", "p25", "p50", "p75", "max", "skew", "kurtosis",
+           "norm_k2", "norm_pval", "distinct", "top", "freq")
+
+
+def _as_number(field: T.StructField) -> str | None:
+    """SQL of what describes a column by numbers: its values, or the lengths of lists and maps. NULL where it has none."""
+    if isinstance(field.dataType, T.NumericType):
+        return f"`{field.name}`"
+    return f"size(`{field.name}`)" if isinstance(field.dataType, (T.ArrayType, T.MapType)) else None
+
+
+def _as_text(field: T.StructField) -> str:
+    """SQL of the text that stands for a value of any other type; equal values have equal texts."""
+    if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+        return f"date_format(`{field.name}`, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+    if isinstance(field.dataType, T.BinaryType):
+        return f"hex(`{field.name}`)"
+    return f"to_json(`{field.name}`)" if isinstance(field.dataType, T.StructType) else f"CAST(`{field.name}` AS STRING)"
+
+
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def snapshot_dictionary(snapshot: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per column of every relation: the numeric description, or count, distinct, top value and its frequency.
+
+    Numbers, and lists and maps by their lengths, have the first; texts, booleans, dates, times, binaries and structs
+    the second (ties to the smallest text). The columns of all relations are stacked and then described together, so the
+    number of shuffles does not grow with the number of columns or relations. An empty column has count 0 and NULLs.
+    """
+    moments, numbers, values, types = [], [], [], []
+    for relation, df in snapshot.items():
+        numeric = {f.name: x for f in df.schema.fields if (x := _as_number(f))}
+        text = {f.name: _as_text(f) for f in df.schema.fields if f.name not in numeric}
+        types += [(relation, f.name, f.dataType.simpleString()) for f in df.schema.fields]
+        if numeric:
+            one = df.selectExpr(*[f"{x} AS `{c}`" for c, x in numeric.items()])
+            moments.append(numeric_moments(one, list(numeric)).withColumn("relation", F.lit(relation)))
+            numbers.append(melt(one, [], list(numeric)).withColumn("relation", F.lit(relation)))
+        if text:
+            values.append(df.selectExpr(*[f"{x} AS `{c}`" for c, x in text.items()]).unpivot([], list(text), "column", "value").withColumn("relation", F.lit(relation)))
+            # A row for each column, so that one of an empty relation has its line.
+            values.append(df.sparkSession.createDataFrame([(c, None, relation) for c in text], "column string, value string, relation string"))
+    place = ["relation", "column"]
     out = None
-    if numeric:
-        q = exact_quantiles(melt(df, [], numeric), ["column"], "value", (0.25, 0.5, 0.75))
-        m = numeric_moments(df, numeric).join(q, "column", "left")
-        k = add_normality(m.select("column", "n", "g1", "g2")).select("column", "k2", "p_value")
-        types_map = ", ".join(f"'{c}', '{types[c]}'" for c in numeric)
-        out = m.join(k, "column", "left").selectExpr(
-            "column", f"element_at(map({types_map}), column) AS datatype", "n AS count", "missing", "mean", "std", "min",
-            "p25", "p50", "p75", "max", f"{sample_skew_sql('n', 'g1')} AS skew", f"{sample_kurtosis_sql('n', 'g2')} AS kurtosis",
-            "k2 AS norm_k2", "p_value AS norm_pval", "CAST(NULL AS BIGINT) AS distinct", "CAST(NULL AS STRING) AS top", "CAST(NULL AS BIGINT) AS freq")
-    if text:
-        values = df.select(*text).unpivot([], text, "column", "value")
-        counted = values.groupBy("column", "value").agg(F.count("*").alias("c"))
-        cat = counted.groupBy("column").agg(
+    if numbers:
+        m = _stacked(moments)
+        q = exact_quantiles(_stacked(numbers), place, "value", (0.25, 0.5, 0.75))
+        k = add_normality(m.select(*place, "n", "g1", "g2")).select(*place, "k2", "p_value")
+        out = m.join(q, place, "left").join(k, place, "left").selectExpr(
+            *place, "n AS count", "missing", "mean", "std", "min", "p25", "p50", "p75", "max",
+            f"{sample_skew_sql('n', 'g1')} AS skew", f"{sample_kurtosis_sql('n', 'g2')} AS kurtosis", "k2 AS norm_k2", "p_value AS norm_pval",
+            "CAST(NULL AS BIGINT) AS distinct", "CAST(NULL AS STRING) AS top", "CAST(NULL AS BIGINT) AS freq")
+    if values:
+        counted = _stacked(values).groupBy(*place, "value").agg(F.count("*").alias("c"))
+        cat = counted.groupBy(*place).agg(
             F.expr("sum(CASE WHEN value IS NOT NULL THEN c ELSE 0 END)").alias("count"),
-            F.expr("sum(CASE WHEN value IS NULL THEN c ELSE 0 END)").alias("missing"),
+            F.expr("sum(CASE WHEN value IS NULL THEN c ELSE 0 END) - 1").alias("missing"),  # but for the column's own line
             F.expr("count(value)").alias("distinct"),
             F.expr("min_by(value, struct(-c, value)) FILTER (WHERE value IS NOT NULL)").alias("top"),
-            F.expr("max(c) FILTER (WHERE value IS NOT NULL)").alias("freq"),
-        ).selectExpr("column", "'string' AS datatype", "count", "missing", "distinct", "top", "freq")
+            F.expr("max(c) FILTER (WHERE value IS NOT NULL)").alias("freq"))
         out = cat if out is None else out.unionByName(cat, allowMissingColumns=True)
-    return out
+    first = next(iter(snapshot.values())).sparkSession
+    named = first.createDataFrame(types, "relation string, column string, datatype string")  # as many rows as columns
+    described = out.join(F.broadcast(named), place)
+    return described.select(*[c for c in PROFILE if c in described.columns], "relation")
 
 
-def snapshot_dictionary(snapshot: Mapping[str, DataFrame]) -> DataFrame:
-    """Profiles of every relation, stacked."""
-    out = None
-    for name, df in snapshot.items():
-        one = column_profile(df).withColumn("relation", F.lit(name))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+def column_profile(df: DataFrame) -> DataFrame:
+    """One row per column of one relation (see ``snapshot_dictionary``)."""
+    return snapshot_dictionary({"": df}).drop("relation")
 
 
 def pairwise_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:

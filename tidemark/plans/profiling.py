@@ -60,11 +60,58 @@ def column_profile(t):
     return _rounded(P.column_profile(t.part))
 
 
-@query("snapshot_dictionary", f"""
-    SELECT *, 'part' AS relation FROM ({_profile_sql("part", _PART_NUM, _PART_TEXT)}) a
-    UNION ALL SELECT *, 'supplier' FROM ({_profile_sql("supplier", _SUPP_NUM, ("s_name",))}) b""")
+#: All given tables: numbers (lists by their lengths), then texts and times, with their types.
+_ALL = {
+    "benchmark": ({"item_id": "bigint"}, {"text": "string"}),
+    "conversations": ({"conv_id": "bigint", "turn": "bigint"}, {"role": "string", "text": "string"}),
+    "customer": ({"c_custkey": "bigint", "c_nationkey": "int", "c_acctbal": "double"}, {"c_name": "string", "c_mktsegment": "string"}),
+    "documents": ({"doc_id": "bigint", "n_chars": "bigint"}, {"text": "string", "lang": "string", "source": "string"}),
+    "embeddings": ({"vec_id": "bigint", "embedding": "array<float>", "label": "int"}, {}),
+    "events": ({"event_id": "bigint", "user_id": "bigint", "value": "double"}, {"ts": "timestamp_ntz", "event_type": "string", "props": "string"}),
+    "labels": ({"doc_id": "bigint", "quality": "int", "toxic": "int"}, {}),
+    "lineitem": ({"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+                  "l_extendedprice": "double", "l_discount": "double", "l_tax": "double"},
+                 {"l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}),
+    "nation": ({"n_nationkey": "int", "n_regionkey": "int"}, {"n_name": "string"}),
+    "orders": ({"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"},
+               {"o_orderstatus": "string", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}),
+    "pages": ({"page_id": "bigint"}, {"url": "string", "html": "string"}),
+    "part": (_PART_NUM, dict.fromkeys(_PART_TEXT, "string")),
+    "region": ({"r_regionkey": "int"}, {"r_name": "string"}),
+    "supplier": (_SUPP_NUM, {"s_name": "string"}),
+}
+
+
+def _dictionary_sql() -> str:
+    def number(t, c, d):
+        x = f"len({c})" if d.startswith("array") else c
+        varied = f"CASE WHEN max({x}) > min({x}) THEN"
+        return f"""SELECT '{t}' AS relation, '{c}' AS "column", '{d}' AS datatype, count({x}) AS n, count(*) - count({x}) AS missing, avg({x}) AS mean,
+            stddev_samp({x}) AS std, CAST(min({x}) AS DOUBLE) AS lo, CAST(max({x}) AS DOUBLE) AS hi, quantile_cont({x}, 0.25) AS p25, quantile_cont({x}, 0.5) AS p50,
+            quantile_cont({x}, 0.75) AS p75, {varied} skewness({x}) END AS skew, {varied} kurtosis({x}) END AS kurtosis,
+            {varied} skewness({x}) * (count({x}) - 2) / sqrt(count({x}) * (count({x}) - 1.0)) END AS g1, {varied} kurtosis_pop({x}) END AS g2 FROM {t}"""
+
+    def text(t, c, d):
+        x = f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if d.startswith("timestamp") else c
+        return f"""SELECT '{t}' AS relation, '{c}' AS "column", '{d}' AS datatype, {x} AS value, count(*) AS c FROM {t} GROUP BY ALL"""
+
+    numbers = " UNION ALL ".join(number(t, c, d) for t, (num, _) in _ALL.items() for c, d in num.items())
+    texts = " UNION ALL ".join(text(t, c, d) for t, (_, cat) in _ALL.items() for c, d in cat.items())
+    return f"""WITH x AS ({numbers}), v AS ({texts}),
+        k AS (SELECT relation, "column", k2, p_value FROM {_normality_sql("SELECT * FROM x WHERE n >= 8 AND g1 IS NOT NULL")} z)
+        SELECT relation, "column", datatype, n AS count, missing, round(mean, 4) AS mean, round(std, 4) AS std, round(lo, 4) AS min, round(p25, 4) AS p25,
+            round(p50, 4) AS p50, round(p75, 4) AS p75, round(hi, 4) AS max, round(skew, 4) AS skew, round(kurtosis, 4) AS kurtosis, round(k2, 3) AS norm_k2,
+            round(p_value, 4) AS norm_pval, CAST(NULL AS BIGINT) AS "distinct", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq
+        FROM x LEFT JOIN k USING (relation, "column")
+        UNION ALL SELECT relation, "column", datatype, CAST(coalesce(sum(c) FILTER (WHERE value IS NOT NULL), 0) AS BIGINT),
+            CAST(coalesce(sum(c) FILTER (WHERE value IS NULL), 0) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+            count(value), arg_min(value, (-c, value)) FILTER (WHERE value IS NOT NULL), max(c) FILTER (WHERE value IS NOT NULL) FROM v GROUP BY 1, 2, 3"""
+
+
+@query("snapshot_dictionary", _dictionary_sql())
 def snapshot_dictionary(t):
-    return _rounded(P.snapshot_dictionary({"part": t.part, "supplier": t.supplier}))
+    """The columns of all given tables."""
+    return _rounded(P.snapshot_dictionary({name: t.table(name) for name in _ALL}))
 
 
 _MOMENTS = " UNION ALL ".join(

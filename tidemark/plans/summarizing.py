@@ -11,7 +11,7 @@ from tidemark.operators.quantiles import exact_modes, exact_quantiles, running_t
 from tidemark.operators.slicing import unix_seconds_sql, window_years
 from tidemark.plans import base as B
 from tidemark.plans.registry import query
-from tidemark.sources.bindings import define_view, with_views
+from tidemark.sources.bindings import TABLES, define_view, with_views
 
 OUTCOMES = ("Raised", "Acquired", "IPO", "Closed", "No Change")
 ORDERED_STAGES = L.INCLUDED_STAGES
@@ -149,10 +149,10 @@ def success_rate(t):
 
 
 @query("relation_counts", " UNION ALL ".join(
-    f"SELECT '{n}' AS relation, count(*) AS records FROM {n}" for n in ("customer", "orders", "lineitem", "supplier", "part", "events", "documents")))
+    f"SELECT '{n}' AS relation, count(*) AS records FROM {n}" for n in TABLES))
 def relation_counts(t):
     out = None
-    for name in ("customer", "orders", "lineitem", "supplier", "part", "events", "documents"):
+    for name in TABLES:
         one = t.table(name).agg(F.count("*").alias("records")).select(F.lit(name).alias("relation"), "records")
         out = one if out is None else out.unionByName(one)
     return out.orderBy(F.desc("records"), "relation")

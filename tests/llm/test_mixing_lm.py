@@ -1,8 +1,14 @@
 """The fit of the language model."""
 
+import math
 import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import mixing_lm
+from tidemark.llm.words import Hasher, Words, text_buffers
 
 
 def test_fit_sees_all_training_documents(spark, monkeypatch):
@@ -13,3 +19,61 @@ def test_fit_sees_all_training_documents(spark, monkeypatch):
     mixing_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     # A word and the end of the document, the codes of which are one and two decisions long.
     assert made[0].seen.sum() == 3 * learnt and made[1].seen.sum() == 0
+
+
+def counted(documents):
+    """The words of documents, a vocabulary of the repeated ones, and the tables after all documents."""
+    data, offsets = text_buffers(pa.array(documents))
+    words = Words(Hasher(), data, offsets, 0, len(documents), True)
+    t, n = np.unique(mixing_lm.tokens(words)[0], return_counts=True)
+    vocab = mixing_lm.Vocabulary(t[n > 1], n[n > 1], int(n[n == 1].sum()))
+    every = np.ones(len(documents), bool)
+    tables = [np.zeros((n, 2), np.uint32) for n in [len(vocab.code.length), *mixing_lm.SIZES[1:]]]
+    for k, _, _, bit, slots, _ in mixing_lm.decided(words, every, vocab)[3]:
+        for j, s in enumerate(slots):
+            np.add.at(tables[3 * k + j], (s, bit), 1)
+    return words, vocab, tables
+
+
+def test_own_counts_are_left_out(monkeypatch):
+    words, vocab, tables = counted(["a b a c", "b a b a x1 x1 yy", "", "a b zz"] + ["q w"] * 300)
+    known = [(np.where((t <= mixing_lm.MANY).all(axis=1), np.uint8(mixing_lm.FEW), mixing_lm.levels(mixing_lm.logs(t))), mixing_lm.few(t)) for t in tables]
+    at = np.arange(1 << 16)
+    level_of = mixing_lm.levels(mixing_lm.logs(np.stack([at & 255, at >> 8], 1)))
+    for d in range(4):
+        chosen = np.arange(len(words.first) - 1) == d
+        got = [(k, *x, gate, bit) for k, x, gate, bit in mixing_lm.without_own(words, chosen, vocab, known, level_of)]
+        own = [np.zeros_like(t) for t in tables]
+        for k, _, _, bit, slots, _ in mixing_lm.decided(words, chosen, vocab)[3]:
+            for j, s in enumerate(slots):
+                np.add.at(own[3 * k + j], (s, bit), 1)
+        wanted = []
+        for k, _, _, bit, slots, gate in mixing_lm.decided(words, chosen, vocab)[3]:
+            x = []
+            for j, s in enumerate(slots):
+                n, less = tables[3 * k + j][s], own[3 * k + j][s]
+                x.append(mixing_lm.levels(mixing_lm.logs(np.where((n <= mixing_lm.MANY).all(axis=1)[:, None], n - less, n))))
+            wanted.append((k, *x, gate, bit))
+        assert len(got) == len(wanted) and all(np.array_equal(a, b) for g, w in zip(got, wanted) for a, b in zip(g, w))
+    # One long document by tables gives what sorting gives.
+    words, vocab, tables = counted(["a b a c yy a b"])
+    known = [(np.full(len(t), mixing_lm.FEW, np.uint8), mixing_lm.few(t)) for t in tables]
+    runs = []
+    for longest in (1 << 30, 1):
+        monkeypatch.setattr(mixing_lm, "LONG", longest)
+        runs.append([(k, *x, gate, bit) for k, x, gate, bit in mixing_lm.without_own(words, np.ones(1, bool), vocab, known, level_of)])
+    assert all(np.array_equal(a, b) for g, w in zip(*runs) for a, b in zip(g, w))
+
+
+def test_words_beyond_the_vocabulary_count(spark, monkeypatch):
+    """The vocabulary only chooses how words are coded: rare ones are spelt, and the base score counts them exactly."""
+    monkeypatch.setattr(mixing_lm, "WORDS", 2)
+    rows = [(i, f"aa bb cc w{i % 40} {'u%d' % i if i % 2 else ''}") for i in range(200)]
+    words = {i: [*x.split(), None] for i, x in rows}
+    learnt = {i for i in words if zlib.crc32(str(i).encode()) % 10}
+    n = Counter(w for i in learnt for w in words[i])
+    total = sum(n.values())
+    for r in mixing_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        base = sum(math.log10((n[w] + 0.1) / (total + 0.1 * (len(n) + 1))) for w in words[r.doc_id])
+        assert abs(r.base_score - base) < 1e-6 and r.n_known == sum(n[w] > 0 for w in words[r.doc_id]) and r.train_tokens == total
+        assert r.n_tokens == len(words[r.doc_id]) and -1000 < r.score < -0.1 * (r.n_tokens - 4)

@@ -6,9 +6,10 @@ Three predictors see each decision: for words the place in the code alone, with
 that; for bytes the place in the byte with the two, three and five bytes before. Contexts are hashed into ``1 << BITS``
 slots that hold the counts of both outcomes over all training documents. The predictors' log odds are combined by weights
 that a gate picks (depth of the decision, and which contexts are new), and the result is refined by a map from predicted
-to seen probabilities. Weights and map are fitted on all training documents, with each document's own counts left out:
-``STEPS`` Newton steps, each from slopes and curvatures of the log likelihood that a pass over the documents adds up by
-gate, then a pass that counts the map's cells. Both are fixed while documents are scored.
+to seen probabilities. Weights and map are fitted on all training documents, with each document's own counts left out
+(in slots with up to 254 of each outcome; in larger ones they are next to nothing): one pass counts all
+decisions by depth, level of each predictor's log odds (``LEVELS`` to each side of 0) and outcome; Newton steps and the
+map are worked out on these counts, as many for any corpus. Both are fixed while documents are scored.
 
 Word counts of the base score are exact: frequent words are looked up in the model, all others go to buckets by their
 hash and meet the counts there. A document is held out if crc32 of its key as text is divisible by 10, and learnt from
@@ -17,7 +18,6 @@ otherwise; a NULL key is neither. NULL and empty texts are the end alone. Repeat
 
 from __future__ import annotations
 
-import copy
 import heapq
 import zlib
 
@@ -32,16 +32,24 @@ from tidemark.llm.words import Hasher, Words, chunks, mix, pack, text_buffers, u
 
 WORDS = 1 << 18
 BITS = 20
-STEPS = 3  # passes over the training documents that fit the weights; one more fits the map
+STEPS = 3  # Newton steps that fit the weights to the counted decisions
 HOLD = 5.0
-STATISTICS = 15  # of a gate: four slopes, ten curvatures, decisions
 BUCKET = 2_000_000
 SPLIT_BYTES = 64_000_000  # text of a task, about
 END = np.uint64(0xE17D0000E17D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-GATES = 8 * 4
+SPREAD = np.uint64(0xD1342543DE82EF95)
+STRIDE = np.uint64(int(STEP) * int(SPREAD) % (1 << 64))
+DEPTHS = 8
+GATES = DEPTHS * 4
 MAP = 33
-PIECE = 20_000  # tokens, or bytes of spelt words, whose decisions are in memory together
+FINE = 64  # steps of the mixed log odds
+MANY = 254  # of an outcome in a slot, up to which a document's own counts matter
+FEW = 255
+LONG = 2_000_000  # bytes of a document whose own counts are in tables, not sorted
+LEVELS = 20  # of log odds above 0, finer near 0, as many below, and one of contexts that are new
+WIDE = 2 * LEVELS + 1
+PIECE = 8_000  # tokens, or bytes of spelt words, whose decisions are in memory together
 ORDERS = (2, 3, 5)  # bytes before that the predictors of spelt bytes see
 
 
@@ -83,25 +91,24 @@ class Code:
         self.length = used.sum(axis=1)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.nodes, self.bits = nodes[used].astype(np.int32), bits[used]
+        self.depths = np.minimum((np.arange(len(self.bits)) - np.repeat(self.start, self.length)) // 2, DEPTHS - 1).astype(np.int8)
 
-    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(token, node, bit, depth) of all decisions."""
+    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of decisions of each symbol, places of all their decisions in the codes)."""
         n = self.length[symbols]
-        token = np.repeat(np.arange(len(symbols)), n)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-        at = self.start[symbols][token] + depth
-        return token, self.nodes[at], self.bits[at], depth
+        return n, np.repeat(self.start[symbols] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def slot(context: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return ((context + place.astype(np.uint64) * STEP) * np.uint64(0xD1342543DE82EF95) >> np.uint64(64 - BITS)).astype(np.int64)
+    """Slots of places in contexts, both multiplied with ``SPREAD``."""
+    return (context + place >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Vocabulary:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, rest: int):
         order = np.argsort(hashes)
         self.hash, self.count = hashes[order], counts[order]
-        self.code = Code(np.append(self.count, max(1, rest)))  # the last symbol is the escape
+        self.code = Code(np.maximum(np.append(self.count, rest), 1))  # the last symbol is the escape
 
     def symbols(self, t: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hash, t), len(self.hash) - 1)
@@ -116,14 +123,19 @@ class Vocabulary:
         return self.symbols(t), mix(one), mix(two + np.uint64(77))
 
     def word_decisions(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray):
-        """(token, bit, slots of the three predictors, gate)."""
-        token, node, bit, depth = self.code.decisions(symbols)
-        return token, bit, (node.astype(np.int64), slot(one[token], node), slot(two[token], node)), np.minimum(depth // 2, 7)
+        """(decisions of each token, bit, slots of the three predictors, gate)."""
+        n, at = self.code.decisions(symbols)
+        node = self.code.nodes[at]
+        place = node.astype(np.uint64) * STRIDE
+        return n, self.code.bits[at], (node, slot(np.repeat(one * SPREAD, n), place), slot(np.repeat(two * SPREAD, n), place)), self.code.depths[at]
+
+
+LEVEL = np.arange(8)
 
 
 def spelling(words: Words, which: np.ndarray, ends: np.ndarray, a: int, b: int):
-    """Decisions of bytes a..b of the spelt words, one after the other, each with an end byte: (word's place in ``which``,
-    bit, slots of the three predictors, gate). ``ends`` are the words' ends in that row of bytes."""
+    """Decisions of bytes a..b of the spelt words, one after the other, each with an end byte: (word's place in ``which``
+    of each byte, decisions of each byte, bit, slots of the three predictors, gate). ``ends`` are the words' ends in that row of bytes."""
     place = np.arange(a, b)
     owner = np.searchsorted(ends, place, "right")
     begin = words.start[which]
@@ -132,30 +144,31 @@ def spelling(words: Words, which: np.ndarray, ends: np.ndarray, a: int, b: int):
     begin = begin[owner]
     byte = np.where(at == n[owner] - 1, 32, words.bytes[np.minimum(begin + at, len(words.bytes) - 1)]).astype(np.int64)
     prior = [np.where(at >= k, words.bytes[np.maximum(begin + at - k, 0)], 0).astype(np.int64) for k in range(1, 6)]
-    level = np.arange(8)
-    node = ((1 << level) | (byte[:, None] >> (8 - level))).ravel()
-    bit = ((byte[:, None] >> (7 - level)) & 1).ravel().astype(np.uint8)
+    node = (1 << LEVEL) | (byte[:, None] >> (8 - LEVEL))
+    bit = ((byte[:, None] >> (7 - LEVEL)) & 1).ravel().astype(np.uint8)
     # The bytes before, most recent first, as one number for each order.
     upto = np.cumsum([x << (8 * i) for i, x in enumerate(prior)], axis=0)
-    contexts = [mix((upto[k - 1] + (k << 48)).astype(np.uint64)) for k in ORDERS]
-    return np.repeat(owner, 8), bit, tuple(slot(np.repeat(c, 8), node) for c in contexts), np.tile(level, len(byte))
+    contexts = [mix((upto[k - 1] + (k << 48)).astype(np.uint64)) * SPREAD for k in ORDERS]
+    node = node.astype(np.uint64) * STRIDE
+    return owner, np.full(len(byte), 8), bit, tuple(slot(c[:, None], node).ravel() for c in contexts), np.tile(LEVEL.astype(np.int8), len(byte))
 
 
 def decided(words: Words, chosen: np.ndarray, vocab: Vocabulary):
     """Tokens of the chosen documents of a chunk, their documents and symbols, and an iterator over their decisions:
-    (0 for words or 1 for spelt bytes, document, bit, slots of the three predictors, gate), ``PIECE`` tokens or bytes at a time."""
+    (0 for words or 1 for spelt bytes, document of each token or byte, decisions of each, bit, slots of the three predictors, gate),
+    ``PIECE`` tokens or bytes at a time."""
     t, d = tokens(words)
     word_at = np.insert(np.arange(len(words.hash)), words.first[1:], -1)
-    use = chosen[d]
-    t, d, word_at = t[use], d[use], word_at[use]
+    if not chosen.all():
+        use = chosen[d]
+        t, d, word_at = t[use], d[use], word_at[use]
     symbols, one, two = vocab.contexts(t, d)
     rare = np.flatnonzero((symbols == len(vocab.hash)) & (word_at >= 0))
 
     def pieces():
         for i in range(0, len(t), PIECE):
             here = slice(i, i + PIECE)
-            token, *rest = vocab.word_decisions(symbols[here], one[here], two[here])
-            yield 0, d[here][token], *rest
+            yield 0, d[here], *vocab.word_decisions(symbols[here], one[here], two[here])
         which = word_at[rare]
         ends = np.cumsum(words.end[which] - words.start[which] + 1)
         for i in range(0, int(ends[-1]) if len(ends) else 0, PIECE):
@@ -168,12 +181,59 @@ def decided(words: Words, chosen: np.ndarray, vocab: Vocabulary):
     return t, d, symbols, pieces()
 
 
-def alone(words: Words, d: int) -> Words:
-    """One document of a chunk."""
-    one = copy.copy(words)
-    i, j = words.first[d], words.first[d + 1]
-    one.start, one.end, one.hash, one.first = words.start[i:j], words.end[i:j], words.hash[i:j], np.array([0, j - i])
-    return one
+def without_own(words: Words, chosen: np.ndarray, vocab: Vocabulary, known: list[tuple[np.ndarray, np.ndarray]], level_of: np.ndarray):
+    """Decisions of the chosen documents of a chunk, in pieces: (0 for words or 1 for spelt bytes, levels without the
+    document's own counts, gate, bit).
+
+    ``known`` has for each predictor the levels of its slots, or ``FEW``, and ``few`` of these (see there); ``level_of``
+    the level for each value of ``few``.
+    """
+    def pieces():
+        for k, doc, times, bit, slots, gate in decided(words, chosen, vocab)[3]:
+            doc = np.repeat(doc << BITS, times)
+            out = []
+            for j, s in enumerate(slots):
+                x = known[3 * k + j][0][s]
+                at = np.flatnonzero(x == FEW)
+                out.append((3 * k + j, x, at, (doc[at] | s[at]) * 2 + bit[at]))
+            yield k, gate, bit, out
+
+    if len(chosen) == 1 and len(words.bytes) > LONG:
+        # One long document: two walks over its pieces.
+        own = [np.zeros(2 * len(x), np.uint8) for x, _ in known]
+        for *_, out in pieces():
+            for j, _, _, at in out:
+                np.add.at(own[j], at, np.uint8(1))  # a slot of ``FEW`` cannot overflow
+        for k, gate, bit, out in pieces():
+            for j, x, at, s in out:
+                x[at] = level_of[known[j][1][s >> 1] - own[j].view(np.uint16)[s >> 1]]
+            yield k, [x for _, x, *_ in out], gate, bit
+        return
+    found = list(pieces())
+    for j in range(len(known)):
+        here = [o for *_, out in found for o in out if o[0] == j]
+        if not sum(len(o[2]) for o in here):
+            continue
+        at = np.concatenate([o[3] for o in here])
+        order = np.argsort(at)
+        ranked = at[order]
+        first = np.flatnonzero(np.diff(ranked >> 1, prepend=-1))  # of the decisions of one document at one slot
+        n = np.diff(first, append=len(ranked))
+        ones = np.add.reduceat(ranked & 1, first)
+        own = (n - ones) | ones << 8
+        level = np.empty(len(at), np.uint8)
+        level[order] = np.repeat(level_of[known[j][1][ranked[first] >> 1 & (1 << BITS) - 1] - own], n)
+        ends = np.cumsum([len(o[2]) for o in here])
+        for (_, x, where, _), part in zip(here, np.split(level, ends[:-1])):
+            x[where] = part
+    for k, gate, bit, out in found:
+        yield k, [x for _, x, *_ in out], gate, bit
+
+
+def few(n: np.ndarray) -> np.ndarray:
+    """Both outcomes' counts in one number, the second in the high byte; larger ones than ``MANY`` do not fit."""
+    n = np.minimum(n, MANY).astype(np.uint16)
+    return n[..., 0] | n[..., 1] << 8
 
 
 def logs(n: np.ndarray) -> np.ndarray:
@@ -181,25 +241,16 @@ def logs(n: np.ndarray) -> np.ndarray:
     return np.log((n[..., 1] + np.float32(0.4)) / (n[..., 0] + np.float32(0.4))).astype(np.float32)
 
 
-def without_own(one: Words, vocab: Vocabulary, tables: list[np.ndarray], own: list[np.ndarray]):
-    """Decisions of one document, in pieces: (0 for words or 1 for spelt bytes, log odds without its own counts, gate, bit).
-    ``own`` are tables of zeros, and are so again at the end."""
-    def pieces():
-        return decided(one, np.ones(1, bool), vocab)[3]
-
-    short = int((one.end - one.start + 1).sum()) <= PIECE
-    found = list(pieces()) if short else None
-    for k, _, bit, slots, _ in found or pieces():
-        for j, s in enumerate(slots):
-            np.add.at(own[3 * k + j], s * 2 + bit, np.uint32(1))
-    for k, _, bit, slots, gate in found or pieces():
-        x = []
-        for j, s in enumerate(slots):
-            x.append(logs((tables[3 * k + j].reshape(-1, 2)[s] - own[3 * k + j].reshape(-1, 2)[s]).astype(np.float32)))
-        yield k, x, gate, bit
-    for k, _, _, slots, _ in found or pieces():
-        for j, s in enumerate(slots):
-            own[3 * k + j].reshape(-1, 2)[s] = 0
+def levels(x: np.ndarray) -> np.ndarray:
+    """Levels of log odds, from 0; the middle one is that of 0."""
+    size = np.minimum(np.floor(5 * np.arcsinh(2 * np.abs(x))) + 1, LEVELS)
+    return (np.where(x == 0, 0, np.sign(x) * size) + LEVELS).astype(np.uint8)
+
+
+def middles() -> np.ndarray:
+    """The log odds that stand for each level."""
+    at = np.arange(-LEVELS, LEVELS + 1)
+    return np.where(at == 0, 0, np.sign(at) * np.sinh((np.abs(at) - 0.5) / 5) / 2)
 
 
 class Mixer:
@@ -215,16 +266,17 @@ class Mixer:
         return gate * 4 + (x[1] == 0) * 2 + (x[2] == 0)
 
     def odds(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        w = self.weights[gate]
-        return np.clip(x[0] * w[:, 0] + x[1] * w[:, 1] + x[2] * w[:, 2] + w[:, 3], -12, 12)
+        w = self.weights.T
+        return np.clip(x[0] * w[0][gate] + x[1] * w[1][gate] + x[2] * w[2][gate] + w[3][gate], -12, 12)
 
-    def slopes(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """[gate, statistic]: slope and curvature of the log likelihood at the weights, and the number of decisions."""
+    def slopes(self, x: list[np.ndarray], gate: np.ndarray, n: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        """[gate, statistic] of ``n`` decisions at each x, ``ones`` of them 1: slope and curvature of the log likelihood
+        at the weights, and the number of decisions."""
         gate = self.gates(gate, x)
-        inputs = [*x, np.full(len(bit), 0.3, np.float32)]
+        inputs = [*x, np.full(len(n), 0.3)]
         p = 1 / (1 + np.exp(-self.odds(x, gate).astype(np.float64)))
-        wrong, sway = bit - p, p * (1 - p)
-        rows = [wrong * v for v in inputs] + [sway * inputs[i] * inputs[j] for i in range(4) for j in range(i, 4)] + [np.ones(len(bit))]
+        wrong, sway = ones - n * p, n * p * (1 - p)
+        rows = [wrong * v for v in inputs] + [sway * inputs[i] * inputs[j] for i in range(4) for j in range(i, 4)] + [n]
         return np.stack([np.bincount(gate, weights=v, minlength=GATES) for v in rows], 1)
 
     def step(self, found: np.ndarray) -> None:
@@ -236,25 +288,35 @@ class Mixer:
             move = np.linalg.solve(curve + HOLD * np.eye(4), found[g, :4])
             self.weights[g] += np.clip(move, -1, 1).astype(np.float32)
 
-    def seen_by_cell(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """[gate, cell of the map]: decisions seen, and beside them those that were 1."""
+    def fit(self, counted: np.ndarray) -> None:
+        """Weights and map from the decisions by depth, levels of the three predictors and outcome."""
+        counted = counted.reshape(-1, 2).astype(np.float64)
+        at = np.flatnonzero(counted.sum(axis=1))
+        gate, *level = np.unravel_index(at, (DEPTHS, WIDE, WIDE, WIDE))
+        x, n, ones = [middles()[i] for i in level], counted[at].sum(axis=1), counted[at, 1]
+        for _ in range(STEPS):
+            self.step(self.slopes(x, gate, n, ones))
         gate = self.gates(gate, x)
         at = gate * MAP + self.cell(self.odds(x, gate))
-        return np.concatenate([np.bincount(at, weights=w, minlength=GATES * MAP).reshape(GATES, MAP) for w in (None, bit)], 1)
+        self.seen, self.ones = (np.bincount(at, weights=w, minlength=GATES * MAP).reshape(GATES, MAP) for w in (n, ones))
 
     @staticmethod
     def cell(s: np.ndarray) -> np.ndarray:
         return np.rint((s + 12) * ((MAP - 1) / 24)).astype(np.int64)
 
-    def log10(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the bits."""
-        gate = self.gates(gate, x)
-        s = self.odds(x, gate)
+    def log10s(self) -> np.ndarray:
+        """[gate, log odds in steps of 1 / FINE from -12, bit]: log10 of the bit's probability."""
+        s = np.arange(24 * FINE + 1) / FINE - 12
         p = 1 / (1 + np.exp(-s))
         centre = 1 / (1 + np.exp(-(np.arange(MAP) * 24 / (MAP - 1) - 12)))
-        refined = ((self.ones + 20 * centre) / (self.seen + 20)).ravel()[gate * MAP + self.cell(s)]
+        refined = ((self.ones + 20 * centre) / (self.seen + 20))[:, self.cell(s)]
         p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
-        return np.log10(np.where(bit > 0, p, 1 - p))
+        return np.log10(np.stack([1 - p, p], 2)).astype(np.float32)
+
+    def fine(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Places of decisions in ``log10s``, all in one row."""
+        gate = self.gates(gate, x)
+        return (gate.astype(np.int32) * (24 * FINE + 1) + np.rint((self.odds(x, gate) + 12) * FINE).astype(np.int32)) * 2 + bit
 
 
 SIZES = (None, *[1 << BITS] * 5)  # None: one for each node
@@ -279,7 +341,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def count(batches):
         for batch in batches:
             seen = []
-            for _, _, words, learnt, _, _ in parts(batch):
+            for _, _, words, learnt, *_ in parts(batch):
                 t, d = tokens(words)
                 seen.append(t[learnt[d]])
             t, n = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
@@ -296,12 +358,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         t, where = np.unique(unpack(table["word"], np.uint64), return_inverse=True)
         n = np.bincount(where, weights=unpack(table["n"], np.int64)).astype(np.int64)
         # Candidates for the model: no word outside a bucket's first WORDS can be among the first of all.
-        return pa.table({"bucket": table["bucket"][:1], "word": [pack(t)], "n": [pack(n)], "distinct": [len(t)], "total": [int(n.sum())]})
+        return pa.table({"bucket": table["bucket"][:1], "word": [pack(t)], "n": [pack(n)], "distinct": [len(t)], "total": [int(n.sum())], "ends": [int(n[t == END].sum())]})
 
     counts = written(plain.mapInArrow(count, "bucket long, word binary, n binary").groupBy("bucket").applyInArrow(
-        summed, "bucket long, word binary, n binary, distinct long, total long"), "counts")
-    distinct, total = counts.agg(F.sum("distinct"), F.sum("total")).first()
-    distinct, total = distinct or 0, total or 0
+        summed, "bucket long, word binary, n binary, distinct long, total long, ends long"), "counts")
+    distinct, total, ends = (x or 0 for x in counts.agg(F.sum("distinct"), F.sum("total"), F.sum("ends")).first())
 
     def unfold(batches):
         for batch in batches:
@@ -312,7 +373,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     best = counts.select("word", "n").mapInArrow(unfold, "word long, n long").orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
     hashes, frequent = best["word"].to_numpy().view(np.uint64), best["n"].to_numpy()
     if not (hashes == END).any():
-        hashes, frequent = np.append(hashes, END), np.append(frequent, 1)
+        hashes, frequent = np.append(hashes, END), np.append(frequent, ends)
     vocabulary = Vocabulary(hashes, frequent, total - int(frequent.sum()))
     shared = spark.sparkContext.broadcast(vocabulary)
     sizes = [len(vocabulary.code.length), *SIZES[1:]]
@@ -321,57 +382,76 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         tables = [np.zeros(2 * n, np.uint32) for n in sizes]
         for batch in batches:
             for _, _, words, learnt, _, _ in parts(batch):
-                for k, _, bit, slots, _ in decided(words, learnt, shared.value)[3]:
+                for k, _, _, bit, slots, _ in decided(words, learnt, shared.value)[3]:
                     for j, s in enumerate(slots):
                         np.add.at(tables[3 * k + j], s * 2 + bit, np.uint32(1))
         task = TaskContext.get().partitionId()
         for i, t in enumerate(tables):
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(64) + i * 64), pa.array(np.full(64, task // some)), pa.array([pack(x.astype(np.int64)) for x in np.array_split(t, 64)], pa.binary())],
-                ["piece", "part", "n"])
+                pa.array(np.arange(64) + i * 64), pa.array(np.full(64, task // some)),
+                pa.array([pack(x.astype(np.int64)) for x in np.array_split(t.reshape(-1, 2), 64)], pa.binary())], ["piece", "part", "n"])
+
+    def total_of(table: pa.Table) -> np.ndarray:
+        return sum((np.frombuffer(x.as_buffer(), np.int64) for x in table["n"]), np.int64(0))
 
     def added(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x.as_py(), np.int64) for x in table["n"]), np.int64(0))
-        return pa.table({"piece": table["piece"][:1], "part": table["part"][:1], "n": [pack(np.atleast_1d(total))]})
+        return pa.table({"piece": table["piece"][:1], "part": table["part"][:1], "n": [pack(total_of(table))]})
+
+    def learned(table: pa.Table) -> pa.Table:
+        n = total_of(table).reshape(-1, 2)
+        return pa.table({"piece": table["piece"][:1], "odds": [pack(logs(n))], "few": [pack(few(n))], "levels": [pack(np.where((n <= MANY).all(axis=1), np.uint8(FEW), levels(logs(n))))]})
 
     # Tables of the tasks are added in two steps, so that no group grows with more than the root of their number.
     some = max(1, int((size // SPLIT_BYTES + 1) ** 0.5))
     form = "piece long, part long, n binary"
     partly = plain.mapInArrow(gather, form).groupBy("piece", "part").applyInArrow(added, form)
-    pieces = {r["piece"]: np.frombuffer(r["n"], np.int64) for r in partly.groupBy("piece").applyInArrow(added, form).collect()}  # as large for any corpus
-    tables = [np.concatenate([pieces[i * 64 + j] for j in range(64)]) if pieces else np.zeros(2 * n, np.int64) for i, n in enumerate(sizes)]
-
-    # Weights and map: passes over all training documents, each document without its own counts.
-    counted = spark.sparkContext.broadcast([t.astype(np.uint32) for t in tables])
-
-    def fitted(mixers: list[Mixer], kind: str) -> list[np.ndarray]:
-        """What ``Mixer.slopes`` or ``Mixer.seen_by_cell`` give for the words and the spelt bytes, added up over all training documents."""
-        def measure(batches):
-            own = [np.zeros_like(t) for t in counted.value]
-            sums = [0.0, 0.0]
-            for batch in batches:
-                for _, _, words, learnt, _, _ in parts(batch):
-                    for d in np.flatnonzero(learnt):
-                        for k, x, gate, bit in without_own(alone(words, d), shared.value, counted.value, own):
-                            sums[k] = sums[k] + getattr(mixers[k], kind)(x, gate, bit)
-            for k in range(2):
-                if isinstance(sums[k], np.ndarray):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(sums[k].size, k)), pa.array(np.arange(sums[k].size)), pa.array(sums[k].ravel())], ["k", "cell", "n"])
-
-        wide = STATISTICS if kind == "slopes" else 2 * MAP
-        total = np.zeros((2, GATES * wide))
-        for r in plain.mapInArrow(measure, "k long, cell long, n double").groupBy("k", "cell").agg(F.sum("n").alias("n")).collect():  # as many rows for any corpus
-            total[r["k"], r["cell"]] = r["n"]
-        return list(total.reshape(2, GATES, wide))
+    pieces = {r["piece"]: r for r in partly.groupBy("piece").applyInArrow(learned, "piece long, odds binary, few binary, levels binary").collect()}  # as large for any corpus
+
+    def whole(name, kind):
+        return [np.frombuffer(b"".join(pieces[i * 64 + j][name] for j in range(64)), kind) if pieces else np.zeros(n, kind) for i, n in enumerate(sizes)]
+
+    odds_of = whole("odds", np.float32)
+
+    # Weights and map: one pass over all training documents, each document without its own counts.
+    counts_of = spark.sparkContext.broadcast(list(zip(whole("levels", np.uint8), whole("few", np.uint16))))
+    pieces.clear()
+
+    def measure(batches):
+        known = counts_of.value
+        level_of = levels(logs(np.stack([np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8], 1).astype(np.float32)))
+        cells = np.zeros((2, DEPTHS * WIDE ** 3 * 2), np.int64)
+        for batch in batches:
+            for _, _, words, learnt, _, _ in parts(batch):
+                for k, x, gate, bit in without_own(words, learnt, shared.value, known, level_of):
+                    at = gate.astype(np.int64)
+                    for level in x:
+                        at = at * WIDE + level
+                    np.add.at(cells[k], at * 2 + bit, 1)
+        task = TaskContext.get().partitionId()
+        for k in range(2):
+            for j, x in enumerate(np.array_split(cells[k], 64)):
+                at = np.flatnonzero(x)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([k * 64 + j]), pa.array([task // some]), pa.array([pack(np.stack([at, x[at]], 1))], pa.binary())], ["piece", "part", "n"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        pairs = unpack(table["n"], np.int64).reshape(-1, 2)
+        at, where = np.unique(pairs[:, 0], return_inverse=True)
+        n = np.zeros(len(at), np.int64)
+        np.add.at(n, where, pairs[:, 1])
+        return pa.table({"piece": table["piece"][:1], "part": table["part"][:1], "n": [pack(np.stack([at, n], 1))]})
 
     mixers = [Mixer(), Mixer()]
-    for _ in range(STEPS):
-        for mixer, found in zip(mixers, fitted(mixers, "slopes")):
-            mixer.step(found)
-    for mixer, found in zip(mixers, fitted(mixers, "seen_by_cell")):
-        mixer.seen, mixer.ones = found[:, :MAP], found[:, MAP:]
-    counted.destroy()
-    model = spark.sparkContext.broadcast(([logs(t.reshape(-1, 2)) for t in tables], mixers))
+    cells = plain.mapInArrow(measure, form).groupBy("piece", "part").applyInArrow(joined, form).groupBy("piece").applyInArrow(joined, form)
+    counted = np.zeros((2, DEPTHS * WIDE ** 3 * 2), np.int64)
+    parts_of = [np.array_split(c, 64) for c in counted]  # views
+    for r in cells.select("piece", "n").collect():  # as many cells for any corpus
+        at, n = np.frombuffer(r["n"], np.int64).reshape(-1, 2).T
+        parts_of[r["piece"] // 64][r["piece"] % 64][at] = n
+    for mixer, c in zip(mixers, counted):
+        mixer.fit(c)
+    counts_of.destroy()
+    model = spark.sparkContext.broadcast((odds_of, mixers, [m.log10s().ravel() for m in mixers]))
 
     def judge(batches):
         rng = np.random.default_rng()
@@ -379,7 +459,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             n = batch.num_rows
             base, score_, known, count_ = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             held_out, size_ = np.zeros(n, bool), np.zeros(n, np.int64)
-            odds, mixers = model.value
+            odds, mixers, log10s = model.value
             vocab = shared.value
             log_count = np.append(np.log10(vocab.count + 0.1), 0.0)
             rows, owners = [], []
@@ -390,10 +470,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 held_out[here], size_[here] = held, nbytes
                 count_[here] = np.bincount(d, minlength=m)
                 base[here] = np.bincount(d, weights=log_count[symbols], minlength=m)
-                known[here] = np.bincount(d, weights=symbols < len(vocab.hash), minlength=m)
-                for k, doc, bit, slots, gate in decisions:
+                known[here] = np.bincount(d, weights=np.append(vocab.count > 0, False)[symbols], minlength=m)
+                for k, doc, times, bit, slots, gate in decisions:
                     x = [odds[3 * k + j][s] for j, s in enumerate(slots)]
-                    score_[here] += np.bincount(doc, weights=mixers[k].log10(x, gate, bit), minlength=m)
+                    each = np.add.reduceat(log10s[k][mixers[k].fine(x, gate, bit)], np.cumsum(times) - times, dtype=np.float64)
+                    score_[here] += np.bincount(doc, weights=each, minlength=m)
                 rare = symbols == len(vocab.hash)
                 rows.append(t[rare])
                 owners.append(first + d[rare])

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.learning import neighbours as N
@@ -55,3 +56,30 @@ def test_clustered_vectors_meet_few_blocks(spark, monkeypatch):
     assert result(got) == brute_force(train, query, 7)
     met = visits.selectExpr("sum(queries * points) AS pairs").head()["pairs"]
     assert met < 0.1 * len(train) * len(query)
+
+
+def test_queries_are_sent_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(N, "SENT", 50)
+    rng = np.random.default_rng(6)
+    pivots, query = rng.normal(0, 1, (40, 30)), rng.normal(0, 1, (60, 30))
+    cells = N._Cells(pivots, dict.fromkeys(range(40), 10), dict.fromkeys(range(40), 9.0), {}, 3)
+    batch = pa.RecordBatch.from_pydict({"q_key": np.arange(60), "q_vec": query.tolist(), "own_cell": np.zeros(60, np.int32),
+                                        "own_ring": np.zeros(60, np.int64), "radius": np.full(60, 99.0)})
+    sent = list(N._sent(batch, cells))
+    assert max(b.num_rows for b in sent) == 50
+    assert sorted((k, c) for b in sent for k, c in zip(b["q_key"].to_pylist(), b["cell"].to_pylist())) == [(k, c) for k in range(60) for c in range(1, 40)]
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_near_points_are_exact(shift):
+    rng = np.random.default_rng(7)
+    points = np.concatenate([rng.normal(0, 1, (300, 4)), np.zeros((40, 4)), rng.normal(0, 1e-7, (60, 4))]) + shift
+    points[5, 0] = np.nan
+    queries = np.concatenate([rng.normal(0, 1, (20, 4)), np.zeros((3, 4))]) + shift
+    for radius in (np.inf, 0.5):
+        q, p, d = N._near(queries, points, np.full(len(queries), radius), 7)
+        for i, x in enumerate(queries):
+            exact = np.sqrt(((points - x) ** 2).sum(axis=1))
+            best = [j for j in np.lexsort((np.arange(len(exact)), exact))[:7] if not exact[j] > radius]
+            inside = d[q == i] <= radius
+            assert p[q == i][inside].tolist() == best and d[q == i][inside].tolist() == exact[best].tolist()

@@ -5,7 +5,9 @@ Training points lie in cells of a few pivots, and a cell is cut into rings by th
 step a query meets only its own block; the k-th distance there, or a bound from the points nearest to each pivot if that
 is smaller, is its radius. In the second step it visits only the blocks that the triangle inequality (and the
 hyperplane between two pivots) cannot put beyond that radius. Crowded blocks are split by hash, queries of a block too,
-so neither a dense cell nor a large query set meets in one task, and each block sends on no more than k rows per query.
+so neither a dense cell nor a large query set meets in one task, and each block sends on no more than k rows per query,
+none beyond its radius. Within a block, distances by products leave out what is too far for certain; what is left is
+measured by differences. Queries are sent to blocks a few at a time, so a task's memory does not grow with their number.
 """
 
 from __future__ import annotations
@@ -13,20 +15,40 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
 PIVOTS = 128       # most cells; a fixed number, as rings follow the data
-BLOCK_ROWS = 4096  # training points of a block, and queries that meet it in one task
-AT_ONCE = 1 << 22  # numbers in one array of differences
+BLOCK_ROWS = 16384  # training points of a block, and queries that meet it in one task
+AT_ONCE = 1 << 20  # numbers in one array of differences
+STEP = 1000        # queries whose blocks are worked out together
+SENT = 16384       # rows in which queries are sent to blocks
 SLACK = 1e-9       # bounds are loosened by this share, so that rounding never excludes a neighbour
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """[rows, dimensions] of a column of number lists; a NULL number is not a number."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.unique(pc.list_value_length(column))
+    if len(lengths) > 1:
+        raise ValueError("the vectors have several lengths")
+    values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    return values.reshape(len(column), lengths[0].as_py() if len(lengths) else 0)
+
+
+def _beside(batch: pa.RecordBatch, **columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns.values())], [*batch.schema.names, *columns])
+
+
+def _steps(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, STEP):
+            yield batch.slice(i, STEP)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -70,22 +92,31 @@ class _Cells:
         return np.repeat(q, n), np.repeat(c, n), ring
 
 
+def _sent(batch: pa.RecordBatch, cells: _Cells):
+    """The queries of a batch for each block they visit but their own, ``SENT`` rows at a time."""
+    q, c, r = cells.visits(_distances(_matrix(batch["q_vec"]), cells.pivots), batch["radius"].to_numpy())
+    other = (c != batch["own_cell"].to_numpy()[q]) | (r != batch["own_ring"].to_numpy()[q])
+    q, c, r = q[other], c[other].astype(np.int32), r[other]
+    for i in range(0, len(q), SENT):
+        here = slice(i, i + SENT)
+        yield _beside(batch.select(["q_key", "q_vec", "radius"]).take(pa.array(q[here])), cell=c[here], ring=r[here])
+
+
 def _cells(train: DataFrame, vector: str, key: str, k: int) -> tuple[DataFrame, _Cells]:
     """Training points with cell and radius, written, and what is known of the cells."""
     # Any choice of pivots gives the same result; a hash order spreads them well enough.
     cells = min(PIVOTS, max(1, 4 * train.count() // BLOCK_ROWS))  # a cell of fewer points saves less than it costs
-    chosen = train.orderBy(F.xxhash64(key), key).limit(cells).select(vector).toPandas()
+    chosen = train.orderBy(F.xxhash64(key), key).limit(cells).select(vector).toArrow()
     pivots = np.unique(_matrix(chosen[vector]), axis=0)
     schema = train.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", cell int, radius double"
 
-    def assign(frames):
-        for frame in frames:
-            if len(frame):
-                d = _distances(_matrix(frame[vector]), pivots)
-                cell = d.argmin(axis=1)
-                yield frame.assign(cell=cell.astype(np.int32), radius=d[np.arange(len(d)), cell])
+    def assign(batches):
+        for batch in _steps(batches):
+            d = _distances(_matrix(batch[vector]), pivots)
+            cell = d.argmin(axis=1)
+            yield _beside(batch, cell=cell.astype(np.int32), radius=d[np.arange(len(d)), cell])
 
-    placed = materialize(train.mapInPandas(assign, schema), "cells")
+    placed = materialize(train.mapInArrow(assign, schema), "cells")
     sizes = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("far")).collect()}
     nearest = placed.selectExpr("cell", "radius", "row_number() OVER (PARTITION BY cell ORDER BY radius) AS place").where(f"place <= {k}")
     near = {r["cell"]: sorted(r["r"]) for r in nearest.groupBy("cell").agg(F.collect_list("radius").alias("r")).collect()}
@@ -113,51 +144,45 @@ def neighbours_and_visits(train: DataFrame, query: DataFrame, key: str, vector:
     # Rings by the same arithmetic as in the visits.
     rings = {name: np.asarray(x) for name, x in (("width", cells.width), ("rings", cells.rings))}
 
-    def ringed(frames):
-        for frame in frames:
-            c, r = frame["cell"].to_numpy(), frame["radius"].to_numpy()
-            yield frame.assign(ring=np.clip(np.floor(r / rings["width"][c]).astype(np.int64), 0, rings["rings"][c] - 1)).drop(columns="radius")
+    def ringed(batches):
+        for batch in batches:
+            c, r = batch["cell"].to_numpy(), batch["radius"].to_numpy()
+            yield _beside(batch.drop_columns(["radius"]), ring=np.clip(np.floor(r / rings["width"][c]).astype(np.int64), 0, rings["rings"][c] - 1))
 
-    points = materialize(placed.mapInPandas(ringed, f"t_key {types['t_key']}, t_vec {types['t_vec']}, t_carry {types['t_carry']}, cell int, ring long"), "points")
+    points = materialize(placed.mapInArrow(ringed, f"t_key {types['t_key']}, t_vec {types['t_vec']}, t_carry {types['t_carry']}, cell int, ring long"), "points")
     sizes = points.groupBy("cell", "ring").agg(F.count("*").alias("points"))
     sizes = materialize(sizes.withColumn("splits", F.ceil(F.col("points") / BLOCK_ROWS).cast("int")), "blocks")
     shares = max(1, math.ceil(n_query / BLOCK_ROWS))
 
-    def home(frames):
-        for frame in frames:
-            if len(frame):
-                d = _distances(_matrix(frame["q_vec"]), cells.pivots)
-                cell = np.where(cells.filled[None], d, np.inf).argmin(axis=1)
-                yield frame.assign(cell=cell.astype(np.int32), ring=cells.ring(cell, d[np.arange(len(d)), cell]), bound=cells.bound(d))
+    def home(batches):
+        for batch in _steps(batches):
+            d = _distances(_matrix(batch["q_vec"]), cells.pivots)
+            cell = np.where(cells.filled[None], d, np.inf).argmin(axis=1)
+            yield _beside(batch, cell=cell.astype(np.int32), ring=cells.ring(cell, d[np.arange(len(d)), cell]), radius=cells.bound(d))
 
-    at_home = materialize(query.mapInPandas(home, f"q_key {types['q_key']}, q_vec {types['q_vec']}, cell int, ring long, bound double"), "queries")
+    at_home = materialize(query.mapInArrow(home, f"q_key {types['q_key']}, q_vec {types['q_vec']}, cell int, ring long, radius double"), "queries")
 
     def met(asked: DataFrame) -> DataFrame:
-        """The k best of each split of each block that is asked."""
+        """The k best of each split of each block that is asked, none beyond the query's radius."""
         share = F.pmod(F.xxhash64("q_key"), F.lit(shares)).cast("int")
         left = asked.withColumn("share", share).join(sizes.select("cell", "ring", "splits"), ["cell", "ring"]).select(
-            "cell", "ring", "share", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), "q_key", "q_vec")
+            "cell", "ring", "share", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), "q_key", "q_vec", "radius")
         wanted = asked.select("cell", "ring", share.alias("share")).distinct()
         right = points.join(sizes.select("cell", "ring", "splits"), ["cell", "ring"]).join(wanted, ["cell", "ring"]).select(
             "cell", "ring", "share", F.pmod(F.xxhash64("t_key"), F.col("splits")).cast("int").alias("split"), "t_key", "t_vec", "t_carry")
         block = ["cell", "ring", "share", "split"]
-        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(_best(k), found_schema)
+        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(_best(k), found_schema)
 
     first = materialize(met(at_home), "home")
     ranked = first.selectExpr("q_key", "distance", "row_number() OVER (PARTITION BY q_key ORDER BY distance) AS place").where(f"place = {k}")
     radius = at_home.join(ranked.select(F.col("q_key").alias("__k"), "distance"), F.col("q_key") == F.col("__k"), "left").select(
-        "q_key", "q_vec", F.col("cell").alias("own_cell"), F.col("ring").alias("own_ring"), F.least("bound", F.coalesce("distance", "bound")).alias("radius"))
-
-    def route(frames):
-        for frame in frames:
-            if len(frame):
-                d = _distances(_matrix(frame["q_vec"]), cells.pivots)
-                q, c, r = cells.visits(d, frame["radius"].to_numpy())
-                other = (c != frame["own_cell"].to_numpy()[q]) | (r != frame["own_ring"].to_numpy()[q])
-                rows = frame.iloc[q[other]][["q_key", "q_vec"]]
-                yield rows.assign(cell=c[other].astype(np.int32), ring=r[other])
-
-    routed = materialize(radius.mapInPandas(route, f"q_key {types['q_key']}, q_vec {types['q_vec']}, cell int, ring long"), "routes")
+        "q_key", "q_vec", F.col("cell").alias("own_cell"), F.col("ring").alias("own_ring"), F.least("radius", F.coalesce("distance", "radius")).alias("radius"))
+
+    def route(batches):
+        for batch in _steps(batches):
+            yield from _sent(batch, cells)
+
+    routed = materialize(radius.mapInArrow(route, f"q_key {types['q_key']}, q_vec {types['q_vec']}, radius double, cell int, ring long"), "routes")
     local = first.unionByName(met(routed))
     # At most k rows per block remain for each query.
     out = local.selectExpr("*", "row_number() OVER (PARTITION BY q_key ORDER BY distance, t_key) AS place").where(f"place <= {k}")
@@ -166,23 +191,43 @@ def neighbours_and_visits(train: DataFrame, query: DataFrame, key: str, vector:
         sizes, ["cell", "ring"]).select("cell", "ring", "queries", "points")
 
 
-def _best(k: int):
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q_key": left["q_key"][:0], "t_key": right["t_key"][:0], "t_carry": right["t_carry"][:0], "distance": np.array([], dtype=float)})
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values("t_key")
-        points, queries = _matrix(right["t_vec"]), _matrix(left["q_vec"])
-        keys, carried, names = right["t_key"].to_numpy(), right["t_carry"].to_numpy(), left["q_key"].to_numpy()
-        out = [empty]
-        step = max(1, AT_ONCE // max(1, points.size))
+def _near(queries: np.ndarray, points: np.ndarray, radius: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance) of the k nearest points of each query within its radius, equal ones in the points' order."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    with np.errstate(invalid="ignore", over="ignore"):
+        finite = np.isfinite(points).all(axis=1)
+        middle = points[finite].mean(axis=0) if finite.any() else np.zeros(points.shape[1])
+        y = points - middle
+        yy = (y * y).sum(axis=1)
+        step = max(1, AT_ONCE // max(1, len(points)))
         for i in range(0, len(queries), step):
-            d = _distances(queries[i: i + step], points)
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]  # points come in key order, so ties do too
-            out.append(pd.DataFrame({
-                "q_key": np.repeat(names[i: i + step], near.shape[1]), "t_key": keys[near].ravel(), "t_carry": carried[near].ravel(),
-                "distance": np.take_along_axis(d, near, 1).ravel()}))
-        return pd.concat(out, ignore_index=True)
+            x = queries[i: i + step] - middle
+            xx = (x * x).sum(axis=1)
+            rough = xx[:, None] + yy[None] - 2 * (x @ y.T)
+            # Rounding of centring, products and sums stays far below this share of the largest squares.
+            slack = 1e-12 * (points.shape[1] + 8) * (xx + yy[finite].max(initial=0) + (middle * middle).sum())
+            most = (radius[i: i + step] * (1 + SLACK) + SLACK) ** 2
+            if rough.shape[1] > k:
+                most = np.fmin(most, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+            q, p = np.nonzero(~(rough > (most + slack)[:, None]))  # what is not a number is not left out
+            wide = max(1, AT_ONCE // max(1, points.shape[1]))
+            d = np.concatenate([np.zeros(0), *(np.sqrt(((queries[i + q[j: j + wide]] - points[p[j: j + wide]]) ** 2).sum(axis=1)) for j in range(0, len(q), wide))])
+            order = np.lexsort((p, d, q))
+            q, p, d = q[order], p[order], d[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append((i + q[keep], p[keep], d[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _best(k: int):
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right["t_key"]))  # so that equal distances go by key
+        if left.num_rows and right.num_rows:
+            q, p, d = _near(_matrix(left["q_vec"]), _matrix(right["t_vec"]), left["radius"].to_numpy(), k)
+        else:
+            q, p, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return pa.table({"q_key": left["q_key"].take(pa.array(q)), "t_key": right["t_key"].take(pa.array(p)),
+                         "t_carry": right["t_carry"].take(pa.array(p)), "distance": d})
 
     return best
 

@@ -147,3 +147,10 @@ def test_tokens_of_one_name_share_a_column(spark):
     assert top == {**got, 5: (None, None)}
     one = {r["id"]: (r["l_cafe"], r["l_tea"]) for r in df.selectExpr("id", *E.onehot_sql("l", words)).collect()}
     assert one == {1: (0, 0), 2: (1, 0), 3: (0, 1), 4: (0, 0), 5: (0, 0)}
+
+
+def test_letters_are_replaced_once_and_many_kinds_fold_alike(spark):
+    rows = [("".join(chr(c) for c in range(0xAC00, 0xAC00 + n)) + "Ångström ß中😀 æß ́",) for n in (0, 40, 90)] + [("中文ß",), ("😀",)]
+    df = spark.createDataFrame(rows, "s string").select("s", X.ascii_fold(F.col("s")).alias("f"))
+    assert all(r["f"] == letters.fold(r["s"]) for r in df.collect())
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1

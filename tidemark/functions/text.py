@@ -24,6 +24,7 @@ def _one_to_one() -> tuple[str, str]:
 
 _MARKED, _PLAIN = _one_to_one()
 _LONGER = {ch: to for ch, to in letters.TABLE.items() if len(to) > 1}
+REPLACED = 64  # different letters that are replaced one after the other in a text
 
 
 def _spelt(letter: Column) -> Column:
@@ -37,15 +38,28 @@ def _spelt(letter: Column) -> Column:
     return F.when(letter.between(*letters.HANGUL), hangul).otherwise(F.coalesce(F.try_element_at(names, letter), letter))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _spelt_out(text: Column) -> Column:
+    """Letters that take several: each that occurs is replaced in the whole text; of texts with many, letter by letter."""
+    found = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), ""))
+    found = F.filter(found, lambda letter: letter.between(*letters.HANGUL) | letter.isin(list(_LONGER)))
+    few = lambda found: F.aggregate(found, text, lambda out, letter: F.replace(out, letter, _spelt(letter)))
+    many = F.array_join(F.transform(F.split(text, ""), _spelt), "")
+    return _once(found, lambda found: F.when(F.size(found) <= REPLACED, few(found)).otherwise(many))
+
+
 def ascii_fold(text: Column) -> Column:
     """Text with Latin, Greek, Cyrillic, kana and Hangul letters in ASCII (see ``letters``), on the JVM.
 
-    Plain ASCII is passed on as it is, and only texts with letters that take several are taken apart. NULL stays.
+    Plain ASCII is passed on as it is, and so is what is plain once single letters are replaced. NULL stays.
     """
-    out = F.translate(text, _MARKED, _PLAIN)
-    longer = f"[{''.join(_LONGER)}{'-'.join(letters.HANGUL)}]"
-    spelt = F.array_join(F.transform(F.split(out, ""), _spelt), "")
-    return F.when(F.octet_length(text) == F.char_length(text), text).when(out.rlike(longer), spelt).otherwise(out)
+    plain = lambda x: F.octet_length(x) == F.char_length(x)
+    out = _once(F.translate(text, _MARKED, _PLAIN), lambda x: F.when(plain(x), x).otherwise(_spelt_out(x)))
+    return F.when(plain(text), text).otherwise(out)
 
 
 @F.pandas_udf(T.StringType())

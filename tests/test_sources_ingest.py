@@ -105,3 +105,11 @@ def test_typed_paths_through_lists(spark):
     assert sorted(r["x"] for r in out["mixed"].collect()) == ["1.5", "2.5", "3.5", "t"]
     with pytest.raises(ValueError, match="no path 'a.b.z'"):
         N.normalize_documents(docs, "doc", {"a.b.z": "cs.z"}, keys, strict=True)
+
+
+def test_typed_documents_are_parsed_once(spark):
+    """All relations read the written documents; each parsed them anew before."""
+    from tidemark.plans.registry import QUERIES
+
+    plan = QUERIES["doc_normalize_typed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "lineitem" not in plan

@@ -8,7 +8,7 @@ from tidemark.functions import text as X
 from tidemark.operators import ingest as N
 from tidemark.operators.relate import append_evolving
 from tidemark.plans.registry import query
-from tidemark.session import scratch_dir
+from tidemark.session import materialize, scratch_dir
 from tidemark.sources import files as S
 
 
@@ -101,7 +101,8 @@ def order_documents(t):
     UNION ALL SELECT 'prices', l_orderkey, l_extendedprice, NULL, NULL, NULL, NULL FROM l
     UNION ALL SELECT 'flags', l_orderkey, NULL, NULL, NULL, unnest([l_returnflag, l_linestatus]), NULL FROM l""")
 def doc_normalize_typed(t):
-    r = N.normalize_documents(order_documents(t), "doc", _ORDER_MAPPING, _ORDER_KEYS, typed=True)
+    documents = materialize(order_documents(t), "documents")  # each relation reads them again
+    r = N.normalize_documents(documents, "doc", _ORDER_MAPPING, _ORDER_KEYS, typed=True)
     r |= {"orders": r["orders"].withColumnRenamed("total", "price"), "flags": r["flags"].withColumnRenamed("flag", "status")}
     return append_evolving([r[name].withColumn("relation", F.lit(name)) for name in ("orders", "lines", "prices", "flags")])
 

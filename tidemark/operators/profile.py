@@ -97,7 +97,7 @@ def snapshot_dictionary(snapshot: Mapping[str, DataFrame]) -> DataFrame:
     the second (ties to the smallest text). The columns of all relations are stacked and then described together, so the
     number of shuffles does not grow with the number of columns or relations. An empty column has count 0 and NULLs.
     """
-    moments, numbers, values, types = [], [], [], []
+    moments, numbers, values, types, places = [], [], [], [], []
     for relation, df in snapshot.items():
         numeric = {f.name: x for f in df.schema.fields if (x := _as_number(f))}
         text = {f.name: _as_text(f) for f in df.schema.fields if f.name not in numeric}
@@ -105,7 +105,10 @@ def snapshot_dictionary(snapshot: Mapping[str, DataFrame]) -> DataFrame:
         if numeric:
             one = df.selectExpr(*[f"{x} AS `{c}`" for c, x in numeric.items()])
             moments.append(numeric_moments(one, list(numeric)).withColumn("relation", F.lit(relation)))
-            numbers.append(melt(one, [], list(numeric)).withColumn("relation", F.lit(relation)))
+            # The columns go by numbers, not by names, while their many rows are counted.
+            at = {f"{len(places) + i}": c for i, c in enumerate(numeric)}
+            places += [(int(i), relation, c) for i, c in at.items()]
+            numbers.append(melt(one.selectExpr(*[f"`{c}` AS `{i}`" for i, c in at.items()]), [], list(at), "at").withColumn("at", F.col("at").cast("int")))
         if text:
             values.append(df.selectExpr(*[f"{x} AS `{c}`" for c, x in text.items()]).unpivot([], list(text), "column", "value").withColumn("relation", F.lit(relation)))
             # A row for each column, so that one of an empty relation has its line.
@@ -114,7 +117,8 @@ def snapshot_dictionary(snapshot: Mapping[str, DataFrame]) -> DataFrame:
     out = None
     if numbers:
         m = _stacked(moments)
-        q = exact_quantiles(_stacked(numbers), place, "value", (0.25, 0.5, 0.75))
+        q = exact_quantiles(_stacked(numbers), ["at"], "value", (0.25, 0.5, 0.75))
+        q = q.join(F.broadcast(m.sparkSession.createDataFrame(places, "at int, relation string, column string")), "at").drop("at")
         k = add_normality(m.select(*place, "n", "g1", "g2")).select(*place, "k2", "p_value")
         out = m.join(q, place, "left").join(k, place, "left").selectExpr(
             *place, "n AS count", "missing", "mean", "std", "min", "p25", "p50", "p75", "max",

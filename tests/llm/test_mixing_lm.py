@@ -77,3 +77,12 @@ def test_words_beyond_the_vocabulary_count(spark, monkeypatch):
         base = sum(math.log10((n[w] + 0.1) / (total + 0.1 * (len(n) + 1))) for w in words[r.doc_id])
         assert abs(r.base_score - base) < 1e-6 and r.n_known == sum(n[w] > 0 for w in words[r.doc_id]) and r.train_tokens == total
         assert r.n_tokens == len(words[r.doc_id]) and -1000 < r.score < -0.1 * (r.n_tokens - 4)
+
+
+def test_few_counts_are_sent_without_the_empty_slots():
+    n = np.zeros(1000, np.uint32)
+    n[[3, 999]] = 7, 1 << 31
+    at, some = mixing_lm.sparse(n)
+    assert np.frombuffer(at, np.uint32).tolist() == [3, 999] and np.frombuffer(some, np.int64).tolist() == [7, 1 << 31]
+    at, every = mixing_lm.sparse(n + 1)
+    assert at is None and np.array_equal(np.frombuffer(every, np.int64), n.astype(np.int64) + 1)

@@ -236,6 +236,14 @@ def few(n: np.ndarray) -> np.ndarray:
     return n[..., 0] | n[..., 1] << 8
 
 
+def sparse(n: np.ndarray) -> tuple[bytes | None, bytes]:
+    """(places, counts at them) of what is not 0, or (None, all counts) if that is shorter."""
+    at = np.flatnonzero(n)
+    if 12 * len(at) < 8 * len(n):
+        return pack(at.astype(np.uint32)), pack(n[at].astype(np.int64))
+    return None, pack(n.astype(np.int64))
+
+
 def logs(n: np.ndarray) -> np.ndarray:
     """Log odds of rows of both outcomes' counts."""
     return np.log((n[..., 1] + np.float32(0.4)) / (n[..., 0] + np.float32(0.4))).astype(np.float32)
@@ -387,15 +395,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                         np.add.at(tables[3 * k + j], s * 2 + bit, np.uint32(1))
         task = TaskContext.get().partitionId()
         for i, t in enumerate(tables):
+            at, n = zip(*(sparse(x.ravel()) for x in np.array_split(t.reshape(-1, 2), 64)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(64) + i * 64), pa.array(np.full(64, task // some)),
-                pa.array([pack(x.astype(np.int64)) for x in np.array_split(t.reshape(-1, 2), 64)], pa.binary())], ["piece", "part", "n"])
+                pa.array(np.arange(64) + i * 64), pa.array(np.full(64, task // some)), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["piece", "part", "at", "n"])
 
     def total_of(table: pa.Table) -> np.ndarray:
-        return sum((np.frombuffer(x.as_buffer(), np.int64) for x in table["n"]), np.int64(0))
+        i, j = divmod(table["piece"][0].as_py(), 64)
+        total = np.zeros(2 * (sizes[i] // 64 + (j < sizes[i] % 64)), np.int64)
+        for at, n in zip(table["at"], table["n"]):
+            total[np.frombuffer(at.as_buffer(), np.uint32) if at.is_valid else slice(None)] += np.frombuffer(n.as_buffer(), np.int64)
+        return total
 
     def added(table: pa.Table) -> pa.Table:
-        return pa.table({"piece": table["piece"][:1], "part": table["part"][:1], "n": [pack(total_of(table))]})
+        at, n = sparse(total_of(table))
+        return pa.table({"piece": table["piece"][:1], "part": table["part"][:1], "at": pa.array([at], pa.binary()), "n": pa.array([n], pa.binary())})
 
     def learned(table: pa.Table) -> pa.Table:
         n = total_of(table).reshape(-1, 2)
@@ -404,7 +417,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     # Tables of the tasks are added in two steps, so that no group grows with more than the root of their number.
     some = max(1, int((size // SPLIT_BYTES + 1) ** 0.5))
     form = "piece long, part long, n binary"
-    partly = plain.mapInArrow(gather, form).groupBy("piece", "part").applyInArrow(added, form)
+    table_form = "piece long, part long, at binary, n binary"
+    partly = plain.mapInArrow(gather, table_form).groupBy("piece", "part").applyInArrow(added, table_form)
     pieces = {r["piece"]: r for r in partly.groupBy("piece").applyInArrow(learned, "piece long, odds binary, few binary, levels binary").collect()}  # as large for any corpus
 
     def whole(name, kind):

@@ -80,9 +80,11 @@ def test_words_beyond_the_vocabulary_count(spark, monkeypatch):
 
 
 def test_few_counts_are_sent_without_the_empty_slots():
-    n = np.zeros(1000, np.uint32)
-    n[[3, 999]] = 7, 1 << 31
-    at, some = mixing_lm.sparse(n)
-    assert np.frombuffer(at, np.uint32).tolist() == [3, 999] and np.frombuffer(some, np.int64).tolist() == [7, 1 << 31]
-    at, every = mixing_lm.sparse(n + 1)
-    assert at is None and np.array_equal(np.frombuffer(every, np.int64), n.astype(np.int64) + 1)
+    few = np.zeros(1000, np.uint32)
+    few[[3, 999]] = 7, 200
+    large, full, none = few.astype(np.int64) << 40, np.arange(1000), np.zeros(1000, np.uint32)
+    for n, size in ((few, 6), (large, 20), (full, 2000), (none, 0)):
+        at, counts = mixing_lm.sparse(n)
+        total = np.ones(1000, np.int64)
+        mixing_lm.add_sparse(total, at, counts)
+        assert len(at or b"") + len(counts) == size and np.array_equal(total, n.astype(np.int64) + 1)

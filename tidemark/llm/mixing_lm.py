@@ -237,11 +237,20 @@ def few(n: np.ndarray) -> np.ndarray:
 
 
 def sparse(n: np.ndarray) -> tuple[bytes | None, bytes]:
-    """(places, counts at them) of what is not 0, or (None, all counts) if that is shorter."""
+    """(places, counts at them) of what is not 0 in a piece of a table, or (None, all counts) if that is shorter. Counts
+    take as few bytes each as the largest one needs; a piece has fewer than 65,536 counts."""
+    kind = np.min_scalar_type(int(n.max(initial=0)))
     at = np.flatnonzero(n)
-    if 12 * len(at) < 8 * len(n):
-        return pack(at.astype(np.uint32)), pack(n[at].astype(np.int64))
-    return None, pack(n.astype(np.int64))
+    if (2 + kind.itemsize) * len(at) < kind.itemsize * len(n):
+        return pack(at.astype(np.uint16)), pack(n[at].astype(kind))
+    return None, pack(n.astype(kind))
+
+
+def add_sparse(total: np.ndarray, at: bytes | None, n: bytes) -> None:
+    where = slice(None) if at is None else np.frombuffer(at, np.uint16)
+    places = len(total) if at is None else len(where)
+    if places:
+        total[where] += np.frombuffer(n, f"u{len(n) // places}").astype(np.int64)
 
 
 def logs(n: np.ndarray) -> np.ndarray:
@@ -403,7 +412,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         i, j = divmod(table["piece"][0].as_py(), 64)
         total = np.zeros(2 * (sizes[i] // 64 + (j < sizes[i] % 64)), np.int64)
         for at, n in zip(table["at"], table["n"]):
-            total[np.frombuffer(at.as_buffer(), np.uint32) if at.is_valid else slice(None)] += np.frombuffer(n.as_buffer(), np.int64)
+            add_sparse(total, at.as_py(), n.as_py())
         return total
 
     def added(table: pa.Table) -> pa.Table:

@@ -88,3 +88,37 @@ def test_few_counts_are_sent_without_the_empty_slots():
         total = np.ones(1000, np.int64)
         mixing_lm.add_sparse(total, at, counts)
         assert len(at or b"") + len(counts) == size and np.array_equal(total, n.astype(np.int64) + 1)
+
+
+def test_decisions_go_depth_by_depth(monkeypatch):
+    """All decisions of one depth are worked on together, with one gate for all; sums are those of one token after the other."""
+    words, vocab, tables = counted(["a b a c", "b a b a x1 x1 yy", "", "a b zz"] + ["q w"] * 30)
+    t, d, symbols, _ = mixing_lm.decided(words, np.ones(34, bool), vocab)
+    asked = np.concatenate([t, np.array([0, 1 << 63, (1 << 64) - 1], np.uint64)])
+    at = np.searchsorted(vocab.hash, asked).clip(max=len(vocab.hash) - 1)
+    assert np.array_equal(vocab.symbols(asked), np.where(vocab.hash[at] == asked, at, len(vocab.hash)))
+    every = [(words, np.arange(34) % 2 == 0), (words, np.arange(34) % 2 == 1)]
+    assert all(np.array_equal(a, b.ravel()) for a, b in zip(mixing_lm.counted_decisions(every, vocab), tables))
+    # Codes, read off one token at a time.
+    code, found = vocab.code, Counter()
+    for s in symbols:
+        for i in range(code.length[s]):
+            found[divmod(int(code.steps[code.start[s] + i]), 2)] += 1
+    assert all(n == tables[0][node, bit] for (node, bit), n in found.items()) and sum(found.values()) == tables[0].sum()
+    odds = [mixing_lm.logs(x) for x in tables]
+    mixers = [mixing_lm.Mixer(), mixing_lm.Mixer()]
+    rng = np.random.default_rng(1)
+    for m in mixers:
+        m.weights += rng.normal(0, 0.3, m.weights.shape).astype(np.float32)
+    log10s = [m.log10s() for m in mixers]
+    wanted = np.zeros(34)
+    for k, doc, depth, bit, slots, gate in mixing_lm.decided(words, np.ones(34, bool), vocab)[3]:
+        assert np.ndim(gate) == 0 and gate == (depth if k else min(depth // 2, mixing_lm.DEPTHS - 1)) and len(doc) == len(bit)
+        x = [odds[3 * k + j][s] for j, s in enumerate(slots)]
+        gates = mixers[k].gates(np.full(len(doc), gate), x)
+        cell = np.rint((mixers[k].odds(x, gates) + 12) * mixing_lm.FINE).astype(int)
+        np.add.at(wanted, doc, log10s[k][gates, cell, bit])
+    for piece in (3, 16_000):
+        monkeypatch.setattr(mixing_lm, "PIECE", piece)
+        got = mixing_lm.summed_scores(mixing_lm.decided(words, np.ones(34, bool), vocab)[3], odds, mixers, [x.ravel() for x in log10s], 34)
+        assert np.allclose(got, wanted, rtol=1e-12) and (got < 0).all()

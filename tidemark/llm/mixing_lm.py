@@ -4,7 +4,8 @@ A text is coded in binary decisions. The most frequent ``WORDS`` words of the tr
 a document have Huffman codes; a word after an escape is spelt byte by byte, eight decisions each, with an end byte.
 Three predictors see each decision: for words the place in the code alone, with the word before, and with the word before
 that; for bytes the place in the byte with the two, three and five bytes before. Contexts are hashed into ``1 << BITS``
-slots that hold the counts of both outcomes over all training documents. The predictors' log odds are combined by weights
+slots that hold the counts of both outcomes over all training documents; those of up to ``NEAR`` depths of one context lie
+in one row of memory, in an order by the hash. Decisions are worked on depth by depth. The predictors' log odds are combined by weights
 that a gate picks (depth of the decision, and which contexts are new), and the result is refined by a map from predicted
 to seen probabilities. Weights and map are fitted on all training documents, with each document's own counts left out
 (in slots with up to 254 of each outcome; in larger ones they are next to nothing): one pass counts all
@@ -40,6 +41,7 @@ END = np.uint64(0xE17D0000E17D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD1342543DE82EF95)
 STRIDE = np.uint64(int(STEP) * int(SPREAD) % (1 << 64))
+NEAR = 4  # depths whose slots of one context are side by side
 DEPTHS = 8
 GATES = DEPTHS * 4
 MAP = 33
@@ -49,7 +51,8 @@ FEW = 255
 LONG = 2_000_000  # bytes of a document whose own counts are in tables, not sorted
 LEVELS = 20  # of log odds above 0, finer near 0, as many below, and one of contexts that are new
 WIDE = 2 * LEVELS + 1
-PIECE = 8_000  # tokens, or bytes of spelt words, whose decisions are in memory together
+SIZES = (None, *[1 << BITS] * 5)  # of the predictors' tables; None: one for each node
+PIECE = 16_000  # tokens, or bytes of spelt words, whose decisions are in memory together
 ORDERS = (2, 3, 5)  # bytes before that the predictors of spelt bytes see
 
 
@@ -66,7 +69,7 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Code:
-    """Huffman codes of symbols: for each the nodes passed and the bits taken."""
+    """Huffman codes of symbols: for each the nodes passed and the bits taken, as twice the node and the bit."""
 
     def __init__(self, counts: np.ndarray):
         n = len(counts)
@@ -90,29 +93,46 @@ class Code:
         used = nodes >= 0
         self.length = used.sum(axis=1)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        self.nodes, self.bits = nodes[used].astype(np.int32), bits[used]
-        self.depths = np.minimum((np.arange(len(self.bits)) - np.repeat(self.start, self.length)) // 2, DEPTHS - 1).astype(np.int8)
-
-    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of decisions of each symbol, places of all their decisions in the codes)."""
-        n = self.length[symbols]
-        return n, np.repeat(self.start[symbols] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        self.steps = (nodes[used] * 2 + bits[used]).astype(np.int32)
+        self.rank = np.empty(n, np.int32)  # of the symbols by length, the longest first
+        self.rank[np.argsort(-self.length, kind="stable")] = np.arange(n)
 
 
 def slot(context: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Slots of places in contexts, both multiplied with ``SPREAD``."""
-    return (context + place >> np.uint64(64 - BITS)).astype(np.int64)
+    """Slots of places in contexts, both multiplied with ``SPREAD``; the next ``NEAR`` - 1 depths' are in the same row of memory."""
+    at = context + place
+    at >>= np.uint64(64 - BITS)
+    return at.view(np.int64)
+
+
+def aligned(x: np.ndarray) -> np.ndarray:
+    """A copy that begins with a row of memory."""
+    room = np.empty(x.nbytes + 64, np.uint8)
+    out = room[-room.ctypes.data % 64:][: x.nbytes].view(x.dtype)
+    out[:] = x
+    return out
 
 
 class Vocabulary:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, rest: int):
         order = np.argsort(hashes)
         self.hash, self.count = hashes[order], counts[order]
+        # Where the hashes with the same first bits begin, one or two for every word.
+        self.shift = np.uint64(64 - len(hashes).bit_length())
+        self.begin = np.searchsorted(self.hash, np.arange(1 << 64 - int(self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
         self.code = Code(np.maximum(np.append(self.count, rest), 1))  # the last symbol is the escape
 
     def symbols(self, t: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hash, t), len(self.hash) - 1)
-        return np.where(self.hash[at] == t, at, len(self.hash))
+        at = np.minimum(self.begin[t >> self.shift], len(self.hash) - 1).astype(np.int64)
+        found = self.hash[at]
+        late = np.flatnonzero(found < t)
+        while len(late):
+            at[late] += 1
+            late = late[at[late] < len(self.hash)]
+            found[late] = self.hash[at[late]]
+            late = late[found[late] < t[late]]
+        at[found != t] = len(self.hash)
+        return at
 
     def contexts(self, t: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, hashes of the word before, hashes of the one before that) of all tokens."""
@@ -123,19 +143,28 @@ class Vocabulary:
         return self.symbols(t), mix(one), mix(two + np.uint64(77))
 
     def word_decisions(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray):
-        """(decisions of each token, bit, slots of the three predictors, gate)."""
-        n, at = self.code.decisions(symbols)
-        node = self.code.nodes[at]
-        place = node.astype(np.uint64) * STRIDE
-        return n, self.code.bits[at], (node, slot(np.repeat(one * SPREAD, n), place), slot(np.repeat(two * SPREAD, n), place)), self.code.depths[at]
+        """For each depth in the codes (number of tokens that are as deep, bit, slots of the three predictors). Tokens come by rank,
+        so that those as deep are the first ones; ``one`` and ``two`` are multiplied with ``SPREAD``."""
+        start, length = self.code.start[symbols], self.code.length[symbols]
+        for depth, n in enumerate(np.searchsorted(-length, -np.arange(length[0])).tolist()):
+            step = self.code.steps[start[:n] + depth].astype(np.int64)
+            node = step >> 1
+            if depth % NEAR:
+                path = path[:n] << 1
+                path |= bit[:n]
+            else:
+                place = node.astype(np.uint64) * STRIDE
+                first, second, path = slot(one[:n], place), slot(two[:n], place), np.ones(n, np.int64)
+            bit = step & 1
+            yield n, bit, (node, first[:n] ^ path, second[:n] ^ path)
 
 
-LEVEL = np.arange(8)
+NODE = np.arange(256, dtype=np.uint64) * STRIDE
 
 
 def spelling(words: Words, which: np.ndarray, ends: np.ndarray, a: int, b: int):
-    """Decisions of bytes a..b of the spelt words, one after the other, each with an end byte: (word's place in ``which``
-    of each byte, decisions of each byte, bit, slots of the three predictors, gate). ``ends`` are the words' ends in that row of bytes."""
+    """Bytes a..b of the spelt words, one after the other, each with an end byte: (word's place in ``which`` of each byte, byte,
+    contexts of the three predictors). ``ends`` are the words' ends in that row of bytes."""
     place = np.arange(a, b)
     owner = np.searchsorted(ends, place, "right")
     begin = words.start[which]
@@ -144,19 +173,15 @@ def spelling(words: Words, which: np.ndarray, ends: np.ndarray, a: int, b: int):
     begin = begin[owner]
     byte = np.where(at == n[owner] - 1, 32, words.bytes[np.minimum(begin + at, len(words.bytes) - 1)]).astype(np.int64)
     prior = [np.where(at >= k, words.bytes[np.maximum(begin + at - k, 0)], 0).astype(np.int64) for k in range(1, 6)]
-    node = (1 << LEVEL) | (byte[:, None] >> (8 - LEVEL))
-    bit = ((byte[:, None] >> (7 - LEVEL)) & 1).ravel().astype(np.uint8)
     # The bytes before, most recent first, as one number for each order.
     upto = np.cumsum([x << (8 * i) for i, x in enumerate(prior)], axis=0)
-    contexts = [mix((upto[k - 1] + (k << 48)).astype(np.uint64)) * SPREAD for k in ORDERS]
-    node = node.astype(np.uint64) * STRIDE
-    return owner, np.full(len(byte), 8), bit, tuple(slot(c[:, None], node).ravel() for c in contexts), np.tile(LEVEL.astype(np.int8), len(byte))
+    return owner, byte, [mix((upto[k - 1] + (k << 48)).astype(np.uint64)) * SPREAD for k in ORDERS]
 
 
 def decided(words: Words, chosen: np.ndarray, vocab: Vocabulary):
     """Tokens of the chosen documents of a chunk, their documents and symbols, and an iterator over their decisions:
-    (0 for words or 1 for spelt bytes, document of each token or byte, decisions of each, bit, slots of the three predictors, gate),
-    ``PIECE`` tokens or bytes at a time."""
+    (0 for words or 1 for spelt bytes, document of each decision, depth, bit, slots of the three predictors, gate), all of one
+    depth of ``PIECE`` tokens or bytes at a time; those of depth 0 come first and with the deeper ones' tokens in front."""
     t, d = tokens(words)
     word_at = np.insert(np.arange(len(words.hash)), words.first[1:], -1)
     if not chosen.all():
@@ -166,17 +191,27 @@ def decided(words: Words, chosen: np.ndarray, vocab: Vocabulary):
     rare = np.flatnonzero((symbols == len(vocab.hash)) & (word_at >= 0))
 
     def pieces():
+        order = np.argsort(vocab.code.rank[symbols])
         for i in range(0, len(t), PIECE):
-            here = slice(i, i + PIECE)
-            yield 0, d[here], *vocab.word_decisions(symbols[here], one[here], two[here])
+            here = order[i: i + PIECE]
+            document = d[here]
+            for depth, (n, bit, slots) in enumerate(vocab.word_decisions(symbols[here], one[here] * SPREAD, two[here] * SPREAD)):
+                yield 0, document[:n], depth, bit, slots, min(depth // 2, DEPTHS - 1)
         which = word_at[rare]
         ends = np.cumsum(words.end[which] - words.start[which] + 1)
         for i in range(0, int(ends[-1]) if len(ends) else 0, PIECE):
             # Only the words that these bytes belong to.
             j, k = np.searchsorted(ends, [i, min(i + PIECE, ends[-1]) - 1], "right")
             before = int(ends[j - 1]) if j else 0
-            owner, *rest = spelling(words, which[j: k + 1], ends[j: k + 1] - before, i - before, min(i + PIECE, int(ends[-1])) - before)
-            yield 1, d[rare[j: k + 1]][owner], *rest
+            owner, byte, contexts = spelling(words, which[j: k + 1], ends[j: k + 1] - before, i - before, min(i + PIECE, int(ends[-1])) - before)
+            document = d[rare[j: k + 1]][owner]
+            for depth in range(8):
+                node = 1 << depth | byte >> 8 - depth
+                if depth % NEAR == 0:
+                    place = NODE[node]
+                    firsts = [slot(c, place) for c in contexts]
+                path = node & (1 << depth % NEAR) - 1 | 1 << depth % NEAR
+                yield 1, document, depth, byte >> 7 - depth & 1, tuple(f ^ path for f in firsts), depth
 
     return t, d, symbols, pieces()
 
@@ -189,14 +224,14 @@ def without_own(words: Words, chosen: np.ndarray, vocab: Vocabulary, known: list
     the level for each value of ``few``.
     """
     def pieces():
-        for k, doc, times, bit, slots, gate in decided(words, chosen, vocab)[3]:
-            doc = np.repeat(doc << BITS, times)
+        for k, doc, _, bit, slots, gate in decided(words, chosen, vocab)[3]:
             out = []
+            own = doc << BITS + 1 | bit
             for j, s in enumerate(slots):
                 x = known[3 * k + j][0][s]
                 at = np.flatnonzero(x == FEW)
-                out.append((3 * k + j, x, at, (doc[at] | s[at]) * 2 + bit[at]))
-            yield k, gate, bit, out
+                out.append((3 * k + j, x, at, own[at] | s[at] << 1))
+            yield k, gate, bit.astype(np.uint8), out
 
     if len(chosen) == 1 and len(words.bytes) > LONG:
         # One long document: two walks over its pieces.
@@ -215,14 +250,29 @@ def without_own(words: Words, chosen: np.ndarray, vocab: Vocabulary, known: list
         if not sum(len(o[2]) for o in here):
             continue
         at = np.concatenate([o[3] for o in here])
-        order = np.argsort(at)
-        ranked = at[order]
-        first = np.flatnonzero(np.diff(ranked >> 1, prepend=-1))  # of the decisions of one document at one slot
-        n = np.diff(first, append=len(ranked))
-        ones = np.add.reduceat(ranked & 1, first)
-        own = (n - ones) | ones << 8
+        places = len(at).bit_length()
+        if int(at.max()).bit_length() + places < 64:
+            # Numbers with their places sort faster than places by number.
+            ranked = at << places | np.arange(len(at))
+            ranked.sort()
+            order = ranked & (1 << places) - 1
+            ranked >>= places
+        else:
+            order = np.argsort(at)
+            ranked = at[order]
+        own = (ranked & 1) * 255 + 1  # of a decision that is its document's only one at its slot
+        again = np.flatnonzero((ranked[1:] ^ ranked[:-1]) < 2)
+        if len(again):
+            begin = again[np.diff(again, prepend=-2) > 1]
+            n = again[np.diff(again, append=len(ranked) + 1) > 1] + 2 - begin
+            start = np.cumsum(n) - n
+            several = np.repeat(begin - start, n) + np.arange(n.sum())
+            ones = np.add.reduceat(ranked[several] & 1, start)
+            own[several] = np.repeat((n - ones) | ones << 8, n)
         level = np.empty(len(at), np.uint8)
-        level[order] = np.repeat(level_of[known[j][1][ranked[first] >> 1 & (1 << BITS) - 1] - own], n)
+        ranked >>= 1
+        ranked &= (1 << BITS) - 1
+        level[order] = level_of[known[j][1][ranked] - own]
         ends = np.cumsum([len(o[2]) for o in here])
         for (_, x, where, _), part in zip(here, np.split(level, ends[:-1])):
             x[where] = part
@@ -230,6 +280,42 @@ def without_own(words: Words, chosen: np.ndarray, vocab: Vocabulary, known: list
         yield k, [x for _, x, *_ in out], gate, bit
 
 
+def counted_decisions(chunks_of, vocab: Vocabulary) -> list[np.ndarray]:
+    """The predictors' tables, both outcomes' counts of each slot, over (words, chosen documents) of chunks."""
+    n = len(vocab.code.length)
+    tables = [aligned(np.zeros(2 * (size or n), np.uint32)) for size in SIZES]
+    times = np.zeros(n, np.uint32)
+    for words, chosen in chunks_of:
+        _, _, symbols, decisions = decided(words, chosen, vocab)
+        np.add.at(times, symbols, np.uint32(1))
+        for k, _, _, bit, slots, _ in decisions:
+            for j, s in enumerate(slots):
+                if k or j:
+                    s = s << 1
+                    s |= bit
+                    np.add.at(tables[3 * k + j], s, np.uint32(1))
+    # The first predictor's counts are those of the codes' symbols.
+    code = vocab.code
+    for i in range(0, n, 1 << 14):
+        here = slice(i, i + (1 << 14))
+        at = slice(code.start[i], code.start[i] + int(code.length[here].sum()))
+        np.add.at(tables[0], code.steps[at].astype(np.int64), np.repeat(times[here], code.length[here]))
+    return tables
+
+
+def counted_levels(chunks_of, vocab: Vocabulary, known: list[tuple[np.ndarray, np.ndarray]], level_of: np.ndarray) -> np.ndarray:
+    """[words or bytes, cell] decisions by gate, the predictors' levels and outcome over (words, chosen documents) of chunks."""
+    cells = np.zeros((2, DEPTHS, WIDE ** 3 * 2), np.int64)
+    for words, chosen in chunks_of:
+        for k, x, gate, bit in without_own(words, chosen, vocab, known, level_of):
+            at = x[0].astype(np.int64)
+            for more, y in ((WIDE, x[1]), (WIDE, x[2]), (2, bit)):
+                at *= more
+                at += y
+            np.add.at(cells[k, gate], at, 1)
+    return cells.reshape(2, -1)
+
+
 def few(n: np.ndarray) -> np.ndarray:
     """Both outcomes' counts in one number, the second in the high byte; larger ones than ``MANY`` do not fit."""
     n = np.minimum(n, MANY).astype(np.uint16)
@@ -330,13 +416,39 @@ class Mixer:
         p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
         return np.log10(np.stack([1 - p, p], 2)).astype(np.float32)
 
-    def fine(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """Places of decisions in ``log10s``, all in one row."""
-        gate = self.gates(gate, x)
-        return (gate.astype(np.int32) * (24 * FINE + 1) + np.rint((self.odds(x, gate) + 12) * FINE).astype(np.int32)) * 2 + bit
-
-
-SIZES = (None, *[1 << BITS] * 5)  # None: one for each node
+    def fine(self, x: list[np.ndarray], gate: int, bit: np.ndarray) -> np.ndarray:
+        """Places of decisions of one gate in ``log10s``, all in one row."""
+        w = self.weights[4 * gate: 4 * gate + 4]
+        s = x[0] * w[0, 0]
+        s += x[1] * w[0, 1]
+        s += x[2] * w[0, 2]
+        s += w[0, 3]
+        new = (x[1] == 0).view(np.uint8) * np.uint8(2) + (x[2] == 0)
+        at = np.flatnonzero(new)
+        g = new[at].astype(np.int64)
+        s[at] = x[0][at] * w[g, 0] + x[1][at] * w[g, 1] + x[2][at] * w[g, 2] + w[g, 3]
+        np.clip(s, -12, 12, out=s)
+        s += 12
+        s *= FINE
+        place = np.rint(s, out=s).astype(np.int64)
+        place += gate * 4 * (24 * FINE + 1)
+        place[at] += g * (24 * FINE + 1)
+        place <<= 1
+        place |= bit
+        return place
+
+
+def summed_scores(decisions, odds: list[np.ndarray], mixers: list[Mixer], log10s: list[np.ndarray], documents: int) -> np.ndarray:
+    """The documents' sums over their decisions (see ``decided``)."""
+    out, owner, each = np.zeros(documents), np.zeros(0, np.int64), np.zeros(0)
+    for k, doc, depth, bit, slots, gate in decisions:
+        found = log10s[k][mixers[k].fine([odds[3 * k + j][s] for j, s in enumerate(slots)], gate, bit)]
+        if depth:
+            each[: len(doc)] += found
+        else:
+            out += np.bincount(owner, weights=each, minlength=documents)
+            owner, each = doc, found
+    return out + np.bincount(owner, weights=each, minlength=documents)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,6 +464,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         for first, last in chunks(offsets, 200_000):
             yield first, last, Words(hasher, data, offsets, first, last, True), learnt[first:last], held[first:last], np.diff(offsets[first: last + 1])
 
+    def learnt_of(batches):
+        for batch in batches:
+            for _, _, words, learnt, *_ in parts(batch):
+                yield words, learnt
+
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions_of(docs), size // 40 // BUCKET + 1)
 
@@ -396,12 +513,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     sizes = [len(vocabulary.code.length), *SIZES[1:]]
 
     def gather(batches):
-        tables = [np.zeros(2 * n, np.uint32) for n in sizes]
-        for batch in batches:
-            for _, _, words, learnt, _, _ in parts(batch):
-                for k, _, _, bit, slots, _ in decided(words, learnt, shared.value)[3]:
-                    for j, s in enumerate(slots):
-                        np.add.at(tables[3 * k + j], s * 2 + bit, np.uint32(1))
+        tables = counted_decisions(learnt_of(batches), shared.value)
         task = TaskContext.get().partitionId()
         for i, t in enumerate(tables):
             at, n = zip(*(sparse(x.ravel()) for x in np.array_split(t.reshape(-1, 2), 64)))
@@ -442,14 +554,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def measure(batches):
         known = counts_of.value
         level_of = levels(logs(np.stack([np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8], 1).astype(np.float32)))
-        cells = np.zeros((2, DEPTHS * WIDE ** 3 * 2), np.int64)
-        for batch in batches:
-            for _, _, words, learnt, _, _ in parts(batch):
-                for k, x, gate, bit in without_own(words, learnt, shared.value, known, level_of):
-                    at = gate.astype(np.int64)
-                    for level in x:
-                        at = at * WIDE + level
-                    np.add.at(cells[k], at * 2 + bit, 1)
+        cells = counted_levels(learnt_of(batches), shared.value, known, level_of)
         task = TaskContext.get().partitionId()
         for k in range(2):
             for j, x in enumerate(np.array_split(cells[k], 64)):
@@ -478,13 +583,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     def judge(batches):
         rng = np.random.default_rng()
+        odds, mixers, log10s = model.value
+        odds, log10s = [aligned(x) for x in odds], [x.astype(np.float64) for x in log10s]
+        log_count, counted = np.append(np.log10(shared.value.count + 0.1), 0.0), np.append(shared.value.count > 0, False).astype(np.float64)
         for batch in batches:
             n = batch.num_rows
             base, score_, known, count_ = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             held_out, size_ = np.zeros(n, bool), np.zeros(n, np.int64)
-            odds, mixers, log10s = model.value
             vocab = shared.value
-            log_count = np.append(np.log10(vocab.count + 0.1), 0.0)
             rows, owners = [], []
             for first, last, words, learnt, held, nbytes in parts(batch):
                 t, d, symbols, decisions = decided(words, np.ones(last - first, bool), vocab)
@@ -493,11 +599,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 held_out[here], size_[here] = held, nbytes
                 count_[here] = np.bincount(d, minlength=m)
                 base[here] = np.bincount(d, weights=log_count[symbols], minlength=m)
-                known[here] = np.bincount(d, weights=np.append(vocab.count > 0, False)[symbols], minlength=m)
-                for k, doc, times, bit, slots, gate in decisions:
-                    x = [odds[3 * k + j][s] for j, s in enumerate(slots)]
-                    each = np.add.reduceat(log10s[k][mixers[k].fine(x, gate, bit)], np.cumsum(times) - times, dtype=np.float64)
-                    score_[here] += np.bincount(doc, weights=each, minlength=m)
+                known[here] = np.bincount(d, weights=counted[symbols], minlength=m)
+                score_[here] = summed_scores(decisions, odds, mixers, log10s, m)
                 rare = symbols == len(vocab.hash)
                 rows.append(t[rare])
                 owners.append(first + d[rare])

@@ -4,9 +4,8 @@ A text is coded in binary decisions. The most frequent ``WORDS`` words of the tr
 a document have Huffman codes; a word after an escape is spelt byte by byte, eight decisions each, with an end byte.
 Three predictors see each decision: for words the place in the code alone, with the word before, and with the word before
 that; for bytes the place in the byte with the two, three and five bytes before. Contexts are hashed into ``1 << BITS``
-slots that hold the counts of both outcomes over all training documents; those of up to ``NEAR`` depths of one context lie
-in one row of memory, in an order by the hash. Decisions are worked on depth by depth. The predictors' log odds are combined by weights
-that a gate picks (depth of the decision, and which contexts are new), and the result is refined by a map from predicted
+slots that hold the counts of both outcomes over all training documents. Decisions are worked on depth
+by depth. The predictors' log odds are combined by weights that a gate picks (depth of the decision, and which contexts are new), and the result is refined by a map from predicted
 to seen probabilities. Weights and map are fitted on all training documents, with each document's own counts left out
 (in slots with up to 254 of each outcome; in larger ones they are next to nothing): one pass counts all
 decisions by depth, level of each predictor's log odds (``LEVELS`` to each side of 0) and outcome; Newton steps and the
@@ -41,7 +40,6 @@ END = np.uint64(0xE17D0000E17D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD1342543DE82EF95)
 STRIDE = np.uint64(int(STEP) * int(SPREAD) % (1 << 64))
-NEAR = 4  # depths whose slots of one context are side by side
 DEPTHS = 8
 GATES = DEPTHS * 4
 MAP = 33
@@ -99,20 +97,12 @@ class Code:
 
 
 def slot(context: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Slots of places in contexts, both multiplied with ``SPREAD``; the next ``NEAR`` - 1 depths' are in the same row of memory."""
+    """Slots of places in contexts, both multiplied with ``SPREAD``."""
     at = context + place
     at >>= np.uint64(64 - BITS)
     return at.view(np.int64)
 
 
-def aligned(x: np.ndarray) -> np.ndarray:
-    """A copy that begins with a row of memory."""
-    room = np.empty(x.nbytes + 64, np.uint8)
-    out = room[-room.ctypes.data % 64:][: x.nbytes].view(x.dtype)
-    out[:] = x
-    return out
-
-
 class Vocabulary:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, rest: int):
         order = np.argsort(hashes)
@@ -149,14 +139,8 @@ class Vocabulary:
         for depth, n in enumerate(np.searchsorted(-length, -np.arange(length[0])).tolist()):
             step = self.code.steps[start[:n] + depth].astype(np.int64)
             node = step >> 1
-            if depth % NEAR:
-                path = path[:n] << 1
-                path |= bit[:n]
-            else:
-                place = node.astype(np.uint64) * STRIDE
-                first, second, path = slot(one[:n], place), slot(two[:n], place), np.ones(n, np.int64)
-            bit = step & 1
-            yield n, bit, (node, first[:n] ^ path, second[:n] ^ path)
+            place = node.view(np.uint64) * STRIDE
+            yield n, step & 1, (node, slot(one[:n], place), slot(two[:n], place))
 
 
 NODE = np.arange(256, dtype=np.uint64) * STRIDE
@@ -206,12 +190,8 @@ def decided(words: Words, chosen: np.ndarray, vocab: Vocabulary):
             owner, byte, contexts = spelling(words, which[j: k + 1], ends[j: k + 1] - before, i - before, min(i + PIECE, int(ends[-1])) - before)
             document = d[rare[j: k + 1]][owner]
             for depth in range(8):
-                node = 1 << depth | byte >> 8 - depth
-                if depth % NEAR == 0:
-                    place = NODE[node]
-                    firsts = [slot(c, place) for c in contexts]
-                path = node & (1 << depth % NEAR) - 1 | 1 << depth % NEAR
-                yield 1, document, depth, byte >> 7 - depth & 1, tuple(f ^ path for f in firsts), depth
+                place = NODE[1 << depth | byte >> 8 - depth]
+                yield 1, document, depth, byte >> 7 - depth & 1, tuple(slot(c, place) for c in contexts), depth
 
     return t, d, symbols, pieces()
 
@@ -283,7 +263,7 @@ def without_own(words: Words, chosen: np.ndarray, vocab: Vocabulary, known: list
 def counted_decisions(chunks_of, vocab: Vocabulary) -> list[np.ndarray]:
     """The predictors' tables, both outcomes' counts of each slot, over (words, chosen documents) of chunks."""
     n = len(vocab.code.length)
-    tables = [aligned(np.zeros(2 * (size or n), np.uint32)) for size in SIZES]
+    tables = [np.zeros(2 * (size or n), np.uint32) for size in SIZES]
     times = np.zeros(n, np.uint32)
     for words, chosen in chunks_of:
         _, _, symbols, decisions = decided(words, chosen, vocab)
@@ -584,7 +564,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def judge(batches):
         rng = np.random.default_rng()
         odds, mixers, log10s = model.value
-        odds, log10s = [aligned(x) for x in odds], [x.astype(np.float64) for x in log10s]
+        log10s = [x.astype(np.float64) for x in log10s]
         log_count, counted = np.append(np.log10(shared.value.count + 0.1), 0.0), np.append(shared.value.count > 0, False).astype(np.float64)
         for batch in batches:
             n = batch.num_rows

@@ -427,7 +427,7 @@ def summed_scores(decisions, odds: list[np.ndarray], mixers: list[Mixer], log10s
             each[: len(doc)] += found
         else:
             out += np.bincount(owner, weights=each, minlength=documents)
-            owner, each = doc, found
+            owner, each = doc, found.astype(np.float64)
     return out + np.bincount(owner, weights=each, minlength=documents)
 
 

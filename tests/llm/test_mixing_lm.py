@@ -122,3 +122,49 @@ def test_decisions_go_depth_by_depth(monkeypatch):
         monkeypatch.setattr(mixing_lm, "PIECE", piece)
         got = mixing_lm.summed_scores(mixing_lm.decided(words, np.ones(34, bool), vocab)[3], odds, mixers, [x.ravel() for x in log10s], 34)
         assert np.allclose(got, wanted, rtol=1e-12) and (got < 0).all()
+
+
+def test_equal_spelt_bytes_are_worked_on_once(monkeypatch):
+    """Copies of a spelt word cost no more slots; counts, levels and scores are those of all bytes one by one."""
+    worked, slot = [], mixing_lm.slot
+    monkeypatch.setattr(mixing_lm, "slot", lambda context, place: (worked.append(len(context)), slot(context, place))[1])
+    data, offsets = text_buffers(pa.array(["abcdefghijkl"] * 40))
+    words = Words(Hasher(), data, offsets, 0, 40, True)
+    every = np.ones(40, bool)
+    vocab = mixing_lm.Vocabulary(np.array([mixing_lm.END]), np.array([40]), 40)
+    tables = mixing_lm.counted_decisions([(words, every)], vocab)
+    assert sum(worked) < 40 * 30 and [int(t.sum()) for t in tables[3:]] == [40 * 13 * 8] * 3
+    # Documents with equal and other spelt words, in groups of any size.
+    words, vocab, tables = counted(["a b x1 x1 yy", "x1y a x1 b", "", "yy a zzzzzz zzz b", "b été a"] + ["q w"] * 30)
+    every = np.ones(len(words.first) - 1, bool)
+    odds = [mixing_lm.logs(x) for x in tables]
+    mixers = [mixing_lm.Mixer(), mixing_lm.Mixer()]
+    log10s = [m.log10s().ravel().astype(np.float64) for m in mixers]
+    at = np.arange(1 << 16)
+    level_of = mixing_lm.levels(mixing_lm.logs(np.stack([at & 255, at >> 8], 1)))
+    wanted = mixing_lm.summed_scores(mixing_lm.decided(words, every, vocab)[3], odds, mixers, log10s, len(every))
+    for many in (0, 2, mixing_lm.MANY):  # up to 0: no slot is without its own counts
+        known = [(np.where((t <= many).all(axis=1), np.uint8(mixing_lm.FEW), mixing_lm.levels(mixing_lm.logs(t))), mixing_lm.few(t)) for t in tables]
+        cells = np.zeros((2, mixing_lm.DEPTHS, mixing_lm.WIDE ** 3 * 2), np.int64)
+        for k, x, gate, bit in mixing_lm.without_own(words, every, vocab, known, level_of):
+            np.add.at(cells[k, gate], np.ravel_multi_index((*x, bit), (*[mixing_lm.WIDE] * 3, 2)), 1)
+        for size, piece in ((1, 16_000), (1 << 20, 16_000), (1 << 20, 3)):
+            monkeypatch.setattr(mixing_lm, "SPELT", size)
+            monkeypatch.setattr(mixing_lm, "PIECE", piece)
+            assert np.array_equal(mixing_lm.counted_levels([(words, every)] * 2, vocab, known, level_of), 2 * cells.reshape(2, -1))
+            assert all(np.array_equal(a, b.ravel()) for a, b in zip(mixing_lm.counted_decisions([(words, every)], vocab), tables))
+    _, _, _, coded, spelt = mixing_lm.read(words, every, vocab)
+    got = mixing_lm.summed_scores(coded, odds, mixers, log10s, len(every))
+    for owner, byte in spelt:
+        got += np.bincount(owner, weights=mixing_lm.spelt_scores(byte, odds[3:], mixers[1], log10s[1]), minlength=len(every))
+    assert np.allclose(got, wanted, rtol=1e-12)
+
+
+def test_scores_do_not_depend_on_how_many_bytes_are_gathered(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"one two w{i % 7} q{i}x{i % 3}" if i % 11 else None) for i in range(120)], "doc_id long, text string").coalesce(1)
+    runs = []
+    for size in (8, 1 << 20):
+        monkeypatch.setattr(mixing_lm, "SPELT", size)
+        monkeypatch.setattr(mixing_lm, "WORDS", 2)
+        runs.append({r.doc_id: r.score for r in mixing_lm.score(rows).collect()})
+    assert len(runs[0]) == 120 and all(abs(x - runs[1][i]) < 1e-9 for i, x in runs[0].items())

@@ -5,7 +5,8 @@ a document have Huffman codes; a word after an escape is spelt byte by byte, eig
 Three predictors see each decision: for words the place in the code alone, with the word before, and with the word before
 that; for bytes the place in the byte with the two, three and five bytes before. Contexts are hashed into ``1 << BITS``
 slots that hold the counts of both outcomes over all training documents. Decisions are worked on depth
-by depth. The predictors' log odds are combined by weights that a gate picks (depth of the decision, and which contexts are new), and the result is refined by a map from predicted
+by depth. All decisions of a spelt byte follow from it and the five before; so spelt bytes are gathered over chunks
+and equal ones worked on once (``Spelt``), but for own counts. The predictors' log odds are combined by weights that a gate picks (depth of the decision, and which contexts are new), and the result is refined by a map from predicted
 to seen probabilities. Weights and map are fitted on all training documents, with each document's own counts left out
 (in slots with up to 254 of each outcome; in larger ones they are next to nothing): one pass counts all
 decisions by depth, level of each predictor's log odds (``LEVELS`` to each side of 0) and outcome; Newton steps and the
@@ -52,6 +53,8 @@ WIDE = 2 * LEVELS + 1
 SIZES = (None, *[1 << BITS] * 5)  # of the predictors' tables; None: one for each node
 PIECE = 16_000  # tokens, or bytes of spelt words, whose decisions are in memory together
 ORDERS = (2, 3, 5)  # bytes before that the predictors of spelt bytes see
+WAITING = 60  # depths of pieces whose decisions are counted together
+SPELT = 1 << 19  # spelt bytes among which equal ones are worked on once
 
 
 def training(ids, null) -> tuple[np.ndarray, np.ndarray]:
@@ -146,26 +149,48 @@ class Vocabulary:
 NODE = np.arange(256, dtype=np.uint64) * STRIDE
 
 
-def spelling(words: Words, which: np.ndarray, ends: np.ndarray, a: int, b: int):
-    """Bytes a..b of the spelt words, one after the other, each with an end byte: (word's place in ``which`` of each byte, byte,
-    contexts of the three predictors). ``ends`` are the words' ends in that row of bytes."""
+def spelling(words: Words, which: np.ndarray, ends: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes a..b of the spelt words, one after the other, each with an end byte: (word's place in ``which`` of each byte, byte in
+    context). ``ends`` are the words' ends in that row of bytes. A byte in context is one number of the byte, lowest, and the
+    five before in its word, most recent first; all decisions of the byte follow from it."""
     place = np.arange(a, b)
     owner = np.searchsorted(ends, place, "right")
     begin = words.start[which]
     n = words.end[which] - begin + 1
     at = place - (ends - n)[owner]
     begin = begin[owner]
-    byte = np.where(at == n[owner] - 1, 32, words.bytes[np.minimum(begin + at, len(words.bytes) - 1)]).astype(np.int64)
-    prior = [np.where(at >= k, words.bytes[np.maximum(begin + at - k, 0)], 0).astype(np.int64) for k in range(1, 6)]
-    # The bytes before, most recent first, as one number for each order.
-    upto = np.cumsum([x << (8 * i) for i, x in enumerate(prior)], axis=0)
-    return owner, byte, [mix((upto[k - 1] + (k << 48)).astype(np.uint64)) * SPREAD for k in ORDERS]
+    spelt = np.where(at == n[owner] - 1, 32, words.bytes[np.minimum(begin + at, len(words.bytes) - 1)]).astype(np.uint64)
+    for k in range(1, ORDERS[-1] + 1):
+        spelt |= np.where(at >= k, words.bytes[np.maximum(begin + at - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+    return owner, spelt
 
 
-def decided(words: Words, chosen: np.ndarray, vocab: Vocabulary):
-    """Tokens of the chosen documents of a chunk, their documents and symbols, and an iterator over their decisions:
-    (0 for words or 1 for spelt bytes, document of each decision, depth, bit, slots of the three predictors, gate), all of one
-    depth of ``PIECE`` tokens or bytes at a time; those of depth 0 come first and with the deeper ones' tokens in front."""
+def seen_by(spelt: np.ndarray, k: int) -> np.ndarray:
+    """Of bytes in context what the predictor with ``k`` bytes before sees."""
+    return spelt & np.uint64((1 << 8 * (k + 1)) - 1)
+
+
+def byte_context(spelt: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` bytes before, multiplied with ``SPREAD``."""
+    return mix((seen_by(spelt, k) >> np.uint64(8)) + np.uint64(k << 48)) * SPREAD
+
+
+def byte_place(byte: np.ndarray, depth: int) -> np.ndarray:
+    return NODE[1 << depth | byte >> 8 - depth]
+
+
+def byte_decisions(spelt: np.ndarray):
+    """For each depth in the bytes (bit, slots of the three predictors)."""
+    byte = (spelt & np.uint64(255)).astype(np.int64)
+    contexts = [byte_context(spelt, k) for k in ORDERS]
+    for depth in range(8):
+        place = byte_place(byte, depth)
+        yield byte >> 7 - depth & 1, tuple(slot(c, place) for c in contexts)
+
+
+def read(words: Words, chosen: np.ndarray, vocab: Vocabulary):
+    """Tokens of the chosen documents of a chunk, their documents and symbols, an iterator over the decisions of words (see
+    ``decided``), and one over the spelt bytes: (document of each byte, byte in context), ``PIECE`` bytes at a time."""
     t, d = tokens(words)
     word_at = np.insert(np.arange(len(words.hash)), words.first[1:], -1)
     if not chosen.all():
@@ -174,37 +199,106 @@ def decided(words: Words, chosen: np.ndarray, vocab: Vocabulary):
     symbols, one, two = vocab.contexts(t, d)
     rare = np.flatnonzero((symbols == len(vocab.hash)) & (word_at >= 0))
 
-    def pieces():
-        order = np.argsort(vocab.code.rank[symbols])
+    def coded():
+        # Ranks with their places sort faster than places by rank.
+        order = vocab.code.rank[symbols].astype(np.int64) << 32 | np.arange(len(t))
+        order.sort()
+        order &= (1 << 32) - 1
         for i in range(0, len(t), PIECE):
             here = order[i: i + PIECE]
             document = d[here]
             for depth, (n, bit, slots) in enumerate(vocab.word_decisions(symbols[here], one[here] * SPREAD, two[here] * SPREAD)):
                 yield 0, document[:n], depth, bit, slots, min(depth // 2, DEPTHS - 1)
+
+    def spelt():
         which = word_at[rare]
         ends = np.cumsum(words.end[which] - words.start[which] + 1)
         for i in range(0, int(ends[-1]) if len(ends) else 0, PIECE):
             # Only the words that these bytes belong to.
             j, k = np.searchsorted(ends, [i, min(i + PIECE, ends[-1]) - 1], "right")
             before = int(ends[j - 1]) if j else 0
-            owner, byte, contexts = spelling(words, which[j: k + 1], ends[j: k + 1] - before, i - before, min(i + PIECE, int(ends[-1])) - before)
-            document = d[rare[j: k + 1]][owner]
-            for depth in range(8):
-                place = NODE[1 << depth | byte >> 8 - depth]
-                yield 1, document, depth, byte >> 7 - depth & 1, tuple(slot(c, place) for c in contexts), depth
+            owner, byte = spelling(words, which[j: k + 1], ends[j: k + 1] - before, i - before, min(i + PIECE, int(ends[-1])) - before)
+            yield d[rare[j: k + 1]][owner], byte
+
+    return t, d, symbols, coded(), spelt()
+
+
+def decided(words: Words, chosen: np.ndarray, vocab: Vocabulary):
+    """Tokens of the chosen documents of a chunk, their documents and symbols, and an iterator over their decisions:
+    (0 for words or 1 for spelt bytes, document of each decision, depth, bit, slots of the three predictors, gate), all of one
+    depth of ``PIECE`` tokens or bytes at a time; those of depth 0 come first and with the deeper ones' tokens in front."""
+    t, d, symbols, coded, spelt = read(words, chosen, vocab)
+
+    def pieces():
+        yield from coded
+        for document, byte in spelt:
+            for depth, (bit, slots) in enumerate(byte_decisions(byte)):
+                yield 1, document, depth, bit, slots, depth
 
     return t, d, symbols, pieces()
 
 
-def without_own(words: Words, chosen: np.ndarray, vocab: Vocabulary, known: list[tuple[np.ndarray, np.ndarray]], level_of: np.ndarray):
+class Spelt:
+    """Spelt bytes gathered over chunks, so that equal ones are worked on once: full after ``size`` bytes."""
+
+    def __init__(self, size: int):
+        self.size, self.held, self.owner, self.byte, self.documents = size, 0, [], [], 0
+
+    def add(self, pieces, first: int = 0) -> None:
+        """Pieces of ``read``; ``first`` is added to the documents."""
+        for document, byte in pieces:
+            self.owner.append(document + first)
+            self.byte.append(byte)
+            self.held += len(byte)
+
+    def full(self) -> bool:
+        return self.held >= self.size
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """(document, byte in context) of all that was added since."""
+        out = (np.concatenate(self.owner), np.concatenate(self.byte)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.held, self.owner, self.byte, self.documents = 0, [], [], 0
+        return out
+
+
+def less_own(own_at: np.ndarray, few: np.ndarray, level_of: np.ndarray) -> np.ndarray:
+    """Levels of decisions (document, slot and bit in one number) whose slots' counts are in ``few``, without those of their document,
+    all decisions of which at these slots are among them."""
+    places = len(own_at).bit_length()
+    if int(own_at.max()).bit_length() + places < 64:
+        # Numbers with their places sort faster than places by number.
+        ranked = own_at << places | np.arange(len(own_at))
+        ranked.sort()
+        order = ranked & (1 << places) - 1
+        ranked >>= places
+    else:
+        order = np.argsort(own_at)
+        ranked = own_at[order]
+    own = (ranked & 1) * 255 + 1  # of a decision that is its document's only one at its slot
+    again = np.flatnonzero((ranked[1:] ^ ranked[:-1]) < 2)
+    if len(again):
+        begin = again[np.diff(again, prepend=-2) > 1]
+        n = again[np.diff(again, append=len(ranked) + 1) > 1] + 2 - begin
+        start = np.cumsum(n) - n
+        several = np.repeat(begin - start, n) + np.arange(n.sum())
+        ones = np.add.reduceat(ranked[several] & 1, start)
+        own[several] = np.repeat((n - ones) | ones << 8, n)
+    level = np.empty(len(own_at), np.uint8)
+    ranked >>= 1
+    ranked &= (1 << BITS) - 1
+    level[order] = level_of[few[ranked] - own]
+    return level
+
+
+def without_own(words: Words, chosen: np.ndarray, vocab: Vocabulary, known: list[tuple[np.ndarray, np.ndarray]], level_of: np.ndarray, apart: Spelt | None = None):
     """Decisions of the chosen documents of a chunk, in pieces: (0 for words or 1 for spelt bytes, levels without the
-    document's own counts, gate, bit).
+    document's own counts, gate, bit). Spelt bytes are added to ``apart`` instead, if given, unless the chunk is one long document.
 
     ``known`` has for each predictor the levels of its slots, or ``FEW``, and ``few`` of these (see there); ``level_of``
     the level for each value of ``few``.
     """
-    def pieces():
-        for k, doc, _, bit, slots, gate in decided(words, chosen, vocab)[3]:
+    def pieces(decisions):
+        for k, doc, _, bit, slots, gate in decisions:
             out = []
             own = doc << BITS + 1 | bit
             for j, s in enumerate(slots):
@@ -216,43 +310,26 @@ def without_own(words: Words, chosen: np.ndarray, vocab: Vocabulary, known: list
     if len(chosen) == 1 and len(words.bytes) > LONG:
         # One long document: two walks over its pieces.
         own = [np.zeros(2 * len(x), np.uint8) for x, _ in known]
-        for *_, out in pieces():
+        for *_, out in pieces(decided(words, chosen, vocab)[3]):
             for j, _, _, at in out:
                 np.add.at(own[j], at, np.uint8(1))  # a slot of ``FEW`` cannot overflow
-        for k, gate, bit, out in pieces():
+        for k, gate, bit, out in pieces(decided(words, chosen, vocab)[3]):
             for j, x, at, s in out:
                 x[at] = level_of[known[j][1][s >> 1] - own[j].view(np.uint16)[s >> 1]]
             yield k, [x for _, x, *_ in out], gate, bit
         return
-    found = list(pieces())
+    if apart is None:
+        found = list(pieces(decided(words, chosen, vocab)[3]))
+    else:
+        _, _, _, coded, spelt = read(words, chosen, vocab)
+        found = list(pieces(coded))
+        apart.add(spelt, apart.documents)
+        apart.documents += len(chosen)
     for j in range(len(known)):
         here = [o for *_, out in found for o in out if o[0] == j]
         if not sum(len(o[2]) for o in here):
             continue
-        at = np.concatenate([o[3] for o in here])
-        places = len(at).bit_length()
-        if int(at.max()).bit_length() + places < 64:
-            # Numbers with their places sort faster than places by number.
-            ranked = at << places | np.arange(len(at))
-            ranked.sort()
-            order = ranked & (1 << places) - 1
-            ranked >>= places
-        else:
-            order = np.argsort(at)
-            ranked = at[order]
-        own = (ranked & 1) * 255 + 1  # of a decision that is its document's only one at its slot
-        again = np.flatnonzero((ranked[1:] ^ ranked[:-1]) < 2)
-        if len(again):
-            begin = again[np.diff(again, prepend=-2) > 1]
-            n = again[np.diff(again, append=len(ranked) + 1) > 1] + 2 - begin
-            start = np.cumsum(n) - n
-            several = np.repeat(begin - start, n) + np.arange(n.sum())
-            ones = np.add.reduceat(ranked[several] & 1, start)
-            own[several] = np.repeat((n - ones) | ones << 8, n)
-        level = np.empty(len(at), np.uint8)
-        ranked >>= 1
-        ranked &= (1 << BITS) - 1
-        level[order] = level_of[known[j][1][ranked] - own]
+        level = less_own(np.concatenate([o[3] for o in here]), known[j][1], level_of)
         ends = np.cumsum([len(o[2]) for o in here])
         for (_, x, where, _), part in zip(here, np.split(level, ends[:-1])):
             x[where] = part
@@ -265,15 +342,45 @@ def counted_decisions(chunks_of, vocab: Vocabulary) -> list[np.ndarray]:
     n = len(vocab.code.length)
     tables = [np.zeros(2 * (size or n), np.uint32) for size in SIZES]
     times = np.zeros(n, np.uint32)
+    held = Spelt(SPELT)
+
+    def count_spelt():
+        seen, n = np.unique(held.taken()[1], return_counts=True)
+        for j in (2, 1, 0):
+            # What a predictor sees is part of what the one after it sees.
+            seen, where = np.unique(seen_by(seen, ORDERS[j]), return_inverse=True)
+            n = np.bincount(where, weights=n).astype(np.uint32)
+            for i in range(0, len(seen), PIECE):
+                here = seen[i: i + PIECE]
+                byte, context = (here & np.uint64(255)).astype(np.int64), byte_context(here, ORDERS[j])
+                for depth in range(8):
+                    np.add.at(tables[3 + j], slot(context, byte_place(byte, depth)) << 1 | byte >> 7 - depth & 1, n[i: i + PIECE])
+
+    waiting = [], []
+
+    def count_coded():
+        # One table after the other, as each about fills a cache.
+        for table, found in zip(tables[1:3], waiting):
+            for s in found:
+                np.add.at(table, s, np.uint32(1))
+            found.clear()
+
     for words, chosen in chunks_of:
-        _, _, symbols, decisions = decided(words, chosen, vocab)
+        _, _, symbols, coded, spelt = read(words, chosen, vocab)
         np.add.at(times, symbols, np.uint32(1))
-        for k, _, _, bit, slots, _ in decisions:
-            for j, s in enumerate(slots):
-                if k or j:
-                    s = s << 1
-                    s |= bit
-                    np.add.at(tables[3 * k + j], s, np.uint32(1))
+        for _, _, _, bit, slots, _ in coded:
+            for found, s in zip(waiting, slots[1:]):
+                s = s << 1
+                s |= bit
+                found.append(s)
+            if len(waiting[0]) >= WAITING:
+                count_coded()
+        count_coded()
+        for piece in spelt:
+            held.add([piece])
+            if held.full():
+                count_spelt()
+    count_spelt()
     # The first predictor's counts are those of the codes' symbols.
     code = vocab.code
     for i in range(0, n, 1 << 14):
@@ -283,19 +390,69 @@ def counted_decisions(chunks_of, vocab: Vocabulary) -> list[np.ndarray]:
     return tables
 
 
+def cell_of(x: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+    """Cells of the levels of the three predictors and the outcome."""
+    at = x[0] * np.uint16(WIDE)
+    at += x[1]
+    at = at * np.uint32(WIDE * 2)
+    at += x[2] * np.uint8(2) + bit  # 82 values
+    return at.astype(np.int64)
+
+
 def counted_levels(chunks_of, vocab: Vocabulary, known: list[tuple[np.ndarray, np.ndarray]], level_of: np.ndarray) -> np.ndarray:
     """[words or bytes, cell] decisions by gate, the predictors' levels and outcome over (words, chosen documents) of chunks."""
     cells = np.zeros((2, DEPTHS, WIDE ** 3 * 2), np.int64)
+    held = Spelt(SPELT // 4)  # decisions without own counts are in memory together
+
+    def count_spelt():
+        for gate, x, bit, n in spelt_levels(*held.taken(), known[3:], level_of):
+            np.add.at(cells[1, gate], cell_of(x, bit), n)
+
     for words, chosen in chunks_of:
-        for k, x, gate, bit in without_own(words, chosen, vocab, known, level_of):
-            at = x[0].astype(np.int64)
-            for more, y in ((WIDE, x[1]), (WIDE, x[2]), (2, bit)):
-                at *= more
-                at += y
-            np.add.at(cells[k, gate], at, 1)
+        for k, x, gate, bit in without_own(words, chosen, vocab, known, level_of, held):
+            np.add.at(cells[k, gate], cell_of(x, bit), 1)
+        if held.full():
+            count_spelt()
+    count_spelt()
     return cells.reshape(2, -1)
 
 
+def spelt_levels(document: np.ndarray, byte: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]], level_of: np.ndarray):
+    """Decisions of spelt bytes of whole documents, in pieces: (gate, levels without the document's own counts, bit, number of them)."""
+    if not len(byte):
+        return
+    order = np.argsort(byte)
+    ranked = byte[order]
+    begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    times = np.diff(begin, append=len(ranked))
+    seen = ranked[begin]
+    document = document[order]
+    open_ = [[] for _ in range(8)]
+    for i in range(0, len(seen), PIECE):
+        n = times[i: i + PIECE]
+        for depth, (bit, slots) in enumerate(byte_decisions(seen[i: i + PIECE])):
+            bit = bit.astype(np.uint8)
+            x = [k[0][s] for k, s in zip(known, slots)]
+            own = (x[0] == FEW) | (x[1] == FEW) | (x[2] == FEW)
+            at = np.flatnonzero(~own)
+            yield depth, [y[at] for y in x], bit[at], n[at]
+            # Where own counts matter, each byte by itself.
+            at = np.flatnonzero(own)
+            which = np.repeat(at, n[at])
+            start = begin[i + at]
+            there = document[np.repeat(start - np.cumsum(n[at]) + n[at], n[at]) + np.arange(len(which))]
+            open_[depth].append((there, bit[which], [y[which] for y in x], [s[which] for s in slots]))
+    parts = [(depth, *part) for depth, found in enumerate(open_) for part in found]
+    for j, (_, few) in enumerate(known):
+        at = [np.flatnonzero(x[j] == FEW) for *_, x, _ in parts]
+        if sum(map(len, at)):
+            level = less_own(np.concatenate([there[a] << BITS + 1 | s[j][a] << 1 | bit[a] for a, (_, there, bit, _, s) in zip(at, parts)]), few, level_of)
+            for a, (*_, x, _), part in zip(at, parts, np.split(level, np.cumsum([len(a) for a in at])[:-1])):
+                x[j][a] = part
+    for depth, _, bit, x, _ in parts:
+        yield depth, x, bit, 1
+
+
 def few(n: np.ndarray) -> np.ndarray:
     """Both outcomes' counts in one number, the second in the high byte; larger ones than ``MANY`` do not fit."""
     n = np.minimum(n, MANY).astype(np.uint16)
@@ -403,9 +560,10 @@ class Mixer:
         s += x[1] * w[0, 1]
         s += x[2] * w[0, 2]
         s += w[0, 3]
-        new = (x[1] == 0).view(np.uint8) * np.uint8(2) + (x[2] == 0)
+        new = x[1] == 0
+        new |= x[2] == 0
         at = np.flatnonzero(new)
-        g = new[at].astype(np.int64)
+        g = (x[1][at] == 0) * np.int64(2) + (x[2][at] == 0)
         s[at] = x[0][at] * w[g, 0] + x[1][at] * w[g, 1] + x[2][at] * w[g, 2] + w[g, 3]
         np.clip(s, -12, 12, out=s)
         s += 12
@@ -431,6 +589,16 @@ def summed_scores(decisions, odds: list[np.ndarray], mixers: list[Mixer], log10s
     return out + np.bincount(owner, weights=each, minlength=documents)
 
 
+def spelt_scores(byte: np.ndarray, odds: list[np.ndarray], mixer: Mixer, log10s: np.ndarray) -> np.ndarray:
+    """The sums of spelt bytes over their eight decisions; equal bytes in context have equal ones."""
+    seen, where = np.unique(byte, return_inverse=True)
+    out = np.zeros(len(seen))
+    for i in range(0, len(seen), PIECE):
+        for depth, (bit, slots) in enumerate(byte_decisions(seen[i: i + PIECE])):
+            out[i: i + PIECE] += log10s[mixer.fine([o[s] for o, s in zip(odds, slots)], depth, bit)]
+    return out[where]
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     plain = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -571,21 +739,31 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             base, score_, known, count_ = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             held_out, size_ = np.zeros(n, bool), np.zeros(n, np.int64)
             vocab = shared.value
-            rows, owners = [], []
+            rows, owners, apart = [], [], Spelt(SPELT)
+
+            def add_spelt():
+                owner, byte = apart.taken()
+                score_[:] += np.bincount(owner, weights=spelt_scores(byte, odds[3:], mixers[1], log10s[1]), minlength=n)
+
             for first, last, words, learnt, held, nbytes in parts(batch):
-                t, d, symbols, decisions = decided(words, np.ones(last - first, bool), vocab)
+                t, d, symbols, decisions, spelt = read(words, np.ones(last - first, bool), vocab)
                 here = slice(first, last)
                 m = last - first
                 held_out[here], size_[here] = held, nbytes
                 count_[here] = np.bincount(d, minlength=m)
                 base[here] = np.bincount(d, weights=log_count[symbols], minlength=m)
                 known[here] = np.bincount(d, weights=counted[symbols], minlength=m)
-                score_[here] = summed_scores(decisions, odds, mixers, log10s, m)
+                score_[here] += summed_scores(decisions, odds, mixers, log10s, m)
+                for piece in spelt:
+                    apart.add([piece], first)
+                    if apart.full():
+                        add_spelt()
                 rare = symbols == len(vocab.hash)
                 rows.append(t[rare])
                 owners.append(first + d[rare])
             if not n:
                 continue
+            add_spelt()
             row = int(rng.integers(1 << 62)) + np.arange(n)
             t, owner = np.concatenate(rows), row[np.concatenate(owners)]
             bucket = ((t >> np.uint64(5)) % np.uint64(buckets)).astype(np.int64)

@@ -153,6 +153,13 @@ def test_equal_spelt_bytes_are_worked_on_once(monkeypatch):
             monkeypatch.setattr(mixing_lm, "PIECE", piece)
             assert np.array_equal(mixing_lm.counted_levels([(words, every)] * 2, vocab, known, level_of), 2 * cells.reshape(2, -1))
             assert all(np.array_equal(a, b.ravel()) for a, b in zip(mixing_lm.counted_decisions([(words, every)], vocab), tables))
+    # A long document is not gathered with the others.
+    alone = counted(["a b x1 x1 yy x1y"])[0]
+    runs = []
+    for longest in (1 << 30, 1):
+        monkeypatch.setattr(mixing_lm, "LONG", longest)
+        runs.append(mixing_lm.counted_levels([(words, every), (alone, np.ones(1, bool)), (words, every)], vocab, known, level_of))
+    assert np.array_equal(*runs) and runs[0][1].sum() > 2 * cells[1].sum()
     _, _, _, coded, spelt = mixing_lm.read(words, every, vocab)
     got = mixing_lm.summed_scores(coded, odds, mixers, log10s, len(every))
     for owner, byte in spelt:
